@@ -21,30 +21,41 @@ from chronoview.sources import tables as T
 from chronoview.streaming.incremental import incremental_views
 
 
-def _raw_cells_sql(fractional: bool) -> str:
-    share = ("least((r + 1) * height, (src + 1) * 64) - greatest(r * height, src * 64)"
-             if fractional else "1")
-    return Q.BYTES + f""", cells AS (
-  SELECT sha, CAST(ceil(n / 256.0) AS BIGINT) AS height, pos // 256 AS src, (pos % 256) // 4 AS c,
-    sum(v) AS v, count(*) AS w FROM bytes GROUP BY ALL),
-spread AS (SELECT *, unnest(range(src * 64 // height,
+SHARE = "least((r + 1) * height, (src + 1) * 64) - greatest(r * height, src * 64)"
+
+
+def _single(expression: str) -> str:
+    """The expression as stored: rounded to float32."""
+    return f"CAST(CAST({expression} AS FLOAT) AS DOUBLE)"
+
+
+def _resize_sql(value: str, fractional: bool, single: bool, scale: str = "1.0") -> str:
+    share = SHARE if fractional else "1"
+    mean = f"sum({value} * ({share})) / sum(w * ({share})) / {scale}"
+    return f"""spread AS (SELECT *, unnest(range(src * 64 // height,
     CAST(ceil((src + 1) * 64.0 / height) AS BIGINT))) AS r FROM cells),
-view_cells AS (SELECT sha, r, c, sum(v * ({share})) / sum(w * ({share})) / 255 AS value
+view_cells AS (SELECT sha, r, c, {_single(mean) if single else mean} AS value
   FROM spread GROUP BY ALL)"""
 
 
-def _entropy_cells_sql(fractional: bool) -> str:
-    share = ("least((r + 1) * height, (src + 1) * 64) - greatest(r * height, src * 64)"
-             if fractional else "1")
-    return Q.BLOCK_MEANS + f""", cells AS (
+def _raw_cells_sql(fractional: bool, single: bool = False) -> str:
+    """Fractional views sum bytes exactly; binned ones average float32 byte values."""
+    stored = single and not fractional
+    byte = _single("v / CAST(255 AS DOUBLE)") if stored else "v"
+    return Q.BYTES + f""", cells AS (
+  SELECT sha, CAST(ceil(n / 256.0) AS BIGINT) AS height, pos // 256 AS src, (pos % 256) // 4 AS c,
+    sum({byte}) AS v, count(*) AS w FROM bytes GROUP BY ALL),
+""" + _resize_sql("v", fractional, single, "1.0" if stored else "255")
+
+
+def _entropy_cells_sql(fractional: bool, single: bool = False) -> str:
+    value = _single("e") if single and not fractional else "e"
+    return Q.BLOCK_MEANS + """, cells AS (
   SELECT sha, CAST(ceil(size / 256.0) AS BIGINT) AS height, block // 2 AS src,
     (block % 2) * 32 + j AS c, least(4, size - block * 128 - j * 4) AS w, e
   FROM block_means JOIN blobs USING (sha), (SELECT unnest(range(0, 32)) AS j) AS js
   WHERE block * 128 + j * 4 < size),
-spread AS (SELECT *, unnest(range(src * 64 // height,
-    CAST(ceil((src + 1) * 64.0 / height) AS BIGINT))) AS r FROM cells),
-view_cells AS (SELECT sha, r, c, sum(e * w * ({share})) / sum(w * ({share})) AS value
-  FROM spread GROUP BY ALL)"""
+""" + _resize_sql(f"{value} * w", fractional, single)
 
 
 # Cells summed per output row, plain and weighted by column, pin every value and place.
@@ -128,7 +139,7 @@ def _(t: Tables):
 
 # -- views ------------------------------------------------------------------------------
 
-@query("i1_raw_byte_view", sql(_raw_cells_sql(True), ROW_SUMS + " HAVING sum(value) > 0"))
+@query("i1_raw_byte_view", sql(_raw_cells_sql(True, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = t.blobs.select("sha", A.raw_byte_view("content").alias("pixels"))
     return _rounded(_dense_row_sums(views))
@@ -139,7 +150,7 @@ def _(t: Tables):
     return _row_sums(N.raw_byte_cells_view(t.blobs))
 
 
-@query("i2_raw_byte_view_binned", sql(_raw_cells_sql(False), ROW_SUMS + " HAVING sum(value) > 0"))
+@query("i2_raw_byte_view_binned", sql(_raw_cells_sql(False, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = t.blobs.select("sha", A.raw_byte_view_binned("content").alias("pixels"))
     return _rounded(_dense_row_sums(views))
@@ -151,7 +162,7 @@ def _(t: Tables):
     return N.window_entropies(t.blobs).select("sha", "w", F.round("h", 8).alias("h"))
 
 
-@query("i4_entropy_view", sql(_entropy_cells_sql(True), ROW_SUMS + " HAVING sum(value) > 0"))
+@query("i4_entropy_view", sql(_entropy_cells_sql(True, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = t.blobs.select("sha", A.entropy_view("content").alias("pixels"))
     return _rounded(_dense_row_sums(views))
@@ -162,7 +173,7 @@ def _(t: Tables):
     return _row_sums(N.entropy_cells_view(t.blobs))
 
 
-@query("i5_entropy_view_binned", sql(_entropy_cells_sql(False), ROW_SUMS + " HAVING sum(value) > 0"))
+@query("i5_entropy_view_binned", sql(_entropy_cells_sql(False, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = t.blobs.select("sha", A.entropy_view_binned("content").alias("pixels"))
     return _rounded(_dense_row_sums(views))
@@ -205,7 +216,7 @@ def _(t: Tables):
         .where("total > 0")
 
 
-@query("i8_block_entropy_view", sql(_entropy_cells_sql(True), ROW_SUMS + " HAVING sum(value) > 0"))
+@query("i8_block_entropy_view", sql(_entropy_cells_sql(True, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = B.block_views(t.blobs, 1536).where(F.col("modality") == "entropy")
     return _rounded(_dense_row_sums(views))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from chronoview.functions import kernels
@@ -104,13 +105,22 @@ def merge_parts(parts: DataFrame) -> DataFrame:
     return sums.select("sha", "modality", "cell", value.alias("value"))
 
 
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def dense_pixels(cells: pa.Array, values: pa.Array) -> pa.Array:
+    """4096-pixel arrays from sparse (cell, value) lists; absent cells are 0."""
+    grid = np.zeros((len(cells), kernels.CELLS), dtype=np.float32)
+    rows = np.arange(len(cells)).repeat(cells.value_lengths().to_numpy())
+    grid[rows, cells.flatten().to_numpy()] = values.flatten().to_numpy()
+    offsets = np.arange(len(cells) + 1, dtype=np.int32) * kernels.CELLS
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(grid.ravel()))
+
+
 def assemble(cells: DataFrame) -> DataFrame:
     """Dense pixel arrays from finished cells; a view never has more than 4096."""
-    filled = cells.groupBy("sha", "modality").agg(F.map_from_entries(
-        F.collect_list(F.struct("cell", F.col("value").cast("float").alias("value")))).alias("m"))
-    return filled.select("sha", "modality", F.transform(
-        F.sequence(F.lit(0), F.lit(kernels.CELLS - 1)),
-        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0).cast("float"))).alias("pixels"))
+    lists = cells.groupBy("sha", "modality").agg(
+        F.collect_list(F.struct("cell", "value")).alias("e"))
+    return lists.select("sha", "modality",
+                        dense_pixels(F.col("e.cell"), F.col("e.value")).alias("pixels"))
 
 
 def block_views(blobs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
