@@ -123,13 +123,12 @@ def _advance(s: _Search, values: tuple[float, float, float]) -> None:
         s.high = s.beta
     else:
         s.low = s.beta
-    step = s.beta - slope / curvature if curvature > 0 else s.low - 1.0
-    target = step if s.low < step < s.high else (s.low + s.high) / 2
     tolerance = TOLERANCE * max(1.0, abs(s.beta))
-    if slope == 0 or abs(target - s.beta) <= tolerance or s.high - s.low <= tolerance:
+    step = s.beta - slope / curvature if curvature > 0 else s.low - 1.0
+    if abs(step - s.beta) <= tolerance or s.high - s.low <= tolerance:
         s.open = False
     else:
-        s.beta = target
+        s.beta = step if s.low < step < s.high else (s.low + s.high) / 2
 
 
 def _fit_row(view: str, seed: int, s: _Search) -> tuple:
