@@ -35,6 +35,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for heavy per-row work, over all cores even when it is one small file."""
+        return spread(self.read(name), key)
+
     @cached_property
     def order_rows(self) -> DataFrame:
         """Orders beside their customer's segment and nation."""
@@ -107,7 +111,7 @@ class Tables:
                          F.pmod(F.col("doc_id"), F.lit(425)).cast("int"))
         ts = day.cast("timestamp")
         sha = F.sha2(F.col("doc_id").cast("string"), 256)
-        return spread(self.read("documents"), "doc_id").select(
+        return self.spread("documents", "doc_id").select(
             sha.alias("sha"), "doc_id", F.col("source").alias("family"),
             S.assign_split(ts).alias("split"), S.month_label(ts).alias("month"),
             S.iso_utc(ts).alias("timestamp"),

@@ -70,23 +70,13 @@ def _row_sums(cells):
         F.round(F.sum(F.col("value") * (F.col("c") + 1)), 3).alias("weighted"))
 
 
-def _dense_row_sums(views):
-    """Row sums of dense arrays, inside the row: no pixel is exploded or shuffled."""
-    rows = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda r: F.struct(
-        r.alias("r"), F.slice("pixels", r * 64 + 1, F.lit(64)).alias("p")))
-    each = views.select("sha", F.explode(rows).alias("row")).select(
-        "sha", F.col("row.r").alias("r"), F.col("row.p").alias("p"))
-    weighted = F.transform("p", lambda v, i: v.cast("double") * (i + 1))
-    return each.select(
-        "sha", "r",
-        F.aggregate("p", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"),
-        F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v).alias("weighted")) \
-        .where("total > 0")
-
-
-def _rounded(rows, digits: int = 4):
-    return rows.select("sha", "r", F.round("total", digits).alias("total"),
-                       F.round("weighted", digits - 1).alias("weighted"))
+def _dense_row_sums(views, digits: int = 4):
+    """Row sums of dense arrays, without the rows that are all zero."""
+    cells = N.explode_pixels(views).withColumn("value", F.col("value").cast("double"))
+    sums = cells.groupBy("sha", "r").agg(
+        F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("c") + 1)).alias("weighted"))
+    return sums.where("total > 0").select("sha", "r", F.round("total", digits).alias("total"),
+                                          F.round("weighted", digits - 1).alias("weighted"))
 
 
 # -- bytes, states, transitions ----------------------------------------------------------
@@ -142,7 +132,7 @@ def _(t: Tables):
 @query("i1_raw_byte_view", sql(_raw_cells_sql(True, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = t.blobs.select("sha", A.raw_byte_view("content").alias("pixels"))
-    return _rounded(_dense_row_sums(views))
+    return _dense_row_sums(views)
 
 
 @query("i1_raw_byte_view_native", sql(_raw_cells_sql(True), ROW_SUMS))
@@ -153,7 +143,7 @@ def _(t: Tables):
 @query("i2_raw_byte_view_binned", sql(_raw_cells_sql(False, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = t.blobs.select("sha", A.raw_byte_view_binned("content").alias("pixels"))
-    return _rounded(_dense_row_sums(views))
+    return _dense_row_sums(views)
 
 
 @query("i3_local_entropy", sql(Q.WINDOWS, """
@@ -165,7 +155,7 @@ def _(t: Tables):
 @query("i4_entropy_view", sql(_entropy_cells_sql(True, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = t.blobs.select("sha", A.entropy_view("content").alias("pixels"))
-    return _rounded(_dense_row_sums(views))
+    return _dense_row_sums(views)
 
 
 @query("i4_entropy_view_native", sql(_entropy_cells_sql(True), ROW_SUMS))
@@ -176,7 +166,7 @@ def _(t: Tables):
 @query("i5_entropy_view_binned", sql(_entropy_cells_sql(False, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = t.blobs.select("sha", A.entropy_view_binned("content").alias("pixels"))
-    return _rounded(_dense_row_sums(views))
+    return _dense_row_sums(views)
 
 
 @query("i6_area_resize", sql(_raw_cells_sql(False), """
@@ -219,7 +209,7 @@ def _(t: Tables):
 @query("i8_block_entropy_view", sql(_entropy_cells_sql(True, single=True), ROW_SUMS + " HAVING sum(value) > 0"))
 def _(t: Tables):
     views = B.block_views(t.blobs, 1536).where(F.col("modality") == "entropy")
-    return _rounded(_dense_row_sums(views))
+    return _dense_row_sums(views)
 
 
 # -- datasets of views ------------------------------------------------------------------

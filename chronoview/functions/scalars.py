@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronoview.functions.vectors import let
+
 # The protocol's half-open UTC date ranges, in canonical split order.
 SPLIT_RANGES = (
     ("train", "2019-08-01", "2020-02-01"),
@@ -16,15 +18,16 @@ SPLIT_RANGES = (
 SPLIT_ORDER = ("train", "validation", "test")
 SHA_PATTERN = "^[0-9a-f]{64}$"
 CRC_PATTERN = "^[0-9a-f]{8}$"
-# The spellings of mixed timestamps that a plain cast does not read.
+# The spellings of mixed timestamps that a plain cast does not read, each
+# behind its shape so that only the matching one is tried (a failed parse is slow).
 MIXED_FORMATS = (
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy",
-    "yyyyMMdd",
-    "dd MMM yyyy HH:mm:ss",
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "y/M/d H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/y H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/y H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2}$", "d MMM y H:mm:ss"),
 )
 ISO_PATTERN = (r"^\d{4}-\d{2}-\d{2}"
                r"([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$")
@@ -57,7 +60,9 @@ def parse_mixed_timestamp(col: Column) -> Column:
     text = F.trim(col)
     # A cast would read bare years and times of day too, so it needs a full date first.
     cast = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
-    return F.coalesce(cast, *(F.try_to_timestamp(text, F.lit(fmt)) for fmt in MIXED_FORMATS))
+    shaped = (F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)))
+              for shape, form in MIXED_FORMATS)
+    return F.coalesce(cast, *shaped)
 
 
 def parse_iso_timestamp(col: Column) -> Column:
@@ -80,11 +85,15 @@ def iso_utc(ts: Column) -> Column:
 
 def assign_split(ts: Column, ranges: Sequence[tuple[str, str, str]] = SPLIT_RANGES) -> Column:
     """Half-open ranges; NULL timestamps are 'invalid', all others 'outside_protocol'."""
-    result = F.when(ts.isNull(), F.lit("invalid"))
-    for name, start, end in ranges:
-        inside = (ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp"))
-        result = result.when(inside, F.lit(name))
-    return result.otherwise(F.lit("outside_protocol"))
+    def named(t: Column) -> Column:
+        result = F.when(t.isNull(), F.lit("invalid"))
+        for name, start, end in ranges:
+            inside = (t >= F.lit(start).cast("timestamp")) & (t < F.lit(end).cast("timestamp"))
+            result = result.when(inside, F.lit(name))
+        return result.otherwise(F.lit("outside_protocol"))
+    # A filter on the split is pushed below the parsing of the timestamp; bound once, the
+    # parsing is not repeated for every bound of every range.
+    return let(ts, named)
 
 
 def normalize_split(col: Column) -> Column:

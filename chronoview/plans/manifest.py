@@ -26,10 +26,12 @@ def eligible_rows(metadata: DataFrame, label_map: DataFrame) -> DataFrame:
 
 
 def manifest_problems(rows: DataFrame) -> DataFrame:
-    """Bad ids, repeated ids and unreadable timestamps among the eligible rows."""
-    bad = K.broken_rules(rows.select(F.col("sha").alias("subject"), "ts"), ["subject"], {
-        "sha_format": ~S.is_sha256(F.col("subject")), "timestamp": F.col("ts").isNull()})
-    return bad.unionByName(K.check_ids(rows))
+    """Bad ids, repeated ids and unreadable timestamps among the eligible rows, in one pass."""
+    per_id = rows.groupBy(F.col("sha").alias("subject")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("ts").isNull()).alias("bad_ts"))
+    return K.broken_rules(per_id, ["subject"], {
+        "sha_format": ~S.is_sha256(F.col("subject")), "timestamp": F.col("bad_ts") > 0,
+        "id_repeated": F.col("n") > 1})
 
 
 def build_manifest(metadata: DataFrame, label_map: DataFrame, index: DataFrame | None = None,
