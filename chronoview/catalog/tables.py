@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoview.functions import scalars as S
 from chronoview.operators import cohort as C
+from chronoview.operators import joins as J
 from chronoview.plans.manifest import freeze_label_map
 from chronoview.session import spread
 
@@ -93,14 +94,14 @@ class Tables:
     @cached_property
     def pool(self) -> DataFrame:
         """All samples of the eligible families, whatever their date."""
-        return self.samples.join(self.label_map.select("family", "class_id"), "family").select(
+        return J.attach_class_id(self.samples, self.label_map).select(
             "sha", "family", "class_id")
 
     @cached_property
     def manifest(self) -> DataFrame:
         """Eligible samples inside the protocol with class ids (families keep their case)."""
         known = self.samples.where(F.col("split").isin("train", "validation", "test"))
-        return known.join(self.label_map.select("family", "class_id"), "family").select(
+        return J.attach_class_id(known, self.label_map).select(
             "sha", "family", "class_id", "split", "month",
             S.iso_utc(F.col("ts")).alias("timestamp"), "ts", "o_totalprice")
 

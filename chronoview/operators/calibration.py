@@ -11,7 +11,8 @@ from pyspark.storagelevel import StorageLevel
 from chronoview.errors import ContractViolation
 from chronoview.functions import vectors as V
 from chronoview.operators import metrics as M
-from chronoview.session import BROADCAST_ROWS, small_side
+from chronoview.operators.ranking import lookup_join
+from chronoview.session import BROADCAST_ROWS
 
 MIN_TEMPERATURE = 0.05
 MAX_TEMPERATURE = 20.0
@@ -146,8 +147,8 @@ def _fit_row(view: str, seed: int, s: _Search) -> tuple:
 
 def attach_temperature(predictions: DataFrame, temperatures: DataFrame) -> DataFrame:
     """Predictions beside their model's temperature; the fit has one row per model."""
-    return predictions.join(
-        small_side(temperatures.select("view", "seed", "temperature")), ["view", "seed"])
+    return lookup_join(predictions, temperatures.select("view", "seed", "temperature"),
+                       ["view", "seed"])
 
 
 def calibrate(predictions: DataFrame, temperatures: DataFrame) -> DataFrame:

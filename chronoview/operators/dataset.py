@@ -20,8 +20,9 @@ from chronoview.operators.validate import broken_rules
 from chronoview.session import BROADCAST_ROWS
 
 MODALITIES = ("raw_byte", "entropy", "sbsmi")
-# Blobs above this size are viewed block by block, so that several tasks share one blob.
-LARGE_BLOB = 256 << 20
+# Blobs above this size are viewed block by block, so that several tasks share one blob and
+# 64 of them, the session's Arrow batch, stay below the 2 GB an Arrow binary column holds.
+LARGE_BLOB = 31 << 20
 IDENTITY = ("family", "class_id", "split", "month", "timestamp")
 
 

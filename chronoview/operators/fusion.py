@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chronoview.functions import vectors as V
-from chronoview.session import small_side
+from chronoview.operators.ranking import lookup_join
 
 # The views, and the quality scales tried by the selection.
 VIEWS = ("raw_byte", "entropy", "sbsmi")
@@ -65,7 +65,11 @@ def fuse_weighted(calibrated: DataFrame, weights: DataFrame,
     wide = weights.groupBy("seed", "quality_scale").agg(
         *(F.max(F.when(F.col("view") == v, F.col("log_weight"))).alias(f"_w_{v}")
           for v in views))
-    both = aligned.join(small_side(wide), "seed")
+    # One row per seed and scale: arrays of weights keep the join key unique.
+    listed = wide.groupBy("seed").agg(F.collect_list(F.struct(
+        "quality_scale", *(f"_w_{v}" for v in views))).alias("_scales"))
+    both = lookup_join(aligned, listed, ["seed"]).withColumn("_s", F.explode("_scales")) \
+        .select(*aligned.columns, "_s.*")
     mixed = V.add_scalar(F.col(views[0]), F.col(f"_w_{views[0]}"))
     for view in views[1:]:
         mixed = V.log_add(mixed, V.add_scalar(F.col(view), F.col(f"_w_{view}")))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoview.functions import scalars as S
-from chronoview.session import small_side
+from chronoview.operators.ranking import lookup_join
 
 
 def attach_class_id(df: DataFrame, label_map: DataFrame) -> DataFrame:
-    """Many-to-one join to the frozen class map (broadcast when its count allows)."""
-    return df.join(small_side(label_map.select("family", "class_id")), "family")
+    """Many-to-one join to the frozen class map."""
+    return lookup_join(df, label_map.select("family", "class_id"), ["family"])
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -57,8 +57,8 @@ def range_split_join(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     days = ranges.select("split", F.explode(F.sequence(
         F.col("start").cast("date"), F.date_sub(F.col("stop").cast("date"), 1))).alias("_day"))
-    return (df.withColumn("_day", F.col("ts").cast("date"))
-            .join(days, "_day", "left").drop("_day")
+    return (lookup_join(df.withColumn("_day", F.col("ts").cast("date")), days, ["_day"], "left")
+            .drop("_day")
             .withColumn("split", F.when(F.col("ts").isNull(), "invalid")
                         .otherwise(F.coalesce("split", F.lit("outside_protocol")))))
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from chronoview.errors import ContractViolation
 from chronoview.functions import scalars as S
-from chronoview.operators.ranking import ranked, seeded_order, sha_bucket
+from chronoview.operators.ranking import lookup_join, ranked, seeded_order, sha_bucket
 
 # Above this many rows per group, ranks come from bucket sizes; below it Spark's own
 # window group limit keeps at most that many rows per group before the shuffle.
@@ -18,7 +18,7 @@ GROUP_LIMIT = 1000
 
 
 def filter_eligible(df: DataFrame, label_map: DataFrame) -> DataFrame:
-    return df.join(label_map.select("family"), "family", "left_semi")
+    return lookup_join(df, label_map.select("family"), ["family"], "left_semi")
 
 
 def filter_candidates(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoview.functions import scalars as S
 from chronoview.functions import vectors as V
+from chronoview.operators.ranking import lookup_join
 
 
 def broken_rules(df: DataFrame, subject: Sequence[str], rules: dict[str, Column]) -> DataFrame:
@@ -75,8 +76,9 @@ def check_manifest(manifest: DataFrame, label_map: DataFrame,
     names = {name for name, _, _ in ranges}
     frozen = label_map.select(F.col("family").alias("_family"),
                               F.col("class_id").cast("string").alias("_class"))
-    keyed = manifest.withColumn("_family", S.normalize_family(F.col("family"), lower=True)) \
-        .join(frozen, "_family", "left")
+    keyed = lookup_join(
+        manifest.withColumn("_family", S.normalize_family(F.col("family"), lower=True)),
+        frozen, ["_family"], "left")
     ts = S.parse_iso_timestamp(F.col("timestamp").cast("string"))
     split = S.normalize_split(F.col("split"))
     size = F.nullif(F.trim(F.col("file_size").cast("string")), F.lit(""))

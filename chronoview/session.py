@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows carry whole blobs: the default of 10,000 per batch would be many gigabytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
 }
 
 # Rows a frame may have before this package will broadcast it.
@@ -79,16 +80,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: more rows than ``max_rows`` join by shuffle.
-
-    The frame should be frozen or a plain scan, since it is read once for the count.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition a plain scan by ``key`` when it has fewer splits than there are cores.
 

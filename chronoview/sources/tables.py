@@ -18,17 +18,18 @@ MANIFEST_COLUMNS = ("sha", "family", "class_id", "split", "month", "timestamp",
                     "file_size", "zip_crc32")
 
 
-def scan_contract_csv(spark: SparkSession, path: str,
-                      required: set[str] | None = None) -> DataFrame:
+def scan_contract_csv(spark: SparkSession, path: str, required: set[str] | None = None,
+                      multi_line: bool = False) -> DataFrame:
     """CSV whose columns all stay strings; a byte-order mark in the header is dropped.
 
-    Only the header line reaches the driver; rows are read by the executors.
+    Only the header line reaches the driver; rows are read by the executors. Line breaks
+    inside quotes need ``multi_line``, which makes a file one task; without it files split.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first or not first[0].value.strip("﻿ \t"):
         raise ContractViolation(f"{path} is empty or has no header")
     rows = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("enforceSchema", False).csv(path))
+            .option("multiLine", multi_line).option("enforceSchema", False).csv(path))
     rows = rows.toDF(*(name.replace("﻿", "") for name in rows.columns))
     if required:
         require_columns(rows, required, path)

@@ -16,7 +16,8 @@ BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content
 
 def incremental_views(spark: SparkSession, source: str, manifest: DataFrame, config_id: str,
                       output: str, log: str, checkpoint: str,
-                      modalities: Sequence[str] = G.MODALITIES) -> None:
+                      modalities: Sequence[str] = G.MODALITIES,
+                      files_per_batch: int = 100_000) -> None:
     """Process every file not yet seen under ``source`` and stop.
 
     The stream's checkpoint remembers the files; the log keeps a replayed batch from
@@ -24,7 +25,8 @@ def incremental_views(spark: SparkSession, source: str, manifest: DataFrame, con
     retried batch replaces its own output only.
     """
     files = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-             .option("recursiveFileLookup", True).load(source)
+             .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+             .load(source)
              .select(F.col("path").alias("member"), S.sha_from_filename(F.col("path"))
                      .alias("sha"), "content"))
 
