@@ -16,7 +16,7 @@ from chronoview.operators import provenance as P
 from chronoview.operators import selection as L
 from chronoview.operators import validate as V
 from chronoview.plans import manifest as M
-from chronoview.session import freeze, scratch_path
+from chronoview.session import freeze, scratch_path, staged
 from chronoview.sources import binaries as B
 from chronoview.sources import sinks as W
 from chronoview.sources import tables as T
@@ -760,7 +760,9 @@ BLOB_ORDER = (*S.SPLIT_ORDER, "outside_protocol")
 
 
 def _contents(t: Tables):
-    return t.blobs.select(F.sha2("content", 256).alias("content_sha256"), "sha", "split", "month")
+    """Hashed once: everything after reads the narrow table, not the contents."""
+    return staged(t.blobs.select(F.sha2("content", 256).alias("content_sha256"), "sha", "split",
+                                 "month"), "contents")
 
 
 @query("e24_cross_split_duplicates", sql(CONTENTS, """

@@ -53,8 +53,11 @@ class Tables:
     @cached_property
     def samples(self) -> DataFrame:
         """Clean samples: sha, family, ts, month, split."""
+        return self._samples(self.order_rows)
+
+    def _samples(self, order_rows: DataFrame) -> DataFrame:
         ts = F.col("o_orderdate").cast("timestamp")
-        return self.order_rows.select(
+        return order_rows.select(
             F.col("key_sha").alias("sha"), F.col("n_name").alias("family"), ts.alias("ts"),
             S.month_label(ts).alias("month"), S.assign_split(ts, RANGES).alias("split"),
             "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
@@ -81,7 +84,8 @@ class Tables:
 
     @cached_property
     def train(self) -> DataFrame:
-        return self.samples.where(F.col("split") == "train")
+        return self._samples(self.order_rows.where(
+            S.in_splits(F.col("o_orderdate"), ["train"], RANGES)))
 
     @cached_property
     def support(self) -> DataFrame:

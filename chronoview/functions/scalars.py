@@ -96,6 +96,16 @@ def assign_split(ts: Column, ranges: Sequence[tuple[str, str, str]] = SPLIT_RANG
     return let(ts, named)
 
 
+def in_splits(ts: Column, splits: Sequence[str],
+              ranges: Sequence[tuple[str, str, str]] = SPLIT_RANGES) -> Column:
+    """Plain range predicate for stored timestamps, which the scan can push down."""
+    inside = F.lit(False)
+    for name, start, end in ranges:
+        if name in splits:
+            inside = inside | ((ts >= F.lit(start)) & (ts < F.lit(end)))
+    return inside
+
+
 def normalize_split(col: Column) -> Column:
     """Canonical split name, NULL when the split is unknown."""
     text = F.lower(F.trim(col))

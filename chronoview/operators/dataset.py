@@ -39,13 +39,19 @@ def pixels_sha256(pixels: pa.Array) -> pa.Array:
 
 
 def view_rows(blobs: DataFrame, modalities: Sequence[str] = MODALITIES,
-              carry: Sequence[str] = (), large_blob: int | None = LARGE_BLOB) -> DataFrame:
-    """(sha, carry.., modality, pixels, error) for (sha, carry.., content).
+              carry: Sequence[str] = (), large_blob: int | None = None) -> DataFrame:
+    """(sha, carry.., modality, pixels, error) for (sha, carry.., content[, size]).
 
-    Map-only for ordinary blobs: the content reaches Python once and is dropped there.
+    Map-only for ordinary blobs: the content is scanned once, reaches Python once and is
+    dropped there. With a ``size`` column, as the binary sources give it, blobs above
+    ``large_blob`` (LARGE_BLOB unless given) go block by block; the file source applies
+    that filter to its listing, so no content is read twice.
     """
     kept = ["sha", *carry]
-    size = F.octet_length("content")
+    sized = "size" in blobs.columns
+    if large_blob is None and sized:
+        large_blob = LARGE_BLOB
+    size = F.col("size") if sized else F.octet_length("content")
     ordinary = blobs if large_blob is None else blobs.where(
         F.coalesce(size <= large_blob, F.lit(True)))
     fields = [blobs.schema[c] for c in kept]
@@ -64,7 +70,7 @@ def view_rows(blobs: DataFrame, modalities: Sequence[str] = MODALITIES,
 
 def generate_views(manifest: DataFrame, blobs: DataFrame, config_id: str,
                    modalities: Sequence[str] = MODALITIES,
-                   large_blob: int | None = LARGE_BLOB) -> DataFrame:
+                   large_blob: int | None = None) -> DataFrame:
     """One row per (sample, modality): identity, fingerprint, pixels, digest and status.
 
     Contents are never shuffled. A manifest small enough to broadcast filters them before
@@ -76,7 +82,8 @@ def generate_views(manifest: DataFrame, blobs: DataFrame, config_id: str,
         blobs = blobs.join(F.broadcast(manifest.select("sha")), "sha", "left_semi")
     prints = S.content_fingerprint(F.col("content"))
     carry = ("source_member", *prints)
-    printed = blobs.select("sha", F.col("member").alias("source_member"), "content",
+    sized = ["size"] if "size" in blobs.columns else []
+    printed = blobs.select("sha", F.col("member").alias("source_member"), "content", *sized,
                            *(column.alias(name) for name, column in prints.items()))
     return (view_rows(printed, modalities, carry, large_blob).join(identity, "sha")
             .withColumn("output_sha256", pixels_sha256(F.col("pixels")))

@@ -29,15 +29,13 @@ def repeated_folds(samples: DataFrame, k: int = 10, seeds: Sequence[int] = DEFAU
     # One row per class: the running total is over classes, not samples.
     before = W.orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(label, F.coalesce(F.sum("_size").over(before), F.lit(0))
-                           .alias("_offset"))
+                           .alias("start"))
     seeded = (samples.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
               .withColumn("_order", seeded_order(F.col("sha"), F.col("seed"))))
     numbered = ranked(seeded, ["seed", label], [F.col("_order"), F.col("sha")],
-                      sha_bucket(F.col("_order")), "_rank")
-    return (numbered.join(offsets, label)
-            .withColumn("test_fold", F.pmod(F.col("_offset") + F.col("_rank") - 1, F.lit(k))
-                        .cast("int"))
-            .drop("_order", "_rank", "_offset"))
+                      sha_bucket(F.col("_order")), "_rank", offsets, [label])
+    return (numbered.withColumn("test_fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int"))
+            .drop("_order", "_rank"))
 
 
 def stratified_folds(samples: DataFrame, k: int = 10, seed: int = 42,

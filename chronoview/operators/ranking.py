@@ -25,12 +25,14 @@ def seeded_order(sha: Column, seed: Column | int) -> Column:
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
-           name: str = "rank") -> DataFrame:
+           name: str = "rank", start: DataFrame | None = None,
+           start_keys: Sequence[str] = ()) -> DataFrame:
     """row_number() per ``keys`` in ``order``, without sorting a whole group in one task.
 
     ``bucket`` must grow with the order. Bucket sizes give each bucket its first number,
     so only (keys, bucket) has to fit one task; a key holding a third of all rows is
-    still ranked by as many tasks as it has buckets.
+    still ranked by as many tasks as it has buckets. ``start`` (start_keys, start) adds a
+    first number per group; it is joined to the bucket sizes, never to the rows.
     """
     cut = df.withColumn("_bucket", bucket)
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
@@ -38,6 +40,9 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket:
                .rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select(*keys, "_bucket", F.coalesce(
         F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    if start is not None:
+        offsets = offsets.join(start, list(start_keys)).select(
+            *keys, "_bucket", (F.col("_before") + F.col("start")).alias("_before"))
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     return (cut.join(offsets, [*keys, "_bucket"])
             .withColumn(name, F.col("_before") + F.row_number().over(inside))

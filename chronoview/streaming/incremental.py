@@ -28,7 +28,7 @@ def incremental_views(spark: SparkSession, source: str, manifest: DataFrame, con
              .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
              .load(source)
              .select(F.col("path").alias("member"), S.sha_from_filename(F.col("path"))
-                     .alias("sha"), "content"))
+                     .alias("sha"), F.col("length").alias("size"), "content"))
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         views = G.generate_views(manifest, batch, config_id, modalities)
