@@ -1,4 +1,4 @@
-"""The reference's data model expressed over the given tables, in Spark and in SQL."""
+"""The cohort data model expressed over the given tables, in Spark and in SQL."""
 
 from __future__ import annotations
 

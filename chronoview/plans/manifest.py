@@ -12,7 +12,7 @@ from chronoview.functions import scalars as S
 from chronoview.operators import cohort as C
 from chronoview.operators import joins as J
 from chronoview.operators import validate as K
-from chronoview.session import freeze
+from chronoview.session import freeze, staged
 from chronoview.sources import tables as T
 
 
@@ -37,9 +37,14 @@ def manifest_problems(rows: DataFrame) -> DataFrame:
 def build_manifest(metadata: DataFrame, label_map: DataFrame, index: DataFrame | None = None,
                    ranges: Sequence[tuple[str, str, str]] = S.SPLIT_RANGES,
                    check: bool = True) -> DataFrame:
-    """Canonical manifest rows inside the protocol, in canonical order."""
+    """Canonical manifest rows inside the protocol, in canonical order.
+
+    With checks, the eligible rows are written once to the shared folder: the check, the
+    sampling for the sort and the sort itself read the parsed rows instead of the text.
+    """
     rows = eligible_rows(metadata, label_map)
     if check:
+        rows = staged(rows, "eligible")
         require_clean(manifest_problems(rows), "eligible metadata")
     split = rows.withColumn("split", S.assign_split(F.col("ts"), ranges)).where(
         F.col("split").isin(*(name for name, _, _ in ranges)))
