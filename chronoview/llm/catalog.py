@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from chronoview.llm import common, mixing, tokens
+from chronoview.llm import common, exact, mixing, neardup, packing, tokens
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -18,7 +18,20 @@ def op4_token_counts(spark, folder):
     return tokens.token_counts(common.documents(spark, folder), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_token_counts)}
+def op5_pack_sequences(spark, folder):
+    return packing.pack(common.documents(spark, folder), WORDS)
+
+
+def op7_exact_dedup(spark, folder):
+    return exact.exact_duplicates(common.documents(spark, folder))
+
+
+def op10_near_dedup(spark, folder):
+    return neardup.near_duplicates(common.documents(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op4_token_counts, op5_pack_sequences, op7_exact_dedup, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op1_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -55,4 +68,31 @@ picks AS (SELECT source, max((size, doc_id)) AS pick FROM gaps
 SELECT g.doc_id, g.size::BIGINT AS size, g.source_size, g.target,
        ((g.epochs + CASE WHEN g.inside OR coalesce((g.size, g.doc_id) = p.pick, false)
                          THEN 1 ELSE 0 END) * g.size)::BIGINT AS taken, g.source
-FROM gaps g LEFT JOIN picks p ON g.source IS NOT DISTINCT FROM p.source"""}
+FROM gaps g LEFT JOIN picks p ON g.source IS NOT DISTINCT FROM p.source""", "op7_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER same
+         AND row_number() OVER (PARTITION BY coalesce(text, ''), doc_id) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op10_near_dedup": r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    END) AS s FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+           FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id,
+       d.doc_id = min(other) AS kept
+FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id"""}
