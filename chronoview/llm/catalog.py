@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from chronoview.llm import common, exact, mixing, neardup, packing, tokens
+from chronoview.llm import common, exact, mixing, neardup, packing, quality, tokens
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,11 @@ def op5_pack_sequences(spark, folder):
     return packing.pack(common.documents(spark, folder), WORDS)
 
 
+def op6_quality_rules(spark, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality.quality_report(common.documents(spark, folder), labels)
+
+
 def op7_exact_dedup(spark, folder):
     return exact.exact_duplicates(common.documents(spark, folder))
 
@@ -31,7 +36,8 @@ def op10_near_dedup(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op4_token_counts, op5_pack_sequences, op7_exact_dedup, op10_near_dedup)}
+    op1_mix_sources, op4_token_counts, op5_pack_sequences, op6_quality_rules, op7_exact_dedup,
+    op10_near_dedup)}
 ORACLES: dict[str, str] = {"op1_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source,
