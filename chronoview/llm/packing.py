@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -40,6 +41,43 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKETS = 256
 
 
+# Marks the tokenizer always parts from a letter or digit before them and from a
+# letter after them (none occurs in a special token, none is an apostrophe).
+MARKS = b".,;:!?*#$%&()"
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(MARKS)] = True
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_IS_DIGIT = np.zeros(256, bool)
+_IS_DIGIT[list(b"0123456789")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+# Texts left as they are: special strings keep their case, and a mark that combines with a
+# letter may compose with its small form only.
+AS_THEY_ARE = "<\\||[\u0300-\u036f]"
+
+
+def part_marks(texts: pa.Array) -> pa.Array:
+    """Lower A-Z and put a space between letters or digits and marks, where the tokenizer cuts
+    anyway: fewer distinct words are left to encode, and the ids stay the same."""
+    _, offsets, buffer = texts.buffers()
+    if buffer is None:
+        return texts
+    wide = pa.types.is_large_string(texts.type)
+    bounds = np.frombuffer(offsets, np.int64 if wide else np.int32)[
+        texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = _LOWER[np.frombuffer(buffer, np.uint8)[bounds[0]:bounds[-1]]]
+    bounds -= bounds[0]
+    mark, letter = _IS_MARK[data], _IS_LETTER[data]
+    before = letter | _IS_DIGIT[data]
+    # Two-byte letters from 0xC3 0x80 on, without the signs for times and divided by.
+    before[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    at = np.flatnonzero((before[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+    spread = np.insert(data, at, 0x20)
+    moved = (bounds + np.searchsorted(at, bounds, "left")).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved), pa.py_buffer(spread))
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, word by word.
 
@@ -51,21 +89,43 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode words not met before; words of letters alone are one unit of the tokenizer
+        each and go together in one string."""
+        plain = [w for w in new if w.isalpha()]
+        for start in range(0, len(plain), 1000):
+            words = plain[start:start + 1000]
+            found = self.model.encode(" ".join(words), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(words)))
+            raw = ids.tobytes()
+            begin = 0
+            for word, end in zip(words, (ends * 4).tolist()):
+                self.known[word] = raw[begin:end]
+                begin = end
+        others = [w for w in new if not w.isalpha()]
+        if others:
+            for word, found in zip(others, self.model.encode_batch_fast(
+                    others, add_special_tokens=False)):
+                self.known[word] = array("I", found.ids).tobytes()
+
     def word_ids(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in words if w not in known]
-        if new:
-            encoded = self.model.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
+        self._learn([w for w in words if w not in known])
         return [known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text's begin (n + 1)."""
+        as_they_are = pc.match_substring_regex(texts, AS_THEY_ARE)
+        if pc.any(as_they_are).as_py():
+            texts = pc.if_else(as_they_are, texts, part_marks(texts))
+        else:
+            texts = part_marks(texts)
         split = pc.ascii_split_whitespace(texts)
         flat = pc.dictionary_encode(split.flatten())
-        ids = self.word_ids(flat.dictionary.to_pylist())
+        ids = self.word_ids(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
         codes = flat.indices.to_numpy()
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         pool = np.frombuffer(b"".join(ids), "<u4")

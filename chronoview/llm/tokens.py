@@ -73,7 +73,7 @@ class PieceCounter:
             return np.array([self._long(texts[0].as_py())], np.int64)
         split = pc.split_pattern(texts, " ")
         flat = pc.dictionary_encode(split.flatten())
-        words = flat.dictionary.to_pylist()
+        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         per_word = self.unit_counts(words) if words else np.zeros(0, np.int64)
         codes = flat.indices.to_numpy()
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
