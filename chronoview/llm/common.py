@@ -16,11 +16,11 @@ GAP = r"[\x20\x09-\x0D]"
 ARROW = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
-#: Bits of the sieve: 2^27 bits are 16 MB however many keys go in.
-SIEVE_BITS = 1 << 27
+#: Bits of the sieve: 2^25 bits are 4 MB however many keys go in.
+SIEVE_BITS = 1 << 25
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -87,7 +87,7 @@ def sieve_place(key: Column) -> Column:
 
 
 def sieve_of(keys: DataFrame, key: str) -> DataFrame:
-    """Bitmap of 64-bit keys, at most 16 MB: one row per used stretch of 32,768 bits.
+    """Bitmap of 64-bit keys, at most 4 MB: one row per used stretch of 32,768 bits.
 
     It only spares rows a shuffle: a row it lets through is still checked exactly.
     """

@@ -35,7 +35,7 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 HAND = 24
 DEALS = 4
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 # An estimate this many deviations below the threshold ends a pair unchecked.
 DEVIATIONS = 6.0
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 IS_GAP = np.zeros(256, bool)
 IS_GAP[[9, 10, 11, 12, 13, 32]] = True
 
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
