@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from chronoview.llm import common, exact, mixing, neardup, packing, quality, tokens
+from chronoview.llm import (
+    common,
+    exact,
+    langid,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    tokens,
+)
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -14,6 +23,10 @@ def op1_mix_sources(spark, folder):
     return mixing.mix_report(common.documents(spark, folder))
 
 
+def op3_language_id(spark, folder):
+    return langid.identify(common.documents(spark, folder))
+
+
 def op4_token_counts(spark, folder):
     return tokens.token_counts(common.documents(spark, folder), PIECES)
 
@@ -36,7 +49,7 @@ def op10_near_dedup(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op4_token_counts, op5_pack_sequences, op6_quality_rules, op7_exact_dedup,
+    op1_mix_sources, op3_language_id, op4_token_counts, op5_pack_sequences, op6_quality_rules, op7_exact_dedup,
     op10_near_dedup)}
 ORACLES: dict[str, str] = {"op1_mix_sources": r"""
 WITH sized AS (
