@@ -12,6 +12,7 @@ from chronoview.llm import (
     neardup,
     packing,
     quality,
+    scoring,
     tokens,
 )
 
@@ -44,13 +45,17 @@ def op7_exact_dedup(spark, folder):
     return exact.exact_duplicates(common.documents(spark, folder))
 
 
+def op9_lm_scores(spark, folder):
+    return scoring.language_model_scores(common.documents(spark, folder))
+
+
 def op10_near_dedup(spark, folder):
     return neardup.near_duplicates(common.documents(spark, folder))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op3_language_id, op4_token_counts, op5_pack_sequences, op6_quality_rules, op7_exact_dedup,
-    op10_near_dedup)}
+    op9_lm_scores, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op1_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source,
