@@ -1,6 +1,6 @@
 """Language-model scores: prediction by partial matching over bytes, and a unigram base.
 
-The corpus model is a byte-context trie of three context bytes, trained from n-gram counts of
+The corpus model is a byte-context trie of five context bytes, trained from n-gram counts of
 all training documents and stored as sorted arrays. The probability of a byte is looked for in
 the longest context seen; failing that, the model escapes to the next shorter one (method C:
 as many escapes as distinct bytes seen there), where the bytes of the longer context are
@@ -29,7 +29,8 @@ from chronoview.llm.langid import held_out
 from chronoview.llm.words import lower_bytes, word_hashes, word_spans
 from chronoview.session import staged
 
-CONTEXT = 3
+CONTEXT = 5
+CODE = np.uint32 if CONTEXT < 4 else np.uint64
 SYMBOLS = 257  # bytes and the end of a text
 PAD, END = 0xFE, 0xFF  # no byte of UTF-8
 FOLDS, HELD = 7, 2
@@ -44,7 +45,7 @@ SCORED = ("row long, doc_id long, held_out boolean, n_words long, hot_known long
 
 
 def framed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in a row, each after three pads and before an end mark, and where each begins."""
+    """Texts in a row, each after pads and before an end mark, and where each begins."""
     n = len(bounds) - 1
     extra = CONTEXT + 1
     begins = bounds + extra * np.arange(n + 1)
@@ -56,10 +57,12 @@ def framed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def windows(framed_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit codes of context and symbol at every symbol, and the symbols' places."""
-    wide = framed_bytes.astype(np.uint32)
-    codes = (wide[:-3] << np.uint32(24)) | (wide[1:-2] << np.uint32(16)) | (
-        wide[2:-1] << np.uint32(8)) | wide[3:]
+    """Codes of context and symbol at every symbol, one byte each, and the symbols' places."""
+    n = max(0, len(framed_bytes) - CONTEXT)
+    codes = np.zeros(n, CODE)
+    for k in range(CONTEXT + 1):
+        codes <<= CODE(8)
+        codes |= framed_bytes[k:k + n]
     real = framed_bytes[CONTEXT:] != PAD
     return codes[real], np.flatnonzero(real) + CONTEXT
 
@@ -157,9 +160,9 @@ class Level:
     """All contexts of one length: what they have seen, and what an escape into them costs."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, shorter: Level | None):
-        self.keys = keys.astype(np.uint32)
+        self.keys = keys.astype(CODE)
         self.log_count = np.log(counts.astype(float))
-        owners = self.keys >> np.uint32(8)
+        owners = self.keys >> CODE(8)
         self.contexts, first = np.unique(owners, return_index=True)
         total = np.add.reduceat(counts.astype(float), first) if len(keys) else np.zeros(0)
         kinds = np.diff(np.append(first, len(keys))).astype(float)
@@ -172,10 +175,10 @@ class Level:
             self.below_log_all, self.below_log_escape = np.log(left), np.zeros(len(left))
             return
         # Escaping from here into the next shorter context leaves out the symbols seen here.
-        depth_mask = np.uint32(shorter.mask)
+        depth_mask = CODE(shorter.mask)
         at, _ = find(shorter.keys, self.keys & depth_mask)
-        there, _ = find(shorter.contexts, (self.contexts << np.uint32(8) & depth_mask)
-                        >> np.uint32(8))
+        there, _ = find(shorter.contexts, (self.contexts << CODE(8) & depth_mask)
+                        >> CODE(8))
         excluded = np.add.reduceat(np.exp(shorter.log_count[at]), first) if len(
             keys) else np.zeros(0)
         total_left = np.maximum(np.round(shorter.total[there] - excluded), 0.0)
@@ -199,7 +202,7 @@ class Trie:
             level.mask = (1 << 8 * (k + 1)) - 1
             self.levels.append(level)
         top = self.levels[-1]
-        own = np.searchsorted(top.contexts, top.keys >> np.uint32(8))
+        own = np.searchsorted(top.contexts, top.keys >> CODE(8))
         self.log_p = (top.log_count - top.log_all[own]).astype(np.float32)
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
@@ -214,11 +217,11 @@ class Trie:
         above = np.full(len(rows), -1)
         for k in range(CONTEXT, -1, -1):
             level = self.levels[k]
-            mask = np.uint32(level.mask)
+            mask = CODE(level.mask)
             if k < CONTEXT:
                 longer = self.levels[k + 1]
                 at, hit = find(level.keys, left & mask)
-                context, _ = find(level.contexts, (left & mask) >> np.uint32(8))
+                context, _ = find(level.contexts, (left & mask) >> CODE(8))
                 whole = np.where(above >= 0, longer.below_log_all[above] if len(
                     longer.below_log_all) else 0.0, level.log_all[context] if len(
                         level.log_all) else 0.0)
@@ -229,7 +232,7 @@ class Trie:
                 spent, above = spent[open_ones], above[open_ones]
             if not len(rows):
                 return result
-            context, known = find(level.contexts, (left & mask) >> np.uint32(8))
+            context, known = find(level.contexts, (left & mask) >> CODE(8))
             fresh = above < 0
             if k < CONTEXT and len(longer.below_log_escape):
                 spent = spent + np.where(fresh, 0.0, longer.below_log_escape[above])
@@ -249,7 +252,7 @@ def trained_trie(counts: DataFrame) -> Trie:
     for k in range(CONTEXT, -1, -1):
         layers.append(arrays(most_frequent(grams, TRIE)))
         if k:
-            shorter = F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1))
+            shorter = F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
             grams = staged(grams.groupBy(shorter.alias("key")).agg(F.count("*").alias("n")),
                            "score-grams")
     return Trie(layers[::-1])
