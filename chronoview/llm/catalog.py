@@ -11,6 +11,7 @@ from chronoview.llm import (
     mixing,
     neardup,
     packing,
+    pages,
     quality,
     scoring,
     tokens,
@@ -45,6 +46,11 @@ def op7_exact_dedup(spark, folder):
     return exact.exact_duplicates(common.documents(spark, folder))
 
 
+def op8_main_text(spark, folder):
+    table = common.prepare(spark).read.parquet(f"{folder}/pages.parquet")
+    return pages.extract(table)
+
+
 def op9_lm_scores(spark, folder):
     return scoring.language_model_scores(common.documents(spark, folder))
 
@@ -55,7 +61,7 @@ def op10_near_dedup(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op3_language_id, op4_token_counts, op5_pack_sequences, op6_quality_rules, op7_exact_dedup,
-    op9_lm_scores, op10_near_dedup)}
+    op8_main_text, op9_lm_scores, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op1_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str,
                 limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start, held = 0, 0
         for row, size in enumerate(sizes):
             if row > start and held + size > limit:
