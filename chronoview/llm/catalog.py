@@ -12,6 +12,7 @@ from chronoview.llm import (
     neardup,
     packing,
     pages,
+    pii,
     quality,
     scoring,
     tokens,
@@ -25,6 +26,10 @@ def op1_mix_sources(spark, folder):
     return mixing.mix_report(common.documents(spark, folder))
 
 
+def op2_personal_data(spark, folder):
+    return pii.personal_data(common.documents(spark, folder))
+
+
 def op3_language_id(spark, folder):
     return langid.identify(common.documents(spark, folder))
 
@@ -60,7 +65,7 @@ def op10_near_dedup(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op3_language_id, op4_token_counts, op5_pack_sequences, op6_quality_rules, op7_exact_dedup,
+    op1_mix_sources, op2_personal_data, op3_language_id, op4_token_counts, op5_pack_sequences, op6_quality_rules, op7_exact_dedup,
     op8_main_text, op9_lm_scores, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op1_mix_sources": r"""
 WITH sized AS (
