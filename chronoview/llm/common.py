@@ -40,6 +40,18 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def packed(docs: DataFrame, *names: str | Column) -> DataFrame:
+    """Whole rows in one column ``_row`` beside the columns that are worked with.
+
+    What an operator adds can then not clash with a column of the documents.
+    """
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *names)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.transform(F.array(value), body)[0]

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoview.llm.common import sieve_of, sift, whole
+from chronoview.llm.common import packed, sieve_of, sift, unpacked, whole
 from chronoview.session import staged
 
 # Rows a sender holds at most; a larger partition sends in several blocks.
@@ -237,12 +237,9 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     largest doc_id stays (ties by the other columns).
     """
     sieve = sieve_of_suspects(exchange(docs))
-    columns = docs.columns
-    ids = F.struct(F.col("doc_id").alias("c0"),
-                   *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns, 1)))
-    sifted = sift(docs, fingerprint(whole()), sieve)
-    unique = sifted.where(~F.col("_maybe")).select(*columns)
-    chosen = (sifted.where("_maybe").select(whole().alias("_text"), ids.alias("_row"))
-              .groupBy("_text").agg(F.max("_row").alias("_row")))
-    kept = chosen.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(columns, 1)))
-    return unique.unionByName(kept)
+    sifted = sift(packed(docs, whole().alias("_text")), fingerprint(F.col("_text")), sieve)
+    unique = sifted.where(~F.col("_maybe"))
+    chosen = (sifted.where("_maybe").groupBy("_text").agg(
+        F.max(F.struct(F.col("_row.doc_id").alias("_id"), "_row")).alias("_best"))
+        .select(F.col("_best._row").alias("_row")))
+    return unpacked(unique).unionByName(unpacked(chosen))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chronoview.llm.common import whole, without, word_count
+from chronoview.llm.common import packed, unpacked, whole, without, word_count
 from chronoview.session import staged
 
 # Buckets per doubling of the key; a bucket holds at most about 0.4 % of a source.
@@ -158,7 +158,7 @@ def mix(docs: DataFrame, pattern: Sequence[int] = (3, 1, 2), share: float = 1.5,
     """The documents of the mix, whole rows, each as often as it is taken."""
     sizes = staged(measured(docs.select("doc_id", "text", "source"), seed).select(
         "doc_id", "source", "_size", "_key", "_bucket"), "mix-sizes")
-    mixed = with_copies(measured(docs, seed), source_cuts(sizes, pattern, share, cap))
-    return mixed.where(F.col("_copies") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        *docs.columns)
+    rows = measured(packed(docs, "doc_id", "text", "source"), seed)
+    mixed = with_copies(rows, source_cuts(sizes, pattern, share, cap))
+    return unpacked(mixed.where(F.col("_copies") > 0).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))

@@ -8,7 +8,8 @@ a short text would leave most prefixes empty and could not be banded.)
 1. Documents with equal sets form one class; from here on a class counts once.
 2. Four registers make a band. Classes that share a band form a bucket. At similarity 0.8 all
    32 bands miss with probability 5e-8.
-3. Every bucket links its members to its smallest one, never all with all. Pairs are dropped
+3. Every class is paired with the smallest of its buckets' members, then with the smallest
+   member of each bucket that it is not connected to, never all with all. Pairs are dropped
    when the collision-corrected estimate is far below the threshold, the rest are compared on
    their full sets.
 4. A bucket whose members are not all connected yet is dealt into small hands by hash, and
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoview.llm.common import byte_slices, sieve_of, sift
+from chronoview.llm.common import byte_slices, packed, sieve_of, sift, unpacked
 from chronoview.llm.words import lower_bytes, mix, word_hashes, word_spans
 from chronoview.session import staged
 
@@ -196,12 +197,23 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
         "label", F.coalesce("label", "node"))
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sides are not connected yet."""
+    def side(name):
+        return labels.select(F.col("node").alias(name), F.col("label").alias(f"_{name}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def dealt_pairs(members: DataFrame, labels: DataFrame, deal: int, hand: int) -> DataFrame:
     """Pairs of different components within the hands of every bucket not yet connected."""
     marked = labelled(members, labels)
     buckets = marked.groupBy("band", "key").agg(
         F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n"))
-    open_ones = buckets.where("_low != _high").select("band", "key", "_n")
+    # A bucket of one hand was compared completely in the first deal.
+    least = 0 if deal == 0 else hand
+    open_ones = buckets.where((F.col("_low") != F.col("_high")) & (F.col("_n") > least)).select(
+        "band", "key", "_n")
     hands = F.ceil(F.col("_n") / hand)
     held = staged(marked.join(open_ones, ["band", "key"]).withColumn(
         "_hand", F.pmod(F.xxhash64("node", "band", F.lit(deal)), hands)), "near-hands")
@@ -241,17 +253,27 @@ def near_classes(docs: DataFrame, width: int = 4, percent: int = 80, hand: int =
     def linked(pairs):
         return verified(estimated(pairs, shared, similarity), sets, percent)
 
-    stars = members.where("pivot != node").select(
-        F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(linked(stars), "near-links")
-    labels = components(links)
+    links, labels = None, None
+
+    def join_up(pairs):
+        nonlocal links, labels
+        found = staged(linked(pairs), "near-links")
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+            return True
+        return False
+
+    # One partner each first: it connects most of a large group. Other pivots follow where
+    # they would connect components.
+    stars = members.where("pivot != node")
+    join_up(stars.groupBy("node").agg(F.min("pivot").alias("a")).withColumnRenamed("node", "b"))
+    join_up(between(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
+                    labels))
     members = members.drop("pivot")
     for deal in range(deals):
-        found = staged(linked(dealt_pairs(members, labels, deal, hand)), "near-links")
-        if found.isEmpty():
+        if not join_up(dealt_pairs(members, labels, deal, hand)):
             break
-        links = links.unionByName(found)
-        labels = components(links)
     placed = labelled(classes.select("node", "rep"), labels)
     names = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
     groups = placed.join(names, "label").select("node", "component_id")
@@ -284,10 +306,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     verdicts = staged(near_duplicates(docs, width, percent), "near-verdicts")
     gone = staged(verdicts.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    named = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    sifted = sift(docs, named, sieve_of(gone, "_gone"))
-    columns = docs.columns
-    clear = sifted.where(~F.col("_maybe")).select(*columns)
-    unsure = sifted.where("_maybe")
-    stay = unsure.join(gone, unsure["doc_id"] == gone["_gone"], "left_anti").select(*columns)
-    return clear.unionByName(stay)
+    sifted = sift(packed(docs, F.col("doc_id").cast("long").alias("_id")),
+                  F.coalesce(F.col("_id"), F.lit(0)), sieve_of(gone, "_gone"))
+    stay = sifted.where("_maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return unpacked(sifted.where(~F.col("_maybe"))).unionByName(unpacked(stay))
