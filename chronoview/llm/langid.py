@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chronoview.llm.common import byte_slices
+from chronoview.session import staged
 
 ORDER = 4
 # Labelled documents used per language: for the model, and for score and rejection.
@@ -206,7 +207,8 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
     """lang, text, for_fit: a bounded number of labelled documents per language, by hash."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() &
                         ~held_out(F.col("doc_id"), 4))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("_have"))
+    # Stored, so that its size is known and the texts need not move to meet it.
+    sizes = staged(usable.groupBy("lang").agg(F.count("*").alias("_have")), "language-sizes")
     fit = F.least(F.lit(float(FIT_DOCS)), F.col("_have") * 0.8)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(
         1 << 30) * F.col("_have")
