@@ -12,9 +12,9 @@ a short text would leave most prefixes empty and could not be banded.)
    member of each bucket that it is not connected to, never all with all. Pairs are dropped
    when the collision-corrected estimate is far below the threshold, the rest are compared on
    their full sets.
-4. A bucket whose members are not all connected yet is dealt into small hands by hash, and
-   members of different components within a hand are compared. A bucket of one hand is thus
-   compared completely; larger ones are dealt anew until a deal finds no new link.
+4. A bucket whose members are not all connected yet is compared completely: what lies outside
+   its largest component meets all other components, block by block inside tasks, so that no
+   row per pair arises and only links leave.
 5. Components contract by least neighbour until no edge is left.
 """
 
@@ -34,8 +34,7 @@ from chronoview.session import staged
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
-HAND = 24
-DEALS = 4
+BLOCK = 64
 BATCH_BYTES = 1 << 20
 # An estimate this many deviations below the threshold ends a pair unchecked.
 DEVIATIONS = 6.0
@@ -133,9 +132,13 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.clip((equal - chance) / (1 - chance), 0, 1)
 
 
+def likely_from(similarity: float) -> float:
+    return similarity - DEVIATIONS * (similarity * (1 - similarity) / REGISTERS) ** 0.5
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of classes that sizes and registers allow to be similar."""
-    floor = similarity - DEVIATIONS * (similarity * (1 - similarity) / REGISTERS) ** 0.5
+    floor = likely_from(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,27 +208,80 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def dealt_pairs(members: DataFrame, labels: DataFrame, deal: int, hand: int) -> DataFrame:
-    """Pairs of different components within the hands of every bucket not yet connected."""
+def blocks_of(members: DataFrame, labels: DataFrame, classes: DataFrame,
+              sets: DataFrame) -> DataFrame:
+    """Members of every bucket that is not connected yet, in blocks with all they are compared by.
+
+    ``rest`` blocks hold what is outside the bucket's largest component.
+    """
     marked = labelled(members, labels)
-    buckets = marked.groupBy("band", "key").agg(
-        F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n"))
-    # A bucket of one hand was compared completely in the first deal.
-    least = 0 if deal == 0 else hand
-    open_ones = buckets.where((F.col("_low") != F.col("_high")) & (F.col("_n") > least)).select(
-        "band", "key", "_n")
-    hands = F.ceil(F.col("_n") / hand)
-    held = staged(marked.join(open_ones, ["band", "key"]).withColumn(
-        "_hand", F.pmod(F.xxhash64("node", "band", F.lit(deal)), hands)), "near-hands")
-    other = held.select("band", "key", "_hand", F.col("node").alias("b"),
-                        F.col("label").alias("_other"))
-    return (held.withColumnRenamed("node", "a").join(other, ["band", "key", "_hand"])
-            .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("_other")))
-            .select("a", "b").distinct())
-
-
-def near_classes(docs: DataFrame, width: int = 4, percent: int = 80, hand: int = HAND,
-                 deals: int = DEALS) -> tuple[DataFrame, DataFrame]:
+    parts = marked.groupBy("band", "key", "label").agg(F.count("*").alias("_n"))
+    buckets = parts.groupBy("band", "key").agg(
+        F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_all"),
+        F.count("*").alias("_parts")).where("_parts > 1").select("band", "key", "_top", "_all")
+    held = marked.join(buckets, ["band", "key"])
+    rest = F.col("label") != F.col("_top.label")
+    size = F.when(rest, F.col("_all") - F.col("_top._n")).otherwise(F.col("_top._n"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(size / BLOCK))
+    full = (held.select("band", "key", "node", "label", rest.alias("rest"), block.alias("block"))
+            .join(classes.select("node", "bands"), "node").join(sets.select("node", "shingles"),
+                                                                "node"))
+    return staged(full.groupBy("band", "key", "rest", "block").agg(F.collect_list(F.struct(
+        "node", "label", "bands", "shingles")).alias("members")), "near-blocks")
+
+
+def compared(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of one bucket: rest blocks against all blocks.
+
+    Within a pair of blocks everything is compared, registers first, then the sets; a pair that
+    shares several bands is compared in the first of them. One link tells enough about a class
+    and a component.
+    """
+    floor = likely_from(percent / 100)
+
+    def side(column: pa.Array, row: int):
+        a, b = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
+        fields = column.values.slice(a, b - a)
+        bands = fields.field("bands").flatten().to_numpy().reshape(b - a, BANDS)
+        sets = [x.values.to_numpy() for x in fields.field("shingles")]
+        return (fields.field("node").to_numpy(), fields.field("label").to_numpy(), bands,
+                np.ascontiguousarray(bands).view(np.uint16), sets,
+                np.array([len(x) for x in sets], float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for row in range(batch.num_rows):
+                band = batch.column("band")[row].as_py()
+                nodes, labels, bands, marks, sets, sizes = side(batch.column("left"), row)
+                others = side(batch.column("right"), row)
+                for i, node in enumerate(nodes):
+                    first = (others[2] == bands[i]).argmax(axis=1) == band
+                    near = np.minimum(others[5], sizes[i]) * 100 >= np.maximum(
+                        others[5], sizes[i]) * percent
+                    open_ones = np.flatnonzero(first & near & (others[1] != labels[i]))
+                    likely = estimate(others[3][open_ones], marks[i][None], others[5][open_ones],
+                                      sizes[i])
+                    met = set()
+                    for j in open_ones[np.argsort(-likely)][:np.count_nonzero(likely >= floor)]:
+                        if others[1][j] in met:
+                            continue
+                        shared = len(np.intersect1d(sets[i], others[4][j], assume_unique=True))
+                        if 100 * shared >= percent * (sizes[i] + others[5][j] - shared):
+                            met.add(others[1][j])
+                            links.append((min(node, others[0][j]), max(node, others[0][j])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    left = blocks.where("rest").select("band", "key", F.col("block").alias("_left"),
+                                       F.col("members").alias("left"))
+    right = blocks.select("band", "key", "rest", "block", F.col("members").alias("right"))
+    pairs = left.join(right, ["band", "key"]).where(
+        ~F.col("rest") | (F.col("_left") <= F.col("block"))).select("band", "left", "right")
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_classes(docs: DataFrame, width: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(sketches, groups): doc_id, n_shingles, node; and node, component_id."""
     similarity = percent / 100
     sketches = staged(sketch(docs, width), "near-sketches")
@@ -253,27 +309,19 @@ def near_classes(docs: DataFrame, width: int = 4, percent: int = 80, hand: int =
     def linked(pairs):
         return verified(estimated(pairs, shared, similarity), sets, percent)
 
-    links, labels = None, None
-
-    def join_up(pairs):
-        nonlocal links, labels
-        found = staged(linked(pairs), "near-links")
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-            return True
-        return False
-
     # One partner each first: it connects most of a large group. Other pivots follow where
     # they would connect components.
     stars = members.where("pivot != node")
-    join_up(stars.groupBy("node").agg(F.min("pivot").alias("a")).withColumnRenamed("node", "b"))
-    join_up(between(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
-                    labels))
-    members = members.drop("pivot")
-    for deal in range(deals):
-        if not join_up(dealt_pairs(members, labels, deal, hand)):
-            break
+    nearest = stars.groupBy("node").agg(F.min("pivot").alias("a")).withColumnRenamed("node", "b")
+    links = staged(linked(nearest), "near-links")
+    labels = components(links)
+    pivots = stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = links.unionByName(staged(linked(between(pivots, labels)), "near-links"))
+    labels = components(links)
+    blocks = blocks_of(members.drop("pivot"), labels, shared, sets)
+    found = staged(compared(blocks, percent), "near-links")
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
     placed = labelled(classes.select("node", "rep"), labels)
     names = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
     groups = placed.join(names, "label").select("node", "component_id")
