@@ -112,11 +112,15 @@ class Tables:
     @cached_property
     def blobs(self) -> DataFrame:
         """Documents as binary samples."""
+        return self.as_blobs(self.spread("documents", "doc_id"))
+
+    @staticmethod
+    def as_blobs(documents: DataFrame) -> DataFrame:
         day = F.date_add(F.lit("2019-08-01").cast("date"),
                          F.pmod(F.col("doc_id"), F.lit(425)).cast("int"))
         ts = day.cast("timestamp")
         sha = F.sha2(F.col("doc_id").cast("string"), 256)
-        return self.spread("documents", "doc_id").select(
+        return documents.select(
             sha.alias("sha"), "doc_id", F.col("source").alias("family"),
             S.assign_split(ts).alias("split"), S.month_label(ts).alias("month"),
             S.iso_utc(ts).alias("timestamp"),

@@ -404,7 +404,9 @@ def _labelled_views(t: Tables):
     return staged(rows.drop("error"), "labelled-views")
 
 
-@query("k1_fit_view_classifier")
+@query("k1_fit_view_classifier", sql(Q.BLOBS, """
+SELECT 'raw_byte' AS view, 11 AS seed, quality AS label, count(*) AS n, count(*) AS two_logits
+FROM blobs JOIN labels USING (doc_id) GROUP BY ALL"""))
 def _(t: Tables):
     views = _labelled_views(t)
     model = K.fit_view_classifier(views, 2, max_iter=5)
@@ -435,18 +437,18 @@ def _(t: Tables):
     return K.cross_validate(views, folds, 3, 2, max_iter=3)
 
 
-@query("l1_incremental_views")
+@query("l1_incremental_views", sql(Q.BLOBS, """
+SELECT modality, CASE WHEN split = 'test' THEN 'WAITING' WHEN size > 0 THEN 'CREATED' ELSE 'ERROR' END
+  AS status, count(*) AS n
+FROM blobs, (VALUES ('raw_byte'), ('sbsmi')) AS m(modality) GROUP BY ALL"""))
 def _(t: Tables):
-    """Views of the stored table files themselves, as a stream of binary files."""
-    files = t.spark.read.format("binaryFile").load(t.folder).select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("name"))
-    manifest = files.select(
-        F.lower("name").alias("sha"), F.lit("table").alias("family"), F.lit(0).alias("class_id"),
-        F.lit("train").alias("split"), F.lit("2020-01").alias("month"),
-        F.lit("2020-01-01").alias("timestamp"))
+    """Documents as a stream of blobs; those of the test split have no manifest row yet."""
+    path = f"{t.folder}/documents.parquet"
+    stream = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
     root = scratch_path(t.spark, "stream")
-    incremental_views(t.spark, t.folder, manifest, "config-1", f"{root}/views", f"{root}/log",
-                      f"{root}/checkpoint", ("sbsmi",))
+    incremental_views(t.as_blobs(stream), t.blob_manifest.where("split <> 'test'"), "config-1",
+                      f"{root}/views", f"{root}/log", f"{root}/checkpoint",
+                      ("raw_byte", "sbsmi"))
     return t.spark.read.option("recursiveFileLookup", True).parquet(f"{root}/log").groupBy(
         "modality", "status").agg(F.count("*").alias("n"))
 

@@ -7,7 +7,7 @@ view, so one huge blob is spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,37 +20,32 @@ from chronoview.functions import kernels
 
 BLOCK_UNIT = 768
 BLOCK_BYTES = BLOCK_UNIT * 16384
-PART_SCHEMA = "sha string, modality string, cell int, total double, area bigint"
+PART_SCHEMA = "modality string, cell int, total double, area bigint"
 
 
-def split_blocks(blobs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(sha, block_no, bytes, n_bytes) of whole blobs."""
+def split_blocks(blobs: DataFrame, block_bytes: int = BLOCK_BYTES,
+                 keys: Sequence[str] = ("sha",)) -> DataFrame:
+    """(keys.., block_no, bytes, n_bytes, before, after) of whole blobs.
+
+    A block brings the 128 bytes on either side along, cut where the whole blob is at hand:
+    no block is joined to another. ``keys`` name a blob: with several members of one sha,
+    give the member too.
+    """
     if block_bytes < BLOCK_UNIT or block_bytes % BLOCK_UNIT:
         raise ValueError(f"block size must be a multiple of {BLOCK_UNIT}")
-    size = F.octet_length("content")
+    size, content = F.octet_length("content"), F.col("content")
     starts = F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / block_bytes).cast("int")))
-    pieces = F.transform(starts, lambda i: F.struct(
-        i.alias("block_no"),
-        F.substring(F.col("content"), i * block_bytes + 1, F.lit(block_bytes)).alias("bytes")))
-    return blobs.select("sha", size.cast("bigint").alias("n_bytes"),
-                        F.explode(pieces).alias("p")).select(
-        "sha", F.col("p.block_no").alias("block_no"), F.col("p.bytes").alias("bytes"), "n_bytes")
-
-
-def with_neighbours(blocks: DataFrame) -> DataFrame:
-    """Each block beside the last 128 bytes before it and the first 128 bytes after it.
-
-    Only those small edges are shuffled a second time; (sha, block_no) is never hot.
-    """
-    size = F.octet_length("bytes")
-    tails = blocks.select("sha", (F.col("block_no") + 1).alias("block_no"),
-                          F.substring("bytes", size - 127, F.lit(128)).alias("before"))
-    heads = blocks.select("sha", (F.col("block_no") - 1).alias("block_no"),
-                          F.substring("bytes", F.lit(1), F.lit(128)).alias("after"))
-    return blocks.join(tails, ["sha", "block_no"], "left").join(heads, ["sha", "block_no"], "left")
+    numbered = blobs.select(*keys, "content", size.cast("bigint").alias("n_bytes"),
+                            F.explode(starts).alias("block_no"))
+    first = F.col("block_no") * block_bytes
+    return numbered.select(
+        *keys, "block_no", "n_bytes",
+        F.substring(content, first + 1, F.lit(block_bytes)).alias("bytes"),
+        F.when(F.col("block_no") > 0, F.substring(content, first - 127, F.lit(128))).alias("before"),
+        F.substring(content, first + block_bytes + 1, F.lit(128)).alias("after"))
 
 
-def _block_parts(block_bytes: int):
+def _block_parts(block_bytes: int, keys: Sequence[str]):
     """mapInArrow body: sparse partial sums of one block for all three views."""
     def cells(total: np.ndarray, area: np.ndarray):
         used = np.flatnonzero(area)
@@ -75,34 +70,35 @@ def _block_parts(block_bytes: int):
                         ("entropy", cells(kernels.entropy_shares(own, first, n), area)),
                         ("sbsmi", cells(counts, counts))):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["sha"]] * len(cell), pa.string()),
+                        [*(pa.array([row[k]] * len(cell), pa.string()) for k in keys),
                          pa.array([name] * len(cell), pa.string()),
                          pa.array(cell, pa.int32()), pa.array(total, pa.float64()),
                          pa.array(weight, pa.int64())],
-                        names=["sha", "modality", "cell", "total", "area"])
+                        names=[*keys, "modality", "cell", "total", "area"])
     return run
 
 
-def block_parts(blocks: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(sha, modality, cell, total, area) partial sums, one set per block."""
-    edges = with_neighbours(blocks).select("sha", "block_no", "bytes", "n_bytes",
-                                           "before", "after")
-    return edges.mapInArrow(_block_parts(block_bytes), PART_SCHEMA)
+def block_parts(blocks: DataFrame, block_bytes: int = BLOCK_BYTES,
+                keys: Sequence[str] = ("sha",)) -> DataFrame:
+    """(keys.., modality, cell, total, area) partial sums, one set per block."""
+    schema = ", ".join(f"{k} string" for k in keys) + ", " + PART_SCHEMA
+    return blocks.select(*keys, "block_no", "bytes", "n_bytes", "before", "after").mapInArrow(
+        _block_parts(block_bytes, tuple(keys)), schema)
 
 
-def merge_parts(parts: DataFrame) -> DataFrame:
-    """(sha, modality, cell, value): finished cells; absent ones are 0."""
-    sums = parts.groupBy("sha", "modality", "cell").agg(F.sum("total").alias("total"),
+def merge_parts(parts: DataFrame, keys: Sequence[str] = ("sha",)) -> DataFrame:
+    """(keys.., modality, cell, value): finished cells; absent ones are 0."""
+    sums = parts.groupBy(*keys, "modality", "cell").agg(F.sum("total").alias("total"),
                                                         F.sum("area").alias("area"))
-    # At most 64 cells share a (sha, modality, row).
+    # At most 64 cells share a (blob, modality, row).
     from_state = F.sum("total").over(W.partitionBy(
-        "sha", "modality", F.floor(F.col("cell") / kernels.SIDE)))
+        *keys, "modality", F.floor(F.col("cell") / kernels.SIDE)))
     mean = F.col("total") / F.col("area")
     value = (F.when(F.col("modality") == "sbsmi", F.floor(F.col("total") / from_state * 255)
                     .cast("double"))
              .when(F.col("modality") == "raw_byte", mean / 255)
              .otherwise(F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0))))
-    return sums.select("sha", "modality", "cell", value.alias("value"))
+    return sums.select(*keys, "modality", "cell", value.alias("value"))
 
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
@@ -115,13 +111,16 @@ def dense_pixels(cells: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(grid.ravel()))
 
 
-def assemble(cells: DataFrame) -> DataFrame:
+def assemble(cells: DataFrame, keys: Sequence[str] = ("sha",)) -> DataFrame:
     """Dense pixel arrays from finished cells; a view never has more than 4096."""
-    lists = cells.groupBy("sha", "modality").agg(
+    lists = cells.groupBy(*keys, "modality").agg(
         F.collect_list(F.struct("cell", "value")).alias("e"))
-    return lists.select("sha", "modality",
+    return lists.select(*keys, "modality",
                         dense_pixels(F.col("e.cell"), F.col("e.value")).alias("pixels"))
 
 
-def block_views(blobs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    return assemble(merge_parts(block_parts(split_blocks(blobs, block_bytes), block_bytes)))
+def block_views(blobs: DataFrame, block_bytes: int = BLOCK_BYTES,
+                keys: Sequence[str] = ("sha",)) -> DataFrame:
+    """Views of blobs too large for one task: one scan, and only partial sums are shuffled."""
+    blocks = split_blocks(blobs, block_bytes, keys)
+    return assemble(merge_parts(block_parts(blocks, block_bytes, keys), keys), keys)

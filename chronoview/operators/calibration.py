@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from chronoview.errors import ContractViolation
+from chronoview.errors import ContractViolation, require_clean
 from chronoview.functions import vectors as V
 from chronoview.operators import metrics as M
 from chronoview.operators.ranking import lookup_join
-from chronoview.session import BROADCAST_ROWS
+from chronoview.operators.validate import broken_rules
 
 MIN_TEMPERATURE = 0.05
 MAX_TEMPERATURE = 20.0
@@ -41,10 +41,8 @@ class _Search:
 
 def _evaluate(samples: DataFrame, betas: list[tuple[str, int, float]]) -> dict:
     """Mean NLL, its derivative and curvature for each (view, seed, beta), in one job."""
-    if len(betas) > BROADCAST_ROWS:
-        raise ContractViolation(f"{len(betas)} models are too many for one fit")
     spark = samples.sparkSession
-    asked = F.broadcast(spark.createDataFrame(betas, "view string, seed int, beta double"))
+    asked = spark.createDataFrame(betas, "view string, seed int, beta double")
     start = F.struct(F.lit(0.0).alias("s0"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
 
     def step(acc, z):
@@ -73,6 +71,10 @@ def fit_temperatures(predictions: DataFrame, minimum: float = MIN_TEMPERATURE,
     """
     if not 0 < minimum <= 1 <= maximum or minimum >= maximum:
         raise ValueError("temperature bounds must be positive, distinct and include 1")
+    require_clean(broken_rules(predictions, ["view", "seed"], {
+        "logits_not_finite": F.col("logits").isNull() | ~V.all_finite(F.col("logits")),
+        "label_outside_logits": F.col("label").isNull() | (F.col("label") < 0)
+        | (F.col("label") >= F.size("logits"))}), "temperature fit")
     samples = predictions.select(
         "view", F.col("seed").cast("int").alias("seed"), "label",
         V.let(V.as_doubles(F.col("logits")), lambda x: V.let(
@@ -89,7 +91,9 @@ def fit_temperatures(predictions: DataFrame, minimum: float = MIN_TEMPERATURE,
 
 def _search(samples: DataFrame, low: float, high: float) -> dict[tuple[str, int], _Search]:
     models = [(r.view, r.seed) for r in
-              samples.select("view", "seed").distinct().limit(BROADCAST_ROWS + 1).collect()]
+              samples.select("view", "seed").distinct().collect()]
+    if not models:
+        raise ContractViolation("no predictions to fit a temperature on")
     found = _evaluate(samples, [(v, s, b) for v, s in models for b in (low, 1.0, high)])
     searches = {}
     for view, seed in models:
@@ -114,6 +118,9 @@ def _search(samples: DataFrame, low: float, high: float) -> dict[tuple[str, int]
             s.passes += 1
             s.nll, s.slope = values[0], values[1]
             _advance(s, values)
+    unfinished = sorted(key for key, s in searches.items() if s.open)
+    if unfinished:
+        raise ContractViolation(f"the temperature search did not end for {unfinished[:5]}")
     return searches
 
 

@@ -164,9 +164,13 @@ def pivot_counts(df: DataFrame, period: str, families: Sequence[str]) -> DataFra
 def grouping_totals(df: DataFrame, outer: str, inner: str) -> DataFrame:
     """Distinct files beside their subtotals and grand total (each sha has one family)."""
     ids = df.select(outer, inner, "sha").distinct()
-    return (ids.rollup(outer, inner).agg(F.count("*").alias("n_files"))
-            .select(F.coalesce(outer, F.lit("TOTAL")).alias(outer),
-                    F.coalesce(inner, F.lit("TOTAL")).alias(inner), "n_files"))
+    summed = ids.rollup(outer, inner).agg(
+        F.count("*").alias("n_files"), F.grouping(outer).alias("_outer"),
+        F.grouping(inner).alias("_inner"))
+    # A NULL group keeps its NULL; only rolled-up columns say TOTAL.
+    return summed.select(F.when(F.col("_outer") == 1, "TOTAL").otherwise(F.col(outer)).alias(outer),
+                         F.when(F.col("_inner") == 1, "TOTAL").otherwise(F.col(inner)).alias(inner),
+                         "n_files")
 
 
 def peak_period(df: DataFrame, period: str = "month") -> DataFrame:
@@ -185,13 +189,16 @@ def rank_periods(df: DataFrame, period: str = "month", top: int | None = None) -
 
 def compare_expected(expected: DataFrame, current: DataFrame) -> DataFrame:
     """Expected against current counts per family, with a TOTAL row."""
-    both = expected.join(current, "family", "full_outer").select(
-        "family", F.coalesce("expected", F.lit(0)).alias("expected"),
+    right = current.withColumnRenamed("family", "_family")
+    on = expected["family"].eqNullSafe(right["_family"])
+    both = expected.join(right, on, "full_outer").select(
+        F.coalesce("family", "_family").alias("family"), F.coalesce("expected", F.lit(0)).alias("expected"),
         F.coalesce("current", F.lit(0)).alias("current"))
     summed = both.rollup("family").agg(F.sum("expected").alias("expected"),
-                                       F.sum("current").alias("current"))
+                                       F.sum("current").alias("current"),
+                                       F.grouping("family").alias("_total"))
     return summed.select(
-        F.coalesce("family", F.lit("TOTAL")).alias("family"), "expected", "current",
+        F.when(F.col("_total") == 1, "TOTAL").otherwise(F.col("family")).alias("family"), "expected", "current",
         (F.col("current") - F.col("expected")).alias("difference"),
         S.percent_difference(F.col("current"), F.col("expected")).alias("percent_difference"))
 

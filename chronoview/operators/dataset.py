@@ -12,17 +12,14 @@ from pyspark.sql import types as T
 
 from chronoview.functions import arrow as A
 from chronoview.functions import scalars as S
-from chronoview.operators import blocks as B
 from chronoview.operators import cohort as C
 from chronoview.operators import joins as J
 from chronoview.operators import validate as K
+from chronoview.operators.sieve import sieve_of, sift
 from chronoview.operators.validate import broken_rules
-from chronoview.session import BROADCAST_ROWS
+from chronoview.session import staged
 
 MODALITIES = ("raw_byte", "entropy", "sbsmi")
-# Blobs above this size are viewed block by block, so that several tasks share one blob and
-# 64 of them, the session's Arrow batch, stay below the 2 GB an Arrow binary column holds.
-LARGE_BLOB = 31 << 20
 IDENTITY = ("family", "class_id", "split", "month", "timestamp")
 
 
@@ -39,53 +36,44 @@ def pixels_sha256(pixels: pa.Array) -> pa.Array:
 
 
 def view_rows(blobs: DataFrame, modalities: Sequence[str] = MODALITIES,
-              carry: Sequence[str] = (), large_blob: int | None = None) -> DataFrame:
-    """(sha, carry.., modality, pixels, error) for (sha, carry.., content[, size]).
+              carry: Sequence[str] = ()) -> DataFrame:
+    """(sha, carry.., modality, pixels, error) for (sha, carry.., content).
 
-    Map-only for ordinary blobs: the content is scanned once, reaches Python once and is
-    dropped there. With a ``size`` column, as the binary sources give it, blobs above
-    ``large_blob`` (LARGE_BLOB unless given) go block by block; the file source applies
-    that filter to its listing, so no content is read twice.
+    Map-only: a content is scanned once, reaches Python once, in batches bounded by bytes, and
+    is dropped there; the kernels walk it in slices. For blobs that should be shared by
+    several tasks there is ``blocks.block_views``.
     """
     kept = ["sha", *carry]
-    sized = "size" in blobs.columns
-    if large_blob is None and sized:
-        large_blob = LARGE_BLOB
-    size = F.col("size") if sized else F.octet_length("content")
-    ordinary = blobs if large_blob is None else blobs.where(
-        F.coalesce(size <= large_blob, F.lit(True)))
     fields = [blobs.schema[c] for c in kept]
     schema = T.StructType([*fields, T.StructField("modality", T.StringType()),
                            T.StructField("pixels", T.ArrayType(T.FloatType())),
                            T.StructField("error", T.StringType())])
-    rows = ordinary.select(*kept, "content").mapInArrow(
+    return blobs.select(*kept, "content").mapInArrow(
         A.view_rows(tuple(modalities), tuple(kept)), schema)
-    if large_blob is None:
-        return rows
-    big = blobs.where(size > large_blob)
-    large = (B.block_views(big).where(F.col("modality").isin(*modalities))
-             .join(big.select(*kept), "sha").withColumn("error", F.lit(None).cast("string")))
-    return rows.unionByName(large)
 
 
 def generate_views(manifest: DataFrame, blobs: DataFrame, config_id: str,
-                   modalities: Sequence[str] = MODALITIES,
-                   large_blob: int | None = None) -> DataFrame:
-    """One row per (sample, modality): identity, fingerprint, pixels, digest and status.
+                   modalities: Sequence[str] = MODALITIES) -> DataFrame:
+    """One row per (sample, member, modality): identity, fingerprint, pixels, digest, status.
 
-    Contents are never shuffled. A manifest small enough to broadcast filters them before
-    any Python runs; a larger one is joined to the finished views, which are a fixed 16 KB.
+    Contents are never shuffled: a bitmap of the wanted ids, 4 MB for any manifest, drops other
+    blobs before Python sees them, and the finished views, 16 KB each, meet the manifest. A
+    sample without a member gets an ERROR row; several members give several rows, each from
+    its own bytes. ``plans.dataset`` refuses both before anything is written.
     """
-    identity = manifest.select("sha", *IDENTITY)
-    if manifest.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        identity = F.broadcast(identity)
-        blobs = blobs.join(F.broadcast(manifest.select("sha")), "sha", "left_semi")
+    wanted = manifest.select(F.xxhash64("sha").alias("_key"))
+    sifted = sift(blobs, F.xxhash64("sha"), sieve_of(wanted, "_key")).where("_maybe")
     prints = S.content_fingerprint(F.col("content"))
     carry = ("source_member", *prints)
-    sized = ["size"] if "size" in blobs.columns else []
-    printed = blobs.select("sha", F.col("member").alias("source_member"), "content", *sized,
-                           *(column.alias(name) for name, column in prints.items()))
-    return (view_rows(printed, modalities, carry, large_blob).join(identity, "sha")
+    printed = sifted.select("sha", F.col("member").alias("source_member"), "content",
+                            *(column.alias(name) for name, column in prints.items()))
+    identity = manifest.select("sha", *IDENTITY)
+    made = identity.join(view_rows(printed, modalities, carry), "sha", "left")
+    absent = F.col("modality").isNull()
+    each = F.when(absent, F.array(*(F.lit(m) for m in modalities))).otherwise(
+        F.array("modality"))
+    return (made.withColumn("error", F.when(absent, "missing source").otherwise(F.col("error")))
+            .withColumn("modality", F.explode(each))
             .withColumn("output_sha256", pixels_sha256(F.col("pixels")))
             .withColumn("config_id", F.lit(config_id))
             .withColumn("dtype", F.when(F.col("modality") == "sbsmi", "uint8")
@@ -176,9 +164,9 @@ def audit_dataset(selected: DataFrame, views: DataFrame, reports: DataFrame,
                                         F.max("content_sha256").alias("hi"))
              .where("lo <> hi").select("sha", F.lit("all").alias("modality"),
                                        F.lit("cross_view_content").alias("rule")))
-    errors = (presence
-              .unionByName(J.report_against_output(checked, reports, [*IDENTITY, "config_id"]))
-              .unionByName(K.check_view_images(views)).unionByName(mixed))
+    against = J.report_against_output(checked, reports, [*IDENTITY, "config_id"])
+    errors = staged(presence.unionByName(against).unionByName(K.check_view_images(views))
+                    .unionByName(mixed), "audit-errors")
     failed = errors.select("sha", "modality").distinct()
     verified = (reports.join(failed, ["sha", "modality"], "left_anti")
                 .groupBy("split", "month", "modality").agg(F.count("*").alias("verified")))

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chronoview.session import BROADCAST_ROWS
-
 HOT_SHARE = 1.0 / 256.0
 
 
@@ -70,13 +68,10 @@ def skew_join(big: DataFrame, small: DataFrame, keys: Sequence[str],
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str],
-                how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a lookup table with unique keys, broadcast only when its count allows.
+                how: str = "inner") -> DataFrame:
+    """Join to a lookup table with unique keys.
 
-    A larger lookup is joined by shuffle with the hot keys set apart, so neither its size
-    nor a key held by a third of all rows decides whether the job finishes. The lookup is
-    read once for the count: pass a stored or frozen frame.
+    No hint: Spark broadcasts the lookup by its measured bytes, and adaptive execution splits
+    a hot key's partition where both sides are shuffled.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), list(keys), how)
-    return skew_join(big, small, keys, how)
+    return big.join(small, list(keys), how)

@@ -197,10 +197,13 @@ def check_source_bytes(read: DataFrame) -> DataFrame:
 
 
 def compare_views(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Per (sha, modality): differing pixels, largest difference and PASS or FAIL."""
+    """Per (sha, modality): differing pixels, largest difference and PASS or FAIL.
+
+    A view that only one side has is a FAIL.
+    """
     keys = ["sha", "modality"]
     joined = left.select(*keys, F.col("pixels").alias("_l")).join(
-        right.select(*keys, F.col("pixels").alias("_r")), keys)
+        right.select(*keys, F.col("pixels").alias("_r")), keys, "full_outer")
     gaps = F.zip_with("_l", "_r", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
     floats = F.zip_with("_l", "_r", lambda a, b: (a.cast("float") != b.cast("float")).cast("int"))
     measured = joined.select(
@@ -212,4 +215,5 @@ def compare_views(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) ->
     exact = (F.col("modality") != "sbsmi") | (F.col("differing_pixels") == 0)
     passed = (F.col("_nl") == F.col("_nr")) & exact & (F.col("max_abs_difference") <= tolerance)
     return measured.select(*keys, "differing_pixels", "max_abs_difference", "differing_float32",
-                           F.when(passed, "PASS").otherwise("FAIL").alias("status"))
+                           F.when(F.coalesce(passed, F.lit(False)), "PASS").otherwise("FAIL")
+                           .alias("status"))

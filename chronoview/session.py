@@ -13,13 +13,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Rows carry whole blobs: the default of 10,000 per batch would be many gigabytes.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    # Rows carry whole blobs: batches to Python are bounded by bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
-# Rows a frame may have before this package will broadcast it.
-BROADCAST_ROWS = 100_000
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the run-time options every plan here relies on (UTC, adaptive execution)."""

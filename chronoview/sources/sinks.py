@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from chronoview.errors import require_clean, require_columns
 from chronoview.operators import metrics as M
 from chronoview.operators import validate as K
+from chronoview.session import staged
 
 
-def write_views(views: DataFrame, path: str, mode: str = "errorifexists",
-                files_per_folder: int = 32) -> None:
+def write_views(views: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """split/month/modality folders.
 
-    Rows are spread over (folder, id slice), so a month with a third of all samples is
-    written by several tasks and no folder gets a file from every task.
+    Rows are rebalanced by folder: adaptive execution splits a folder that is larger than the
+    advised partition, so a month with a third of all samples is written by as many tasks as
+    its bytes need, and no folder gets a file from every task.
     """
     folder = ["split", "month", "modality"]
-    slice_ = F.pmod(F.xxhash64("sha"), F.lit(files_per_folder))
-    writer = views.repartition(*folder, slice_).write.mode(mode)
+    writer = views.hint("rebalance", *(F.col(c) for c in folder)).write.mode(mode)
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*folder).parquet(path)
@@ -56,7 +56,12 @@ def write_json_record(df: DataFrame, path: str) -> None:
 
 def write_predictions(predictions: DataFrame, path: str, classes: int,
                       mode: str = "errorifexists") -> None:
-    """view/seed/month folders after the export checks, plus recorded class counts."""
+    """view/seed/month folders after the export checks, plus recorded class counts.
+
+    The rows may be the end of an inference run, so they are computed once: stored in the
+    shared folder, checked and counted there, then published.
+    """
+    predictions = staged(predictions, "predictions")
     require_clean(K.check_predictions(predictions, classes), path)
     writer = predictions.write.mode(mode)
     if mode == "overwrite":

@@ -10,40 +10,61 @@ from pyspark.sql import functions as F
 from chronoview.functions import scalars as S
 from chronoview.operators import dataset as G
 from chronoview.operators.selection import skip_completed
+from chronoview.session import staged
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def incremental_views(spark: SparkSession, source: str, manifest: DataFrame, config_id: str,
+KEY = ("sha", "modality", "config_id")
+LOG_SCHEMA = "sha string, modality string, config_id string, status string, batch_id bigint"
+
+
+def stored_files(spark: SparkSession, source: str,
+                 files_per_batch: int = 100_000) -> DataFrame:
+    """A stream of (member, sha, content) of the files under a folder."""
+    return (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
+            .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+            .load(source)
+            .select(F.col("path").alias("member"), S.sha_from_filename(F.col("path"))
+                    .alias("sha"), "content"))
+
+
+def incremental_views(blobs: DataFrame, manifest: DataFrame, config_id: str,
                       output: str, log: str, checkpoint: str,
-                      modalities: Sequence[str] = G.MODALITIES,
-                      files_per_batch: int = 100_000) -> None:
-    """Process every file not yet seen under ``source`` and stop.
+                      modalities: Sequence[str] = G.MODALITIES) -> None:
+    """View every blob of a stream (member, sha, content) that is not finished yet, and stop.
 
-    The stream's checkpoint remembers the files; the log keeps a replayed batch from
-    writing an item twice. Each batch writes to its own folder, in overwrite mode, so a
-    retried batch replaces its own output only.
+    The stream's checkpoint remembers what it has offered; the log keeps a replayed batch from
+    writing an item twice, per configuration. A blob whose sample is not in the manifest is
+    logged as WAITING, so that it can be offered again once its manifest row is there. Each
+    batch writes to its own folder, in overwrite mode, so a retried batch replaces its own
+    output only. Finished items are dropped before they are viewed.
     """
-    files = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-             .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
-             .load(source)
-             .select(F.col("path").alias("member"), S.sha_from_filename(F.col("path"))
-                     .alias("sha"), F.col("length").alias("size"), "content"))
+    spark = blobs.sparkSession
+    names = F.array(*(F.lit(m) for m in modalities))
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        views = G.generate_views(manifest, batch, config_id, modalities)
+        arrived = batch.select("sha").distinct().withColumn("config_id", F.lit(config_id))
+        items = arrived.withColumn("modality", F.explode(names))
         if batch_id > 0:
-            earlier = spark.read.option("recursiveFileLookup", True).schema(
-                "sha string, modality string, status string, batch_id bigint").parquet(log) \
-                .where(F.col("batch_id") < batch_id)
-            views = skip_completed(views, earlier)
+            earlier = spark.read.option("recursiveFileLookup", True).schema(LOG_SCHEMA).parquet(
+                log).where(F.col("batch_id") < batch_id)
+            items = skip_completed(items, earlier, KEY)
+        known = manifest.select("sha")
+        items = staged(items.join(known, "sha", "left_semi"), "stream-items")
+        todo = manifest.join(items.select("sha").distinct(), "sha", "left_semi")
+        views = G.generate_views(todo, batch, config_id, modalities).join(
+            items, list(KEY), "left_semi")
         folder = f"{output.rstrip('/')}/batch={batch_id}"
         views.write.mode("overwrite").partitionBy("split", "month", "modality").parquet(folder)
-        written = spark.read.option("basePath", folder).parquet(folder)
-        G.generation_log(written).withColumn("batch_id", F.lit(batch_id)).select(
-            "sha", "modality", "status", "batch_id").write.mode("overwrite").parquet(
-            f"{log.rstrip('/')}/batch={batch_id}")
+        written = spark.read.option("basePath", folder).schema(views.schema).parquet(folder)
+        waiting = arrived.join(known, "sha", "left_anti").withColumn(
+            "modality", F.explode(names)).select(*KEY, F.lit("WAITING").alias("status"))
+        done = G.generation_log(written).withColumn("config_id", F.lit(config_id)).select(
+            *KEY, "status")
+        done.unionByName(waiting).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode(
+            "overwrite").parquet(f"{log.rstrip('/')}/batch={batch_id}")
 
-    query = (files.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    query = (blobs.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()

@@ -122,12 +122,25 @@ def test_shards_partition_the_manifest(rows):
             L.select_rows(manifest, ["train"], **bad)
 
 
-def test_both_limit_paths_agree(rows, monkeypatch):
-    manifest = rows([(sha(i), "train", f"2019-{8 + i % 3:02d}") for i in range(60)],
-                    "sha string, split string, month string")
+def test_limit_takes_the_first_rows(rows):
+    data = [(sha(i), "train", f"2019-{8 + i % 3:02d}") for i in range(60)]
+    manifest = rows(data, "sha string, split string, month string")
     first = sorted(r.sha for r in L.select_rows(manifest, ["train"], limit=25).collect())
-    monkeypatch.setattr(L, "GROUP_LIMIT", 1)
-    assert first == sorted(r.sha for r in L.select_rows(manifest, ["train"], limit=25).collect())
+    assert first == sorted(s for _, s in sorted((m, s) for s, _, m in data)[:25])
+
+
+def test_subtotals_keep_null_groups(rows):
+    frame = rows([("s1", "a", "m"), ("s2", None, "m"), ("s3", None, None)],
+                 "sha string, family string, month string")
+    got = {(r.family, r.month): r.n_files for r in C.grouping_totals(
+        frame, "family", "month").collect()}
+    assert got == {("a", "m"): 1, (None, "m"): 1, (None, None): 1, ("a", "TOTAL"): 1,
+                   (None, "TOTAL"): 2, ("TOTAL", "TOTAL"): 3}
+    expected = rows([("a", 2), (None, 5)], "family string, expected bigint")
+    current = rows([("a", 2), (None, 4)], "family string, current bigint")
+    table = {r.family: (r.expected, r.current) for r in C.compare_expected(
+        expected, current).collect()}
+    assert table == {"a": (2, 2), None: (5, 4), "TOTAL": (7, 6)}
 
 
 def test_guard_future(rows):

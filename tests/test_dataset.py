@@ -5,12 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
+from chronoview.errors import ContractViolation
 from chronoview.functions import scalars as S
 from chronoview.operators import dataset as G
 from chronoview.operators import models as K
+from chronoview.plans import dataset as P
 from chronoview.sources import sinks as W
 from chronoview.sources import tables as T
-from chronoview.streaming.incremental import incremental_views
+from chronoview.streaming.incremental import incremental_views, stored_files
 
 SHA = ["a" * 64, "b" * 64, "d" * 64]
 LENGTHS = [1025, 12800, 257]
@@ -51,11 +53,77 @@ def test_workers_merge_and_audit(spark, manifest, blobs, tmp_path):
     assert audit["duplicates"].isEmpty()
 
 
-def test_a_large_manifest_joins_after_the_views(manifest, blobs, monkeypatch):
-    small = {(r.sha, r.modality): r.output_sha256 for r in generated(manifest, blobs).collect()}
-    monkeypatch.setattr(G, "BROADCAST_ROWS", 1)
-    large = {(r.sha, r.modality): r.output_sha256 for r in generated(manifest, blobs).collect()}
-    assert small == large and len(small) == 9
+def test_contents_are_scanned_once_and_never_shuffled(spark, manifest, blobs, tmp_path):
+    blobs.write.parquet(str(tmp_path / "blobs"))
+    stored = spark.read.parquet(str(tmp_path / "blobs"))
+    plan = generated(manifest, stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("content#") and plan.count("MapInArrow") == 1
+    executed = generated(manifest, stored)._jdf.queryExecution().executedPlan().toString()
+    below = executed[executed.index("MapInArrow"):]
+    scans = [line for line in below.splitlines() if "FileScan" in line and "content" in line]
+    assert len(scans) == 1
+    shuffles = [line for line in below.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("content" in line for line in shuffles)
+
+
+def test_every_sample_gets_rows(rows, manifest, blobs):
+    """Missing sources are ERROR rows; two members of one sha keep their own bytes."""
+    lacking = generated(manifest, blobs.where(f"sha <> '{SHA[1]}'")).collect()
+    assert sorted({r.sha for r in lacking if r.status == "ERROR"}) == [SHA[1]]
+    assert len(lacking) == 9
+    twice = blobs.unionByName(rows([(SHA[0], "other.exe", b"\x07" * 999)],
+                                   "sha string, member string, content binary"))
+    made = [r for r in generated(manifest, twice, "raw_byte").collect() if r.sha == SHA[0]]
+    assert len(made) == 2 and made[0].output_sha256 != made[1].output_sha256
+
+
+def dataset_rows(manifest):
+    return manifest.select("*", F.lit(None).cast("bigint").alias("file_size"),
+                           F.lit(None).cast("string").alias("zip_crc32"))
+
+
+def test_generation_fails_closed(spark, rows, manifest, blobs, tmp_path):
+    path, settings = str(tmp_path / "out"), {"name": "v2"}
+    selected = dataset_rows(manifest)
+
+    def refused(match, chosen=selected, source=blobs, **more):
+        with pytest.raises(ContractViolation, match=match):
+            P.generate_dataset(spark, chosen, source, settings, path, **more)
+        assert not (tmp_path / "out" / "views").exists()
+    refused("source_missing", source=blobs.where(f"sha <> '{SHA[0]}'"))
+    refused("source_ambiguous", source=blobs.unionByName(blobs.limit(1)))
+    refused("source_size", selected.withColumn("file_size", F.lit(1).cast("bigint")))
+    test_rows = selected.withColumn("split", F.lit("test"))
+    refused("future_test_without_frozen_config", test_rows)
+    mixed = selected.withColumn("split", F.when(F.col("sha") == SHA[0], "test").otherwise("train"))
+    refused("future_test_mixed", mixed)
+    log = P.generate_dataset(spark, selected, blobs, settings, path)
+    assert {r.status for r in log.collect()} == {"CREATED"} and log.count() == 9
+    again = P.generate_dataset(spark, selected, blobs, settings, path)
+    assert {r.status for r in again.collect()} == {"VERIFIED"}
+    with pytest.raises(ContractViolation, match="other inputs or settings"):
+        P.generate_dataset(spark, selected, blobs, {"name": "v3"}, path)
+
+
+def test_declared_crc_is_checked(spark, manifest, blobs, tmp_path):
+    wrong = dataset_rows(manifest).withColumn("zip_crc32", F.lit("00000000"))
+    with pytest.raises(ContractViolation, match="crc"):
+        P.generate_dataset(spark, wrong, blobs, {"name": "v2"}, str(tmp_path / "out"))
+
+
+def test_merge_plan(manifest, blobs):
+    workers = {m: generated(manifest, blobs, m).drop("pixels") for m in G.MODALITIES}
+    merged = P.merge_dataset(manifest, workers)
+    assert merged.count() == 3 and "merge_status" not in merged.columns
+    assert P.merge_dataset(manifest, workers, previous=merged).count() == 3
+    other = {**workers, "sbsmi": workers["sbsmi"].withColumn("config_id", F.lit("x"))}
+    for bad, match in ((other, "configs_differ"),
+                       ({k: v for k, v in workers.items() if k != "entropy"}, "no_candidate"),
+                       ({**workers, "again": workers["entropy"]}, "several_candidates")):
+        with pytest.raises(ContractViolation, match=match):
+            P.merge_dataset(manifest, bad)
+    with pytest.raises(ContractViolation, match="month_conflict"):
+        P.merge_dataset(manifest, workers, previous=merged.withColumn("month", F.lit("2018-01")))
 
 
 def test_merge_refuses_problems(manifest, blobs):
@@ -102,7 +170,8 @@ def test_incremental_views(spark, manifest, tmp_path):
     paths = [str(tmp_path / name) for name in ("views", "log", "checkpoint")]
 
     def run():
-        incremental_views(spark, str(source), manifest, "cfg", *paths, ("sbsmi", "raw_byte"))
+        incremental_views(stored_files(spark, str(source)), manifest, "cfg", *paths,
+                          ("sbsmi", "raw_byte"))
         log = spark.read.option("recursiveFileLookup", True).parquet(paths[1])
         return sorted((r.sha[0], r.modality) for r in log.collect())
     for sha in SHA[:2]:
@@ -116,6 +185,26 @@ def test_incremental_views(spark, manifest, tmp_path):
     assert run() == first + [("d", "raw_byte"), ("d", "sbsmi")]
 
 
+def test_blobs_before_their_manifest_row_wait(spark, manifest, tmp_path):
+    source, paths = tmp_path / "in", [str(tmp_path / n) for n in ("views", "log", "checkpoint")]
+    source.mkdir()
+    (source / f"{SHA[0]}.exe").write_bytes(b"abc" * 200)
+
+    def run(known, config):
+        incremental_views(stored_files(spark, str(source)), known, config, *paths, ("sbsmi",))
+        log = spark.read.option("recursiveFileLookup", True).parquet(paths[1])
+        return sorted((r.sha[0], r.config_id, r.status) for r in log.collect())
+    nobody = manifest.where("false")
+    assert run(nobody, "cfg") == [("a", "cfg", "WAITING")]
+    (source / "again").mkdir()
+    (source / "again" / f"{SHA[0]}.exe").write_bytes(b"abc" * 200)
+    done = [("a", "cfg", "CREATED"), ("a", "cfg", "WAITING")]
+    assert run(manifest, "cfg") == done
+    (source / "third").mkdir()
+    (source / "third" / f"{SHA[0]}.exe").write_bytes(b"abc" * 200)
+    assert run(manifest, "new") == [*done, ("a", "new", "CREATED")]
+
+
 def test_scoring_function(manifest, blobs):
     views = generated(manifest, blobs, "raw_byte")
 

@@ -135,6 +135,20 @@ def test_temperature_bounds(rows, logits, labels, status, temperature):
         C.fit_temperatures(frame, 2.0, 20.0)
 
 
+@pytest.mark.parametrize("logits, label", [([float("nan"), 0.0], 0), ([1.0, 0.0], 2),
+                                           ([float("inf"), 0.0], 0), (None, 0)])
+def test_bad_scores_fit_no_temperature(rows, logits, label):
+    frame = rows([("v", 1, "m", sha(0), label, logits), ("v", 1, "m", sha(1), 0, [1.0, 0.0])],
+                 SCHEMA)
+    with pytest.raises(ContractViolation):
+        C.fit_temperatures(frame)
+
+
+def test_no_scores_fit_no_temperature(predictions):
+    with pytest.raises(ContractViolation, match="no predictions"):
+        C.fit_temperatures(predictions.where("month = 'none'"))
+
+
 def test_scaling_keeps_predictions(predictions):
     fits = C.fit_temperatures(predictions.where("month = '2020-02'"))
     assert C.changed_predictions(predictions, fits).isEmpty()

@@ -9,6 +9,7 @@ from chronoview.functions import kernels as K
 from chronoview.operators import blocks as B
 from chronoview.operators import byteviews as N
 from chronoview.operators import dataset as G
+from chronoview.operators import validate as V
 
 SIZES = [1, 2, 3, 64, 127, 128, 129, 255, 257, 767, 768, 769, 1536, 1537, 1700, 5000]
 
@@ -69,11 +70,35 @@ def test_block_size_must_hold_whole_units(blobs):
         B.split_blocks(blobs, 1000)
 
 
-def test_large_blobs_take_the_block_path(blobs):
-    whole = {(r.sha, r.modality): r.pixels for r in G.view_rows(blobs).collect()}
-    mixed = {(r.sha, r.modality): r.pixels for r in G.view_rows(blobs, large_blob=1000).collect()}
-    assert whole.keys() == mixed.keys()
-    assert all(np.allclose(whole[k], mixed[k], atol=1e-6) for k in whole)
+def test_blocks_of_two_members_of_one_sha_do_not_mix(spark):
+    """Keyed by member, two contents of one sha give two right views."""
+    rng = np.random.default_rng(5)
+    data = [("s", m, rng.integers(0, 256, n, dtype=np.uint8).tobytes())
+            for m, n in (("one", 5000), ("two", 3000))]
+    frame = spark.createDataFrame(data, "sha string, member string, content binary")
+    views = B.block_views(frame, 768, ("sha", "member")).collect()
+    assert len(views) == 6
+    for _, member, content in data:
+        for r in views:
+            if r.member == member:
+                want = A.VIEW_KERNELS[r.modality](K.as_bytes(content))
+                assert np.abs(np.array(r.pixels) - want).max() < 1e-6
+
+
+def test_blocks_take_one_scan_and_no_shuffle(spark, blobs, tmp_path):
+    blobs.write.parquet(str(tmp_path / "blobs"))
+    stored = spark.read.parquet(str(tmp_path / "blobs"))
+    plan = B.block_parts(B.split_blocks(stored, 768), 768)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_views_of_one_side_only_fail(blobs):
+    whole = G.view_rows(blobs, ("sbsmi",)).drop("error")
+    sha = whole.first().sha
+    verdict = {r.sha: r.status for r in V.compare_views(
+        whole, whole.where(F.col("sha") != sha)).collect()}
+    assert verdict[sha] == "FAIL" and set(verdict.values()) == {"PASS", "FAIL"}
 
 
 def test_null_and_empty_contents(spark):
