@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoview.llm.common import packed, sieve_of, sift, unpacked, whole
+from chronoview.llm.common import packed, unpacked, whole
+from chronoview.operators.sieve import sieve_of, sift
 from chronoview.session import staged
 
 # Rows a sender holds at most; a larger partition sends in several blocks.

@@ -13,8 +13,8 @@ a short text would leave most prefixes empty and could not be banded.)
    when the collision-corrected estimate is far below the threshold, the rest are compared on
    their full sets.
 4. A bucket whose members are not all connected yet is compared completely: what lies outside
-   its largest component meets all other components, block by block inside tasks, so that no
-   row per pair arises and only links leave.
+   its largest component meets all other components, block by block inside tasks, registers
+   first and then the sets of likely members, so that no row per pair arises.
 5. Components contract by least neighbour until no edge is left.
 """
 
@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoview.llm.common import byte_slices, packed, sieve_of, sift, unpacked
+from chronoview.llm.common import byte_slices, packed, unpacked
 from chronoview.llm.words import lower_bytes, mix, word_hashes, word_spans
+from chronoview.operators.sieve import sieve_of, sift
 from chronoview.session import staged
 
 REGISTERS, ROWS = 128, 4
@@ -208,11 +209,11 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def blocks_of(members: DataFrame, labels: DataFrame, classes: DataFrame,
-              sets: DataFrame) -> DataFrame:
-    """Members of every bucket that is not connected yet, in blocks with all they are compared by.
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, key, node, label, rest, block of every bucket that is not connected yet.
 
-    ``rest`` blocks hold what is outside the bucket's largest component.
+    ``rest`` marks what is outside the bucket's largest component; blocks of both parts hold
+    about BLOCK members.
     """
     marked = labelled(members, labels)
     parts = marked.groupBy("band", "key", "label").agg(F.count("*").alias("_n"))
@@ -223,61 +224,101 @@ def blocks_of(members: DataFrame, labels: DataFrame, classes: DataFrame,
     rest = F.col("label") != F.col("_top.label")
     size = F.when(rest, F.col("_all") - F.col("_top._n")).otherwise(F.col("_top._n"))
     block = F.pmod(F.xxhash64("node"), F.ceil(size / BLOCK))
-    full = (held.select("band", "key", "node", "label", rest.alias("rest"), block.alias("block"))
-            .join(classes.select("node", "bands"), "node").join(sets.select("node", "shingles"),
-                                                                "node"))
-    return staged(full.groupBy("band", "key", "rest", "block").agg(F.collect_list(F.struct(
-        "node", "label", "bands", "shingles")).alias("members")), "near-blocks")
+    return held.select("band", "key", "node", "label", rest.alias("rest"), block.alias("block"))
 
 
-def compared(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components of one bucket: rest blocks against all blocks.
+def block_pairs(held: DataFrame, *fields: str) -> DataFrame:
+    """Blocks outside the largest component beside every block they are compared with."""
+    blocks = staged(held.groupBy("band", "key", "rest", "block").agg(
+        F.collect_list(F.struct("node", "label", *fields)).alias("members")), "near-blocks")
+    left = blocks.where("rest").select("band", "key", F.col("block").alias("_left"),
+                                       F.col("members").alias("left"))
+    right = blocks.select("band", "key", "rest", "block", F.col("members").alias("right"))
+    return left.join(right, ["band", "key"]).where(
+        ~F.col("rest") | (F.col("_left") <= F.col("block"))).select("band", "key", "left", "right")
 
-    Within a pair of blocks everything is compared, registers first, then the sets; a pair that
-    shares several bands is compared in the first of them. One link tells enough about a class
-    and a component.
-    """
-    floor = likely_from(percent / 100)
 
-    def side(column: pa.Array, row: int):
+class Side:
+    """One block of a row: members with their registers and, if they came along, sets."""
+
+    def __init__(self, column: pa.Array, row: int):
         a, b = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
         fields = column.values.slice(a, b - a)
-        bands = fields.field("bands").flatten().to_numpy().reshape(b - a, BANDS)
-        sets = [x.values.to_numpy() for x in fields.field("shingles")]
-        return (fields.field("node").to_numpy(), fields.field("label").to_numpy(), bands,
-                np.ascontiguousarray(bands).view(np.uint16), sets,
-                np.array([len(x) for x in sets], float))
+        self.nodes = fields.field("node").to_numpy()
+        self.labels = fields.field("label").to_numpy()
+        self.bands = np.ascontiguousarray(
+            fields.field("bands").flatten().to_numpy().reshape(b - a, BANDS))
+        self.marks = self.bands.view(np.uint16)
+        self.sizes = fields.field("n_shingles").to_numpy().astype(float)
+        names = [f.name for f in column.type.value_type]
+        self.sets = [x.values.to_numpy() for x in fields.field("shingles")] \
+            if "shingles" in names else None
+
+    def likely(self, i: int, other: Side, band: int, percent: int, floor: float) -> np.ndarray:
+        """Members of the other block that may be linked to the i-th here, likeliest first.
+
+        A pair that shares several bands is left to the first of them.
+        """
+        near = np.minimum(other.sizes, self.sizes[i]) * 100 >= np.maximum(
+            other.sizes, self.sizes[i]) * percent
+        first = (other.bands == self.bands[i]).argmax(axis=1) == band
+        found = np.flatnonzero(first & near & (other.labels != self.labels[i]))
+        guess = estimate(other.marks[found], self.marks[i][None], other.sizes[found],
+                         self.sizes[i])
+        order = np.argsort(-guess)
+        return found[order][:np.count_nonzero(guess >= floor)]
+
+
+def likely_members(pairs: DataFrame, percent: int) -> DataFrame:
+    """band, key, node of members with a likely partner: only their sets need to travel."""
+    floor = likely_from(percent / 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in range(batch.num_rows):
+                band, key = (batch.column(c)[row].as_py() for c in ("band", "key"))
+                left, right = Side(batch.column("left"), row), Side(batch.column("right"), row)
+                wanted = set()
+                for i in range(len(left.nodes)):
+                    found = left.likely(i, right, band, percent, floor)
+                    if len(found):
+                        wanted.add(int(left.nodes[i]))
+                        wanted.update(right.nodes[found].tolist())
+                rows += [(band, key, node) for node in wanted]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in rows], t) for k, t in
+                 enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["band", "key", "node"])
+
+    return pairs.mapInArrow(run, "band int, key long, node long").distinct()
+
+
+def compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of one bucket, by the full sets.
+
+    One link tells enough about a class and a component.
+    """
+    floor = likely_from(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
             for row in range(batch.num_rows):
                 band = batch.column("band")[row].as_py()
-                nodes, labels, bands, marks, sets, sizes = side(batch.column("left"), row)
-                others = side(batch.column("right"), row)
-                for i, node in enumerate(nodes):
-                    first = (others[2] == bands[i]).argmax(axis=1) == band
-                    near = np.minimum(others[5], sizes[i]) * 100 >= np.maximum(
-                        others[5], sizes[i]) * percent
-                    open_ones = np.flatnonzero(first & near & (others[1] != labels[i]))
-                    likely = estimate(others[3][open_ones], marks[i][None], others[5][open_ones],
-                                      sizes[i])
+                left, right = Side(batch.column("left"), row), Side(batch.column("right"), row)
+                for i, node in enumerate(left.nodes):
                     met = set()
-                    for j in open_ones[np.argsort(-likely)][:np.count_nonzero(likely >= floor)]:
-                        if others[1][j] in met:
+                    for j in left.likely(i, right, band, percent, floor):
+                        if right.labels[j] in met:
                             continue
-                        shared = len(np.intersect1d(sets[i], others[4][j], assume_unique=True))
-                        if 100 * shared >= percent * (sizes[i] + others[5][j] - shared):
-                            met.add(others[1][j])
-                            links.append((min(node, others[0][j]), max(node, others[0][j])))
+                        shared = len(np.intersect1d(left.sets[i], right.sets[j],
+                                                    assume_unique=True))
+                        if 100 * shared >= percent * (left.sizes[i] + right.sizes[j] - shared):
+                            met.add(right.labels[j])
+                            links.append((min(node, right.nodes[j]), max(node, right.nodes[j])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    left = blocks.where("rest").select("band", "key", F.col("block").alias("_left"),
-                                       F.col("members").alias("left"))
-    right = blocks.select("band", "key", "rest", "block", F.col("members").alias("right"))
-    pairs = left.join(right, ["band", "key"]).where(
-        ~F.col("rest") | (F.col("_left") <= F.col("block"))).select("band", "left", "right")
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -318,8 +359,13 @@ def near_classes(docs: DataFrame, width: int = 4, percent: int = 80) -> tuple[Da
     pivots = stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = links.unionByName(staged(linked(between(pivots, labels)), "near-links"))
     labels = components(links)
-    blocks = blocks_of(members.drop("pivot"), labels, shared, sets)
-    found = staged(compared(blocks, percent), "near-links")
+    held = staged(open_members(members.drop("pivot"), labels), "near-open")
+    known = held.join(shared.select("node", "n_shingles", "bands"), "node")
+    wanted = likely_members(block_pairs(known, "n_shingles", "bands"), percent)
+    full = known.join(wanted, ["band", "key", "node"], "left_semi").join(
+        sets.select("node", "shingles"), "node")
+    found = staged(compared(block_pairs(full, "n_shingles", "bands", "shingles"), percent),
+                   "near-links")
     if not found.isEmpty():
         labels = components(links.unionByName(found))
     placed = labelled(classes.select("node", "rep"), labels)
