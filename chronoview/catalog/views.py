@@ -444,7 +444,9 @@ FROM blobs, (VALUES ('raw_byte'), ('sbsmi')) AS m(modality) GROUP BY ALL"""))
 def _(t: Tables):
     """Documents as a stream of blobs; those of the test split have no manifest row yet."""
     path = f"{t.folder}/documents.parquet"
-    stream = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
+    # A glob, since a stream takes a plain path for a folder and the table may be one file.
+    stream = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(
+        f"{t.folder}/documents.[p]arquet")
     root = scratch_path(t.spark, "stream")
     incremental_views(t.as_blobs(stream), t.blob_manifest.where("split <> 'test'"), "config-1",
                       f"{root}/views", f"{root}/log", f"{root}/checkpoint",
