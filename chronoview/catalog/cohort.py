@@ -537,7 +537,7 @@ def _(t: Tables):
 @query("d9_split_fold", sql(Q.LABEL_MAP, """
 SELECT CAST(0 AS BIGINT) AS overlap, count(*) AS total FROM samples JOIN label_map USING (family)"""))
 def _(t: Tables):
-    train, test = J.split_fold(_folds(t), 3)
+    train, test = J.split_fold(staged(_folds(t), "folds"), 3)
     both = train.select(F.lit(1).alias("one")).unionByName(test.select(F.lit(1).alias("one")))
     return J.overlap(train, test).agg(F.count("*").alias("overlap")).select(
         "overlap", both.agg(F.count("*")).scalar().alias("total"))

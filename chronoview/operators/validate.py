@@ -169,6 +169,24 @@ def check_alignment(predictions: DataFrame, models: int) -> DataFrame:
     })
 
 
+def check_grid(predictions: DataFrame, views: Sequence[str], seeds: Sequence[int],
+               months: Sequence[str]) -> DataFrame:
+    """(view, seed, month) cells that an experiment needs and lacks, or has beyond its grid.
+
+    The grid is exploded from the arguments: a model that is wholly absent is found too.
+    """
+    def axis(values, kind):
+        return F.explode(F.array(*(F.lit(v).cast(kind) for v in values)))
+    keys = ["view", "seed", "month"]
+    wanted = (predictions.sparkSession.range(1).select(axis(views, "string").alias("view"))
+              .withColumn("seed", axis(seeds, "int")).withColumn("month", axis(months, "string"))
+              .withColumn("_wanted", F.lit(True)))
+    seen = predictions.select("view", F.col("seed").cast("int").alias("seed"), "month") \
+        .distinct().withColumn("_seen", F.lit(True))
+    return broken_rules(wanted.join(seen, keys, "full_outer"), keys, {
+        "scores_missing": F.col("_seen").isNull(), "scores_not_asked_for": F.col("_wanted").isNull()})
+
+
 def check_same_config(configs: DataFrame, expected: dict[str, str]) -> DataFrame:
     """Workers whose configuration id or input hashes differ from the first or the expected."""
     summary = configs.agg(F.count("*").alias("n"), F.min("config_id").alias("low"),

@@ -39,18 +39,33 @@ def _report(scored_input: DataFrame, keys: Sequence[str], classes: int) -> DataF
 def run_experiment(predictions: DataFrame, classes: int, fit_month: str = FIT_MONTH,
                    selection_month: str = SELECTION_MONTH,
                    scales: Sequence[float] = X.QUALITY_SCALES,
-                   views: Sequence[str] = X.VIEWS, check: bool = True) -> Experiment:
+                   views: Sequence[str] = X.VIEWS, check: bool = True,
+                   seeds: Sequence[int] | None = None,
+                   months: Sequence[str] | None = None) -> Experiment:
     """Temperatures and qualities use the fit month only, the scale the selection month only.
 
+    Every view needs scores for every seed and month of the grid; seeds and months that are
+    not given are those of the predictions. A missing cell, a model without a temperature,
+    a prediction that scaling changes or a scale without all seeds is refused.
+
     The calibrated probabilities are written once to the shared folder; every later step
     reads those columns, so logits are scored once whatever the number of methods.
     """
     if check:
-        models = predictions.select("view", "seed").distinct().count()
         require_clean(K.check_predictions(predictions, classes), "predictions")
-        require_clean(K.check_alignment(predictions, models), "prediction alignment")
+        # At most one row per model and month reaches the driver.
+        cells = predictions.select("seed", "month").distinct().collect()
+        seeds = sorted({r.seed for r in cells}) if seeds is None else seeds
+        months = sorted({r.month for r in cells}) if months is None else months
+        require_clean(K.check_grid(predictions, views, seeds, months), "prediction grid")
+        require_clean(K.check_alignment(predictions, len(views) * len(seeds)),
+                      "prediction alignment")
     fit_rows = predictions.where(F.col("month") == fit_month)
     temperatures = freeze(C.fit_temperatures(fit_rows))
+    if check:
+        require_clean(predictions.select("view", "seed").distinct().join(
+            temperatures, ["view", "seed"], "left_anti"), "models without a temperature")
+        require_clean(C.changed_predictions(predictions, temperatures), "scaled predictions")
     calibrated = staged(C.calibrate(predictions, temperatures).select(
         *M.MODEL_KEYS, "sha", "label", "log_probabilities"), "calibrated")
 
@@ -63,6 +78,8 @@ def run_experiment(predictions: DataFrame, classes: int, fit_month: str = FIT_MO
 
     fused = X.fuse_weighted(calibrated, weights, views)
     candidates = freeze(_report(fused, ["quality_scale", "seed", "month"], classes))
+    if check:
+        require_clean(X.incomplete_scales(candidates, selection_month, len(seeds)), "scales")
     scores = X.scale_scores(candidates, selection_month)
     selection = freeze(X.select_scale(scores))
     chosen = selection.first().selected_scale

@@ -206,6 +206,18 @@ def test_misaligned_predictions_are_refused(predictions):
     assert {r.rule for r in K.check_alignment(short, 6).collect()} == {"not_scored_by_every_model"}
 
 
+def test_absent_models_are_refused(predictions):
+    gone = predictions.where("NOT (view = 'entropy' AND seed = 22)")
+    with pytest.raises(ContractViolation, match="prediction grid"):
+        E.run_experiment(gone, CLASSES)
+    both = predictions.where("seed <> 22")
+    with pytest.raises(ContractViolation, match="scores_missing"):
+        E.run_experiment(both, CLASSES, seeds=[11, 22])
+    late = predictions.where("NOT (view = 'sbsmi' AND seed = 11 AND month = '2020-02')")
+    with pytest.raises(ContractViolation, match="prediction grid"):
+        E.run_experiment(late, CLASSES)
+
+
 def test_scale_ties_prefer_the_smaller(rows):
     scores = rows([(0.0, 0.5), (1.0, 0.5 + 5e-13), (2.0, 0.4)], "quality_scale double, score_mean double")
     assert X.select_scale(scores).first().selected_scale == 0.0
