@@ -95,7 +95,7 @@ def _(t: Tables):
 SELECT sha, count(*) AS n_states, CAST(sum(state) AS BIGINT) AS total,
   CAST(sum(state * (pos + 1)) AS BIGINT) AS weighted FROM states GROUP BY sha"""))
 def _(t: Tables):
-    states = t.blobs.select("sha", N.state_array(F.col("content"), 6).alias("s"))
+    states = t.blobs.select("sha", A.lbit_states("content").alias("s"))
     zero = F.lit(0).cast("bigint")
     return states.select(
         "sha", F.size("s").cast("bigint").alias("n_states"),
@@ -108,15 +108,15 @@ def _(t: Tables):
 SELECT prev, cur, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions
 FROM transitions GROUP BY prev, cur"""))
 def _(t: Tables):
-    return N.transition_rows(t.blobs).groupBy("prev", "cur").agg(
-        F.count("*").alias("n"), F.sum("pos").alias("positions"))
+    return N.transition_totals(t.blobs).groupBy("prev", "cur").agg(
+        F.sum("n").alias("n"), F.sum("positions").alias("positions"))
 
 
 @query("f5_row_normalise", sql(Q.TRANSITIONS, """
 SELECT sha, CAST(prev AS INTEGER) AS prev, CAST(cur AS INTEGER) AS cur, n, round(p, 8) AS p
 FROM pixels"""))
 def _(t: Tables):
-    return N.transition_probabilities(N.transition_rows(t.blobs)).withColumn(
+    return N.transition_probabilities(N.transition_totals(t.blobs)).withColumn(
         "p", F.round("p", 8))
 
 

@@ -1,18 +1,79 @@
-"""The byte views as declarative plans: states, transitions, local entropy, area resize.
+"""The byte views as plans: states, transitions, local entropy, area resize.
 
-The Arrow functions compute the same views faster; these plans stay inside the JVM, show
-each view's definition in relational form and check the Arrow functions.
+Bytes are counted inside tasks (bytes, windows, transitions of a blob); what is grouped, resized
+and joined afterwards are those counts. The Arrow functions compute whole views faster.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from chronoview.functions import kernels
 from chronoview.functions.vectors import let
 
 SIDE = 64
+STATES_AT_ONCE = 1 << 20
+
+
+def counted(blobs: DataFrame, kernel: Callable[[np.ndarray], tuple[np.ndarray, ...]],
+            fields: list[tuple[str, T.DataType]], key: str = "sha") -> DataFrame:
+    """Rows (key, fields..) that a kernel gives per blob: counts, never a row per byte.
+
+    A missing or empty content gives none.
+    """
+    schema = T.StructType([blobs.schema[key], *(T.StructField(n, t) for n, t in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, blob in enumerate(batch.column("content")):
+                if not blob.is_valid or not len(blob.as_buffer()):
+                    continue
+                columns = kernel(kernels.as_bytes(blob.as_buffer()))
+                keys = batch.column(key).take(pa.array(np.full(len(columns[0]), row)))
+                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, columns)],
+                                                 names=[key, *(n for n, _ in fields)])
+
+    return blobs.select(key, "content").mapInArrow(run, schema)
+
+
+def byte_counts(blobs: DataFrame, key: str = "sha") -> DataFrame:
+    """(key, byte, k): at most 256 rows per blob."""
+    def kernel(values: np.ndarray) -> tuple[np.ndarray, ...]:
+        counts = np.zeros(256, np.int64)
+        for start in range(0, values.size, kernels.SLICE_BYTES):
+            counts += np.bincount(values[start:start + kernels.SLICE_BYTES], minlength=256)
+        used = np.flatnonzero(counts)
+        return used.astype(np.int32), counts[used]
+    return counted(blobs, kernel, [("byte", T.IntegerType()), ("k", T.LongType())], key)
+
+
+def transition_totals(blobs: DataFrame, bits: int = 6, key: str = "sha") -> DataFrame:
+    """(key, prev, cur, n, positions): at most 4^bits rows per blob; positions are summed."""
+    size = 1 << bits
+
+    def kernel(values: np.ndarray) -> tuple[np.ndarray, ...]:
+        states = kernels.lbit_states(values, bits)
+        n = np.zeros(size * size, np.int64)
+        positions = np.zeros(size * size, np.int64)
+        for start in range(1, states.size, STATES_AT_ONCE):
+            part = states[start - 1:start + STATES_AT_ONCE].astype(np.int64)
+            pair = part[:-1] * size + part[1:]
+            found = np.bincount(pair, minlength=size * size)
+            within = np.bincount(pair, np.arange(pair.size), size * size)
+            n += found
+            positions += within.astype(np.int64) + start * found
+        used = np.flatnonzero(n)
+        return ((used // size).astype(np.int32), (used % size).astype(np.int32), n[used],
+                positions[used])
+    return counted(blobs, kernel, [("prev", T.IntegerType()), ("cur", T.IntegerType()),
+                                   ("n", T.LongType()), ("positions", T.LongType())], key)
 
 
 def byte_array(content: Column) -> Column:
@@ -25,11 +86,6 @@ def byte_array(content: Column) -> Column:
         F.split(F.decode(content, "ISO-8859-1"), ""), lambda c: F.ascii(c)))
 
 
-def byte_rows(blobs: DataFrame, key: str = "sha") -> DataFrame:
-    """(key, pos, byte) for every byte."""
-    return blobs.select(key, F.posexplode(byte_array(F.col("content"))).alias("pos", "byte"))
-
-
 def state_array(content: Column, bits: int = 6) -> Column:
     """MSB-first non-overlapping states of a blob; a short tail gets high-order zeros.
 
@@ -52,35 +108,11 @@ def state_array(content: Column, bits: int = 6) -> Column:
     return let(byte_array(content), lambda v: F.when(v.isNotNull(), states(v)))
 
 
-def state_rows(blobs: DataFrame, bits: int = 6, key: str = "sha") -> DataFrame:
-    """(key, pos, state) for every state."""
-    states = blobs.select(key, state_array(F.col("content"), bits).alias("states"))
-    return states.select(key, F.posexplode("states").alias("pos", "state"))
-
-
-def transition_rows(blobs: DataFrame, bits: int = 6, key: str = "sha") -> DataFrame:
-    """(key, pos, prev, cur): each state beside its predecessor, paired inside the row.
-
-    No window sorts a blob's states and nothing is shuffled; blobs too large for one row
-    take the block path instead.
-    """
-    def pairs(s: Column) -> Column:
-        return F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1),
-                          F.slice(s, F.lit(2), F.size(s) - 1),
-                          lambda prev, cur: F.struct(prev.alias("prev"), cur.alias("cur")))
-    paired = let(state_array(F.col("content"), bits),
-                 lambda s: F.when(F.size(s) > 1, pairs(s)))
-    return blobs.select(key, F.posexplode(paired).alias("i", "p")).select(
-        key, (F.col("i") + 1).alias("pos"), F.col("p.prev").alias("prev"),
-        F.col("p.cur").alias("cur"))
-
-
-def transition_probabilities(transitions: DataFrame, key: str = "sha") -> DataFrame:
-    """Counts and row-normalised probabilities of the transitions that occur."""
-    counts = transitions.groupBy(key, "prev", "cur").agg(F.count("*").alias("n"))
+def transition_probabilities(counts: DataFrame, key: str = "sha") -> DataFrame:
+    """Row-normalised probabilities of the transitions that occur."""
     # At most 64 rows per (blob, previous state).
     total = F.sum("n").over(W.partitionBy(key, "prev"))
-    return counts.withColumn("p", F.col("n") / total)
+    return counts.select(key, "prev", "cur", "n", (F.col("n") / total).alias("p"))
 
 
 def transition_pixels(probabilities: DataFrame, key: str = "sha") -> DataFrame:
@@ -90,30 +122,18 @@ def transition_pixels(probabilities: DataFrame, key: str = "sha") -> DataFrame:
 
 def shannon_entropy(blobs: DataFrame, key: str = "sha") -> DataFrame:
     """Entropy of each blob's byte distribution in bits and over 8."""
-    counts = byte_rows(blobs, key).groupBy(key, "byte").agg(F.count("*").alias("k"))
     bits = F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k")
-    return counts.groupBy(key).agg(F.greatest(bits, F.lit(0.0)).alias("entropy_bits")) \
+    return byte_counts(blobs, key).groupBy(key).agg(
+        F.greatest(bits, F.lit(0.0)).alias("entropy_bits")) \
         .withColumn("entropy_unit", F.col("entropy_bits") / 8)
 
 
 def window_entropies(blobs: DataFrame, key: str = "sha") -> DataFrame:
-    """(key, w, h): H/8 of the 256-byte windows every 128 bytes.
-
-    Bytes are counted once per 128-byte block; a window is the sum of two block counts.
-    """
-    sized = byte_rows(blobs, key).groupBy(
-        key, F.floor(F.col("pos") / 128).cast("int").alias("block"), "byte").agg(
-        F.count("*").alias("k"))
-    windows = blobs.select(key, F.greatest(
-        F.lit(1), F.ceil(F.octet_length("content") / 128).cast("int") - 1).alias("windows"))
-    spread = sized.join(windows, key).select(
-        key, "byte", "k", "windows",
-        F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("w"))
-    counts = (spread.where((F.col("w") >= 0) & (F.col("w") < F.col("windows")))
-              .groupBy(key, "w", "byte").agg(F.sum("k").alias("k")))
-    bits = F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k")
-    return counts.groupBy(key, "w").agg(
-        F.least(F.greatest(bits / 8, F.lit(0.0)), F.lit(1.0)).alias("h"))
+    """(key, w, h): H/8 of the 256-byte windows every 128 bytes, the operator's own rows."""
+    def kernel(values: np.ndarray) -> tuple[np.ndarray, ...]:
+        h = kernels.window_entropies(values)
+        return np.arange(h.size, dtype=np.int32), h
+    return counted(blobs, kernel, [("w", T.IntegerType()), ("h", T.DoubleType())], key)
 
 
 def block_means(windows: DataFrame, blobs: DataFrame, key: str = "sha") -> DataFrame:
@@ -190,7 +210,7 @@ def entropy_cells_view(blobs: DataFrame, key: str = "sha", fractional: bool = Tr
 
 def sbsmi_cells_view(blobs: DataFrame, bits: int = 6, key: str = "sha") -> DataFrame:
     return transition_pixels(
-        transition_probabilities(transition_rows(blobs, bits, key), key), key)
+        transition_probabilities(transition_totals(blobs, bits, key), key), key)
 
 
 def explode_pixels(views: DataFrame, keys: tuple[str, ...] = ("sha",),
