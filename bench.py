@@ -11,10 +11,12 @@ import os
 import sys
 import time
 
+from pyspark.sql import functions as F
+
 from chronoview.catalog import QUERIES
 from chronoview.catalog.tables import Tables
 from chronoview.functions import arrow as A
-from chronoview.session import build_session
+from chronoview.session import build_session, staged
 
 HEADLINE = (
     "e1_metadata_audit",
@@ -44,11 +46,25 @@ def plan(spark, name: str, folder: str):
 
 
 def timed(spark, name: str, folder: str) -> float:
+    return spent_on(plan(spark, name, folder))
+
+
+def spent_on(df) -> float:
     start = time.perf_counter()
-    plan(spark, name, folder).write.format("noop").mode("overwrite").save()
+    df.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 
+def large_blobs(spark, folder: str):
+    """The documents as ten blobs of megabytes, the size of the published kernel timings."""
+    text = spark.read.parquet(f"{folder}/documents.parquet").select(
+        F.pmod("doc_id", F.lit(10)).alias("sha"), "text")
+    joined = text.groupBy("sha").agg(F.concat_ws("\n", F.collect_list("text")).alias("t"))
+    return staged(joined.select(F.col("sha").cast("string").alias("sha"),
+                                F.encode("t", "UTF-8").alias("content")).repartition(10, "sha"),
+                  "bench-blobs")
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -63,9 +79,15 @@ def main() -> None:
     size = spark.read.parquet(f"{folder}/documents.parquet").selectExpr(
         "sum(octet_length(text)) / 1e6 AS mb").first().mb
     rates = {name: round(size / spent[name], 1) for name in VIEWS}
+    blobs, large = large_blobs(spark, folder), {}
+    for name, view in VIEWS.items():
+        made = blobs.select("sha", view("content").alias("pixels"))
+        spent_on(made)
+        large[name] = round(size / spent_on(made), 1)
     print(json.dumps({"metric": "headline_query_seconds", "value": round(sum(spent.values()), 3),
                       "unit": "sec", "queries": spent, "sf": os.path.basename(folder.rstrip("/")),
-                      "view_megabytes_per_second": rates}))
+                      "view_megabytes_per_second": rates,
+                      "ten_blobs_megabytes_per_second": large}))
 
 
 if __name__ == "__main__":
