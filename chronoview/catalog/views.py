@@ -270,14 +270,17 @@ def _(t: Tables):
 
 @query("v10_check_source_bytes", sql(Q.BLOBS, """
 SELECT sha, 'size' AS rule FROM blobs WHERE split = 'test'
-UNION ALL SELECT sha, 'cached_hash' FROM blobs WHERE split = 'validation'"""))
+UNION ALL SELECT sha, 'cached_hash' FROM blobs WHERE split = 'validation'
+UNION ALL SELECT sha, 'crc' FROM blobs WHERE split = 'train' AND family = 'src1'"""))
 def _(t: Tables):
     from chronoview.functions import scalars as S
     prints = S.content_fingerprint(F.col("content"))
-    read = t.blobs.select("sha", "split", *(c.alias(n) for n, c in prints.items()))
+    read = t.blobs.select("sha", "split", "family", *(c.alias(n) for n, c in prints.items()))
+    other_crc = (F.col("split") == "train") & (F.col("family") == "src1")
     declared = read.select(
         "*", (F.col("content_size") + F.when(F.col("split") == "test", 1).otherwise(0))
-        .alias("declared_size"), F.col("content_crc32").alias("declared_crc32"),
+        .alias("declared_size"), F.when(other_crc, F.reverse(F.upper("content_sha256")))
+        .otherwise(F.col("content_crc32")).alias("declared_crc32"),
         F.when(F.col("split") == "validation", F.lit("0" * 64))
         .otherwise(F.col("content_sha256")).alias("cached_sha256"))
     return V.check_source_bytes(declared)
@@ -293,16 +296,11 @@ def _(t: Tables):
 
 
 def _workers(t: Tables):
-    """Reports of three workers, one modality each; the entropy worker lacks test samples."""
-    prints = t.blobs.select(
-        "sha", "family", F.regexp_extract("family", r"(\d+)", 1).cast("int").alias("class_id"),
-        "split", "month", "timestamp", F.sha2("content", 256).alias("content_sha256"),
-        F.octet_length("content").alias("content_size"),
-        F.lower(F.hex(F.crc32("content"))).alias("content_crc32"))
+    """Reports of three workers that each generated one modality; entropy lacks test samples."""
+    reports = staged(_generated(t).drop("pixels"), "reports")
     frames = {}
     for name in G.MODALITIES:
-        frame = prints.withColumn("modality", F.lit(name)).withColumn("status", F.lit("PASS")) \
-            .withColumn("config_id", F.lit("config-1"))
+        frame = reports.where(F.col("modality") == name)
         if name == "entropy":
             frame = frame.where(F.col("split") != "test")
         if name == "sbsmi":
