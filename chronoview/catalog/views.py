@@ -427,12 +427,19 @@ def _(t: Tables):
                          F.size("embedding").alias("dims"))
 
 
-@query("k3_cross_validate")
+@query("k3_cross_validate", sql(Q.BLOBS + """, scored AS (
+  SELECT count(*) AS n FROM blobs JOIN labels USING (doc_id))""", """
+SELECT CAST(f AS INTEGER) AS test_fold, CAST((n - f + 2) // 3 AS BIGINT) AS samples,
+  true AS in_range FROM scored, range(3) AS r(f)"""))
 def _(t: Tables):
+    """Every labelled sample is scored once, by the model of its own fold."""
     from chronoview.operators import folds as D
     views = _labelled_views(t)
     folds = D.stratified_folds(views.select("sha", "class_id"), 3)
-    return K.cross_validate(views, folds, 3, 2, max_iter=3)
+    result = K.cross_validate(views, folds, 3, 2, max_iter=3)
+    in_range = F.col("accuracy").between(0, 1) & (F.col("uncalibrated_nll") >= 0)
+    return result.select("test_fold", F.col("samples").cast("bigint").alias("samples"),
+                         in_range.alias("in_range"))
 
 
 @query("l1_incremental_views", sql(Q.BLOBS, """
