@@ -7,6 +7,12 @@ as many escapes as distinct bytes seen there), where the bytes of the longer con
 excluded, since they would have been coded before. Shorter contexts count a byte once per
 longer context (update exclusion). Below all contexts every byte left is equally likely.
 
+No n-gram is left out. The counts of all of them are a table; n-grams whose contexts end in the
+same bytes meet in one task, which has all their longer contexts whole, and the shortest orders,
+bounded by the number of byte strings, go to all tasks. The most frequent n-grams go to all tasks
+with their final probabilities, from the totals of the full table; only a document's other
+n-grams are shuffled to theirs.
+
 The base needs the count of every word. Words are counted by hash for the whole corpus; the
 most frequent ones, a bounded table, go to all tasks, and only occurrences of rarer words are
 shuffled to their counts.
@@ -20,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -34,14 +40,19 @@ CODE = np.uint32 if CONTEXT < 4 else np.uint64
 SYMBOLS = 257  # bytes and the end of a text
 PAD, END = 0xFE, 0xFF  # no byte of UTF-8
 FOLDS, HELD = 7, 2
-# Bounds of what is sent to all tasks: n-grams per order, and words.
+# Bounds of what is sent to all tasks ahead of the joins: n-grams, and words.
 TRIE, HOT_WORDS = 1 << 20, 1 << 20
+# Contexts of fewer bytes go to all tasks whole: at most 256 ** SHARED n-grams, whatever the corpus.
+SHARED = 3
+LOOKUP_ROWS = 1 << 19
 BATCH_BYTES = 1 << 20
 KEPT_KEYS = 1 << 20
 WORD_ROWS, GRAM_ROWS, TOTAL_ROWS = 0, 1, 2
 TALLIES = "kind int, key long, n long"
 SCORED = ("row long, doc_id long, held_out boolean, n_words long, hot_known long, "
-          "hot_sum double, score double, rare array<long>")
+          "hot_sum double, score double, rare array<long>, "
+          "open array<struct<key:long,times:long>>")
+COSTS = "key long, log_p double"
 
 
 def framed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,16 +205,18 @@ class Level:
 class Trie:
     """Symbol probabilities of the trained model."""
 
-    def __init__(self, layers: list[tuple[np.ndarray, np.ndarray]]):
-        """``layers[k]``: codes of k context bytes and a symbol, and their counts."""
-        self.levels: list[Level] = []
-        for k, (keys, counts) in enumerate(layers):
+    def __init__(self, layers: list[tuple[np.ndarray, np.ndarray]],
+                 base: list[Level] | None = None):
+        """``layers[k]``: codes of k context bytes and a symbol, and their counts; ``base`` has
+        the levels below the first layer, if any are built already."""
+        self.levels: list[Level] = list(base or [])
+        for k, (keys, counts) in enumerate(layers, len(self.levels)):
             level = Level(keys, counts, self.levels[-1] if self.levels else None)
             level.mask = (1 << 8 * (k + 1)) - 1
             self.levels.append(level)
         top = self.levels[-1]
         own = np.searchsorted(top.contexts, top.keys >> CODE(8))
-        self.log_p = (top.log_count - top.log_all[own]).astype(np.float32)
+        self.log_p = top.log_count - top.log_all[own]
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """Natural log-probability of every symbol given the bytes before it."""
@@ -245,25 +258,98 @@ class Trie:
         return result
 
 
-def trained_trie(counts: DataFrame) -> Trie:
-    """The trie of the most frequent n-grams; shorter ones count their longer contexts."""
-    grams = counts.where(F.col("kind") == GRAM_ROWS).select("key", "n")
-    layers = []
-    for k in range(CONTEXT, -1, -1):
-        layers.append(arrays(most_frequent(grams, TRIE)))
-        if k:
-            shorter = F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
-            grams = staged(grams.groupBy(shorter.alias("key")).agg(F.count("*").alias("n")),
-                           "score-grams")
-    return Trie(layers[::-1])
+def shortened(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of k context bytes and a symbol, and how many longer ones each has."""
+    return np.unique(keys & CODE((1 << 8 * (k + 1)) - 1), return_counts=True)
+
+
+def short_levels(grams: DataFrame) -> list[Level]:
+    """The levels of fewer than ``SHARED`` context bytes, from all n-grams."""
+    def ending(k: int) -> Column:
+        return F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1).cast("long")).alias("key")
+
+    longer = grams.select(ending(SHARED)).distinct()
+    layers = [arrays(longer.groupBy(ending(SHARED - 1)).agg(F.count("*").alias("n")))]
+    for k in range(SHARED - 2, -1, -1):
+        layers.append(shortened(layers[-1][0], k))
+    return Trie(layers[::-1]).levels
+
+
+def frequent_costs(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams and their log-probabilities, by the totals of all n-grams."""
+    context = F.shiftright("key", 8).alias("_context")
+    contexts = grams.groupBy(context).agg(
+        (F.sum("n") + F.count("*")).alias("_all"))
+    frequent = most_frequent(grams, TRIE).select("key", "n", context)
+    return arrays(frequent.join(contexts, "_context").select(
+        "key", (F.log("n") - F.log("_all")).alias("n")))
 
 
-def scored(docs: DataFrame, trie: Trie, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per document its model score, the base's sum over frequent words, and its rarer words."""
-    shared = docs.sparkSession.sparkContext.broadcast((trie, hot[0], np.log10(hot[1] + 1.0)))
+def looked_up(keys: np.ndarray, n: np.ndarray, base: list[Level]) -> pa.RecordBatch:
+    """Log-probabilities of the keys without a count, by the others, which are all n-grams
+    with the same ends of contexts."""
+    seen = n > 0
+    order = np.argsort(keys[seen])
+    layers = [(keys[seen][order], n[seen][order])]
+    for k in range(CONTEXT - 1, SHARED - 1, -1):
+        layers.append(shortened(layers[-1][0], k))
+    wanted = keys[~seen]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(wanted.view(np.int64)),
+         pa.array(Trie(layers[::-1], base).log_probability(wanted))], names=["key", "log_p"])
+
+
+def code_costs(grams: DataFrame, wanted: DataFrame, base: list[Level]) -> DataFrame:
+    """key, log_p: natural log-probability of each wanted code; ``grams`` are all counts.
+
+    Both are dealt out by the last bytes of the context, so every context that is not in
+    ``base`` is whole in one task, which works through them in stretches.
+    """
+    shared = grams.sparkSession.sparkContext.broadcast(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot_keys, hot_logs = shared.value
+        base = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+        fresh = 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64),
+                         batch.column(2).to_numpy()))
+            fresh += batch.num_rows
+            if fresh >= LOOKUP_ROWS:
+                ends, keys, n = map(np.concatenate, zip(*held))
+                whole = np.searchsorted(ends, ends[-1])
+                if whole:
+                    yield looked_up(keys[:whole], n[:whole], base)
+                held, fresh = [(ends[whole:], keys[whole:], n[whole:])], 0
+        if held:
+            _, keys, n = map(np.concatenate, zip(*held))
+            yield looked_up(keys, n, base)
+
+    end = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1).cast("long"))
+    met = grams.select(end.alias("end"), "key", "n").unionByName(
+        wanted.select(end.alias("end"), "key", F.lit(0).cast("long").alias("n")))
+    return met.repartition("end").sortWithinPartitions("end").mapInArrow(run, COSTS)
+
+
+def repeats(owner: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Rows of owner, code and how often it has it, by owner."""
+    codes = codes.astype(np.int64)
+    order = np.lexsort((codes, owner))
+    owner, codes = owner[order], codes[order]
+    first = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(codes) != 0))[
+        :len(codes)])
+    return np.stack([owner[first], codes[first], np.diff(np.append(first, len(codes)))])
+
+
+def scored(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray],
+           hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Per document the model's and the base's sums over frequent n-grams and words, and its
+    rarer ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (*frequent, hot[0], np.log10(hot[1] + 1.0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram_keys, gram_logs, hot_keys, hot_logs = shared.value
         row = TaskContext.get().partitionId() << 40
         with np.errstate(over="ignore"):
             for part in byte_slices(batches, "text", BATCH_BYTES):
@@ -279,10 +365,16 @@ def scored(docs: DataFrame, trie: Trie, hot: tuple[np.ndarray, np.ndarray]) -> D
                 codes, places = windows(framed(data, bounds)[0])
                 begins = bounds + (CONTEXT + 1) * np.arange(n + 1)
                 scores = np.zeros(n)
+                open_ones = [np.zeros((3, 0), np.int64)]
                 # In stretches, so that one very long text stays bounded.
                 for a in range(0, len(codes), 1 << 20):
+                    some = codes[a:a + (1 << 20)]
                     owner = np.searchsorted(begins, places[a:a + (1 << 20)], "right") - 1
-                    scores += np.bincount(owner, trie.log_probability(codes[a:a + (1 << 20)]), n)
+                    at, hit = find(gram_keys, some)
+                    scores += np.bincount(owner[hit], gram_logs[at[hit]], n)
+                    open_ones.append(repeats(owner[~hit], some[~hit]))
+                owner, grams, times = np.concatenate(open_ones, axis=1)
+                opened = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
                 offsets = np.arange(len(first)) * 0 + first - hits[first]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + n)), part.column("doc_id").cast(pa.int64()),
@@ -290,9 +382,11 @@ def scored(docs: DataFrame, trie: Trie, hot: tuple[np.ndarray, np.ndarray]) -> D
                      pa.array(np.diff(hits[first]).astype(np.int64)),
                      pa.array(np.diff(sums[first])), pa.array(scores / math.log(10)),
                      pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)),
-                                              pa.array(rare))],
+                                              pa.array(rare)),
+                     pa.ListArray.from_arrays(pa.array(opened), pa.StructArray.from_arrays(
+                         [pa.array(grams), pa.array(times)], names=["key", "times"]))],
                     names=["row", "doc_id", "held_out", "n_words", "hot_known", "hot_sum",
-                           "score", "rare"])
+                           "score", "rare", "open"])
                 row += n
 
     return docs.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD).alias("held_out"),
@@ -316,11 +410,16 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     all_tokens = n_docs + n_words
     share = math.log10(all_tokens + distinct + 1)
 
-    rows = staged(scored(docs, trained_trie(counts), arrays(most_frequent(words, HOT_WORDS))),
+    grams = counts.where(F.col("kind") == GRAM_ROWS).select("key", "n")
+    rows = staged(scored(docs, frequent_costs(grams), arrays(most_frequent(words, HOT_WORDS))),
                   "score-rows")
+    opened = rows.select("row", F.inline("open"))
+    costs = code_costs(grams, opened.select("key").distinct(), short_levels(grams))
+    far = opened.join(costs, "key").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("log_p")).alias("_far"))
     rare = rows.select("row", F.explode("rare").alias("key")).join(words, "key").groupBy(
         "row").agg(F.sum(F.log10(F.col("n") + 1)).alias("_sum"), F.count("*").alias("_known"))
-    summed = rows.drop("rare").join(rare, "row", "left")
+    summed = rows.drop("rare", "open").join(rare, "row", "left").join(far, "row", "left")
     end_log, end_known = math.log10(n_docs + 1), 1 if n_docs else 0
     tokens = F.col("n_words") + 1
     return summed.select(
@@ -328,4 +427,5 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
         (F.col("hot_known") + F.coalesce("_known", F.lit(0)) + end_known).alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
         (F.col("hot_sum") + F.coalesce("_sum", F.lit(0.0)) + F.lit(end_log) -
-         tokens * F.lit(share)).alias("base_score"), "score")
+         tokens * F.lit(share)).alias("base_score"),
+        (F.col("score") + F.coalesce("_far", F.lit(0.0)) / math.log(10)).alias("score"))

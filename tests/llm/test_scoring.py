@@ -113,6 +113,16 @@ def test_scores_equal_brute_force(spark, monkeypatch, hot):
         assert mine[5:] == pytest.approx(theirs[5:], rel=1e-5)
 
 
+@pytest.mark.parametrize("bound", [0, 40, 300])
+def test_no_bound_changes_the_scores(spark, monkeypatch, bound):
+    monkeypatch.setattr(scoring, "TRIE", bound)
+    rng = random.Random(5)
+    data = rows([sentence(rng, rng.randint(0, 30), "abé中") for _ in range(40)])
+    got = scoring.language_model_scores(spark.createDataFrame(data, SCHEMA)).collect()
+    want = {r[0]: r[-1] for r in brute(data)}
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-9)
+
+
 def test_tally_hands_on_what_it_cannot_hold(monkeypatch):
     monkeypatch.setattr(scoring, "KEPT_KEYS", 10)
     tally, seen = scoring.Tally(0), Counter()
