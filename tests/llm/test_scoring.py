@@ -123,6 +123,25 @@ def test_no_bound_changes_the_scores(spark, monkeypatch, bound):
     assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-9)
 
 
+def test_looked_up_probabilities_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "LOOKUP_ROWS", 50)
+    rng = random.Random(6)
+    train = [(i, sentence(rng, 12, "abé")) for i in range(15)]
+    grams = scoring.corpus_counts(spark.createDataFrame(train, "doc_id long, text string")).where(
+        f"kind = {scoring.GRAM_ROWS}").select("key", "n")
+    seen = sorted({r.key >> 8 for r in grams.collect()})
+    contexts = rng.sample(seen, 12) + [c ^ 0x010000000000 >> 8 for c in rng.sample(seen, 4)] + [
+        int.from_bytes(b"zz" * 3, "big") >> 8]
+    # All bytes; 0xFF is the end of a text, and PAD, never seen, stands for the byte 0xFF too.
+    wanted = spark.createDataFrame([(c << 8 | s,) for c in set(contexts) for s in range(256)],
+                                   "key long")
+    sums = defaultdict(float)
+    for r in scoring.code_costs(grams, wanted, scoring.short_levels(grams)).collect():
+        sums[r.key >> 8] += math.exp(r.log_p) * (1 + (r.key & 0xFF == scoring.PAD))
+    assert set(sums) == set(contexts)
+    assert list(sums.values()) == pytest.approx([1.0] * len(sums))
+
+
 def test_tally_hands_on_what_it_cannot_hold(monkeypatch):
     monkeypatch.setattr(scoring, "KEPT_KEYS", 10)
     tally, seen = scoring.Tally(0), Counter()
