@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from array import array
 from collections import deque
@@ -78,6 +79,15 @@ def part_marks(texts: pa.Array) -> pa.Array:
     return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved), pa.py_buffer(spread))
 
 
+def stays_letters(word: str) -> bool:
+    """Whether a word is letters alone, also once composed (NFC) and in small letters.
+
+    Some letters become letter and mark there, which the tokenizer parts.
+    """
+    return word.isalpha() and (
+        word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, word by word.
 
@@ -91,19 +101,25 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode words not met before; words of letters alone are one unit of the tokenizer
-        each and go together in one string."""
-        plain = [w for w in new if w.isalpha()]
+        each and go together in one string. Where it counts other units, its tables of letters
+        differ from Python's, and the words go one by one."""
+        plain, others = [], []
+        for word in new:
+            (plain if stays_letters(word) else others).append(word)
         for start in range(0, len(plain), 1000):
             words = plain[start:start + 1000]
             found = self.model.encode(" ".join(words), add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64))
+            if len(sizes) != len(words):
+                others += words
+                continue
             ids = np.array(found.ids, "<u4")
-            ends = np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(words)))
+            ends = np.cumsum(sizes)
             raw = ids.tobytes()
             begin = 0
             for word, end in zip(words, (ends * 4).tolist()):
                 self.known[word] = raw[begin:end]
                 begin = end
-        others = [w for w in new if not w.isalpha()]
         if others:
             for word, found in zip(others, self.model.encode_batch_fast(
                     others, add_special_tokens=False)):

@@ -79,6 +79,18 @@ def test_ids_equal_the_library():
             text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("guarded", [False, True])
+def test_letters_that_the_tokenizer_parts(monkeypatch, guarded):
+    if guarded:  # without the look at each word, the count of units has to notice
+        monkeypatch.setattr(packing, "stays_letters", str.isalpha)
+    model, mine = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    words = ["\u0130stanbul", "hello", "world", "\u0939\u0958", "plain", "\ufb2a\u05d0",
+             "words", "after", "\u0130", "\u0130. end"]
+    for text in [" ".join(words), *words, " ".join(words[::-1])]:
+        ids, _ = mine.encode(pa.array([text]))
+        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
 def pieces_of(text, model, capacity):
     ids = np.array(model.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
     return [(k // capacity, k, len(ids[k:k + capacity]),
