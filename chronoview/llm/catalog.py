@@ -10,10 +10,12 @@ from chronoview.llm import (
     langid,
     mixing,
     neardup,
+    negatives,
     packing,
     pages,
     pii,
     quality,
+    quantize,
     scoring,
     tokens,
 )
@@ -64,9 +66,36 @@ def op10_near_dedup(spark, folder):
     return neardup.near_duplicates(common.documents(spark, folder))
 
 
+def op11_vector_codes(spark, folder):
+    table = common.prepare(spark).read.parquet(f"{folder}/embeddings.parquet")
+    return quantize.vector_codes(table)
+
+
+def op12_hard_negatives(spark, folder):
+    table = common.prepare(spark).read.parquet(f"{folder}/embeddings.parquet")
+    return negatives.hard_negatives(negatives.relabelled(table))
+
+
+def code_rounds(rounds: int) -> str:
+    """The assignments and updates of op11, one after the other."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS (
+  SELECT r, p, any_value(x) AS x, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c)
+         + list_inner_product(c, c), 'e': e}}) AS best FROM parts JOIN book{k} USING (p) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} AS (
+  SELECT p, e, coalesce(m, c) AS c FROM book{k} LEFT JOIN (
+    SELECT p, e, list(floor(s / n) ORDER BY i) AS m FROM (
+      SELECT p, best.e AS e, i, sum(x[i]) AS s, count(*) AS n
+      FROM near{k}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM parts))) AS i) GROUP BY ALL)
+    GROUP BY p, e) USING (p, e))""")
+    return ",\n".join(steps)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_personal_data, op3_language_id, op4_token_counts, op5_pack_sequences, op6_quality_rules, op7_exact_dedup,
-    op8_main_text, op9_lm_scores, op10_near_dedup)}
+    op8_main_text, op9_lm_scores, op10_near_dedup, op11_vector_codes, op12_hard_negatives)}
 ORACLES: dict[str, str] = {"op1_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -130,4 +159,41 @@ reach(doc_id, other) AS (
 SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id,
        d.doc_id = min(other) AS kept
 FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
-GROUP BY d.doc_id"""}
+GROUP BY d.doc_id""",
+    "op11_vector_codes": f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    = len(embedding) AND len(embedding) > 0),
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r FROM kept),
+parts AS (SELECT r, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x
+          FROM numbered, (SELECT unnest(range(4)) AS p)),
+book0 AS (SELECT p, r AS e, x AS c FROM parts WHERE r < 256),
+{code_rounds(4)},
+codes AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code,
+                 sum(best.d)::BIGINT AS error FROM near4 GROUP BY r)
+SELECT vec_id, label, code, error,
+       sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ','
+               ORDER BY p, e)) FROM book4) AS codebooks_sha256
+FROM numbered JOIN codes USING (r)""",
+    "op12_hard_negatives": """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(embedding) > 0),
+scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS id,
+         a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+  FROM kept a JOIN kept b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (
+                PARTITION BY anchor ORDER BY s DESC, id, other) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER best)::INTEGER AS rank,
+       n.id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+  AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+WINDOW best AS (PARTITION BY p.anchor, p.other ORDER BY n.s DESC, n.id, n.other)
+QUALIFY row_number() OVER best <= 3"""}
