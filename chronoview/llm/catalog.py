@@ -17,6 +17,7 @@ from chronoview.llm import (
     quality,
     quantize,
     scoring,
+    suffixes,
     tokens,
 )
 
@@ -76,6 +77,10 @@ def op12_hard_negatives(spark, folder):
     return negatives.hard_negatives(negatives.relabelled(table))
 
 
+def op13_repeated_passages(spark, folder):
+    return suffixes.repeated_passages(common.documents(spark, folder))
+
+
 def code_rounds(rounds: int) -> str:
     """The assignments and updates of op11, one after the other."""
     steps = []
@@ -95,7 +100,8 @@ def code_rounds(rounds: int) -> str:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_personal_data, op3_language_id, op4_token_counts, op5_pack_sequences, op6_quality_rules, op7_exact_dedup,
-    op8_main_text, op9_lm_scores, op10_near_dedup, op11_vector_codes, op12_hard_negatives)}
+    op8_main_text, op9_lm_scores, op10_near_dedup, op11_vector_codes, op12_hard_negatives,
+    op13_repeated_passages)}
 ORACLES: dict[str, str] = {"op1_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -196,4 +202,25 @@ SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER best)::INTEGER AS ra
 FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
   AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
 WINDOW best AS (PARTITION BY p.anchor, p.other ORDER BY n.s DESC, n.id, n.other)
-QUALIFY row_number() OVER best <= 3"""}
+QUALIFY row_number() OVER best <= 3""",
+    "op13_repeated_passages": """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h
+               FROM documents),
+passages AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s
+             FROM texts, unnest(range(len(h) // 2 - 49)) AS t(i)),
+firsts AS (SELECT s, min(doc_id) AS m FROM passages GROUP BY s),
+hits AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step
+         FROM passages JOIN firsts USING (s) WHERE m < doc_id),
+runs AS (SELECT r, i, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (
+           PARTITION BY r ORDER BY i) AS run FROM hits),
+spans AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY r, run),
+pieces AS (SELECT *, substr(h, 2 * coalesce(lag(b) OVER own, 0) + 1,
+                            2 * (a - coalesce(lag(b) OVER own, 0))) AS before
+           FROM spans JOIN texts USING (r) WINDOW own AS (PARTITION BY r ORDER BY a)),
+cut AS (SELECT r, sum(b - a) AS n, count(*) AS k, max(b) AS last,
+               string_agg(before, '' ORDER BY a) AS kept FROM pieces GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed,
+       coalesce(k, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END))
+         AS kept_sha256
+FROM texts LEFT JOIN cut USING (r)"""}

@@ -25,6 +25,8 @@ from chronoview.session import staged
 
 LEVELS = (2, 8, 32)
 ANCHORS, ROWS = 1 << 15, 1 << 16
+# A cell with fewer rows returns about as much as it reads.
+LEAST_ROWS = 1 << 10
 CHUNK, STEP, FIRST_STEP = 256, 2048, 64
 # With fewer pairs left than this share, pairs are worked off one by one.
 SPARSE = 1 / 16
@@ -189,7 +191,7 @@ def in_cells(anchors: DataFrame, rows: DataFrame, many: int, total: int, run) ->
     blocks = max(1, -(-many // ANCHORS))
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 -(-total * blocks // ROWS))
-    groups = -(-tasks // blocks)
+    groups = max(1, min(-(-tasks // blocks), total // LEAST_ROWS))
 
     def dealt(df, own, others):
         place = F.pmod(F.xxhash64("row"), F.lit(own)).cast("int")
