@@ -155,12 +155,16 @@ class Names:
     """Distinct names of a block's suffixes with the smallest and largest document of each."""
 
     def __init__(self, value: np.ndarray, docs: np.ndarray, more: np.ndarray | None = None):
-        order = np.lexsort((value,) if more is None else (more, value))
+        order = np.argsort(value)
         ranked = value[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = ranked[1:] != ranked[:-1]
         if more is not None:
-            fresh[1:] |= more[order][1:] != more[order][:-1]
+            apart = more[order][1:] != more[order][:-1]
+            if (apart & ~fresh[1:]).any():  # one value with several second halves, out of order
+                order = np.lexsort((more, value))
+                apart = more[order][1:] != more[order][:-1]
+            fresh[1:] |= apart
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(fresh) - 1
         firsts = np.flatnonzero(fresh)

@@ -128,3 +128,17 @@ def test_chance_of_a_shared_name_is_bounded():
     for size in (0, 10**6, 10**9, 10**14):
         plan = suffixes.Plan(size)
         assert 64 + 8 * plan.more >= 2 * np.log2(max(2, size)) + 20 or size < 10**6
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_names_are_told_apart_by_both_halves(seed):
+    rng = np.random.default_rng(seed)
+    value, more = (rng.integers(0, 4, 60).astype(np.uint64) for _ in range(2))
+    docs = rng.integers(0, 9, 60)
+    names = suffixes.Names(value, docs, more)
+    for i in range(60):
+        same = docs[(value == value[i]) & (more == more[i])]
+        group = names.group[i]
+        assert (names.value[group], names.more[group]) == (value[i], more[i])
+        assert (names.least[group], names.most[group]) == (same.min(), same.max())
+    assert len(names.value) == len({*zip(value.tolist(), more.tolist())})
