@@ -79,16 +79,16 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str,
             yield batch.slice(start)
 
 
-def cut_at_gaps(text: str, limit: int, gap: str = " ") -> Iterator[str]:
+def cut_at_gaps(text: str, limit: int, gap: str = " ", before: str = " ") -> Iterator[str]:
     """Parts of about ``limit`` characters; each later part began with one ``gap``, now dropped.
 
-    A cut is made only before a gap whose left neighbour is no gap, so a run of gaps stays
-    with what follows it.
+    A cut is made only before a gap whose left neighbour is none of ``before``, so a run of gaps
+    stays with what follows it.
     """
     start = 0
     while len(text) - start > limit:
         at = text.find(gap, start + limit)
-        while at > 0 and text[at - 1] == gap:
+        while at > 0 and text[at - 1] in before:
             at = text.find(gap, at + 1)
         if at < 0:
             break

@@ -10,7 +10,6 @@ the cross-entropy beyond which a prediction is marked as not accepted.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from chronoview.llm.common import byte_slices
 from chronoview.session import staged
@@ -26,12 +24,9 @@ from chronoview.session import staged
 ORDER = 4
 # Labelled documents used per language: for the model, and for score and rejection.
 FIT_DOCS, CHECK_DOCS = 2000, 500
-# The most frequent n-grams a language keeps; bounds the broadcast model.
-NGRAMS = 1 << 18
 ACCEPTED = 0.995
 BATCH_BYTES = 1 << 20
 SPACE, PAD, ASTRAL = 0x20, 1, 0xFFFF
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -199,6 +194,11 @@ class Models:
         return result
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numbers such as fractions or superscripts are none."""
+    return any(map(str.isalpha, text))
+
+
 def held_out(doc_id: Column, parts: int, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
@@ -221,9 +221,8 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> tuple[Models | None, float, np.ndarray]:
     """Models, temperature and the accepted cross-entropy per language."""
     sample = labelled_sample(docs)
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    counted = gram_counts(sample.where("for_fit").select("lang", "text")).withColumn(
-        "_place", place).where(F.col("_place") <= NGRAMS).drop("_place").toArrow()
+    # The sample bounds the model: no n-gram of it is left out.
+    counted = gram_counts(sample.where("for_fit").select("lang", "text")).toArrow()
     langs = np.array(counted.column("lang").to_pylist(), object)
     keys = counted.column("gram").to_numpy().view(np.uint64)
     n = counted.column("n").to_numpy()
@@ -286,7 +285,7 @@ def identify(docs: DataFrame) -> DataFrame:
             langs, scores, accepted = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
             if shared.value is not None:
                 entropies = shared.value.cross_entropies(texts)
-                known = np.flatnonzero(np.array([bool(LETTER.search(x)) for x in texts]) &
+                known = np.flatnonzero(np.array([has_letter(x) for x in texts], bool) &
                                        ~np.isnan(entropies[:, 0]))
                 best = entropies[known].argmin(axis=1)
                 scaled = -entropies[known] * temperature

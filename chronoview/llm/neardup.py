@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoview.llm.common import byte_slices, packed, unpacked
 from chronoview.llm.words import lower_bytes, mix, word_hashes, word_spans
@@ -323,7 +324,7 @@ def compared(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, width: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(sketches, groups): doc_id, n_shingles, node; and node, component_id."""
+    """(sketches, groups): doc_id, n_shingles, node; and node, label, component_id."""
     similarity = percent / 100
     sketches = staged(sketch(docs, width), "near-sketches")
     classes = staged(sketches.where("node IS NOT NULL").groupBy("node").agg(
@@ -370,7 +371,7 @@ def near_classes(docs: DataFrame, width: int = 4, percent: int = 80) -> tuple[Da
         labels = components(links.unionByName(found))
     placed = labelled(classes.select("node", "rep"), labels)
     names = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
-    groups = placed.join(names, "label").select("node", "component_id")
+    groups = placed.join(names, "label").select("node", "label", "component_id")
     return sketches.select("doc_id", "n_shingles", "node"), groups
 
 
@@ -391,16 +392,50 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, whole rows: of each component the one with its smallest id.
+def with_node(rows: DataFrame, width: int) -> DataFrame:
+    """Add ``_node``, the name of the set of ``_text``, and drop the text."""
+    kept = [f for f in rows.schema.fields if f.name != "_text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for part in byte_slices(batches, "_text", BATCH_BYTES):
+                nodes = [set_hash(s) if len(s) else None
+                         for s in text_shingles(part.column("_text"), width)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(f.name) for f in kept), pa.array(nodes, pa.int64())],
+                    names=[*(f.name for f in kept), "_node"])
 
-    Rows that leave are named by doc_id, and only rows the sieve of these ids lets through are
-    joined; the others never move. Rows with a null id stay.
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("_node", T.LongType())]))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that stay, whole rows: of each component one row, with its smallest id.
+
+    A verdict belongs to a doc_id and a set together, so an id that stands on several texts
+    loses only those that its components drop; of several rows with the smallest id in one
+    component, that of the set first in order stays, and of rows equal in both any one. Only
+    rows whose id the sieve of concerned ids lets through are named again and joined; the
+    others never move. Rows with a null id and texts without words stay. Long texts are
+    worked off in stretches; a set is held whole.
     """
-    verdicts = staged(near_duplicates(docs, width, percent), "near-verdicts")
-    gone = staged(verdicts.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    sifted = sift(packed(docs, F.col("doc_id").cast("long").alias("_id")),
-                  F.coalesce(F.col("_id"), F.lit(0)), sieve_of(gone, "_gone"))
-    stay = sifted.where("_maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    return unpacked(sifted.where(~F.col("_maybe"))).unionByName(unpacked(stay))
+    sketches, groups = near_classes(docs, width, percent)
+    pairs = sketches.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy(
+        "node", "doc_id").agg(F.count("*").alias("_rows"))
+    placed = staged(pairs.join(groups.select("node", "label"), "node"), "near-verdicts")
+    best = placed.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("_best")).select(
+        "_best.*")
+    gone = staged(placed.join(best, ["doc_id", "node"], "left_anti").select(
+        F.col("doc_id").alias("_id"), F.col("node").alias("_node")), "near-gone")
+    repeated = placed.where("_rows > 1").select(F.col("doc_id").alias("_id"))
+    ids = gone.select("_id").unionByName(repeated)
+    sifted = sift(packed(docs, F.col("doc_id").cast("long").alias("_id"),
+                         F.col("text").alias("_text")),
+                  F.coalesce(F.col("_id"), F.lit(0)), sieve_of(ids, "_id"))
+    concerned = F.col("_maybe") & F.col("_id").isNotNull()
+    named = with_node(sifted.where(concerned).select("_row", "_id", "_text"), width)
+    stay = named.join(gone, ["_id", "_node"], "left_anti")
+    worded = stay.where("_node IS NOT NULL").groupBy("_id", "_node").agg(
+        F.first("_row").alias("_row"))
+    rest = sifted.where(~concerned).select("_row").unionByName(
+        stay.where("_node IS NULL").select("_row"))
+    return unpacked(rest.unionByName(worded.select("_row")))

@@ -14,6 +14,8 @@ Everything is column expressions. Features are computed inside one row, so no wo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,8 +30,6 @@ MAX_REPEATED_PERCENT = 50
 
 RISK = 0.02
 DELTA = 0.05
-# Labelled good documents a stratum uses at most, chosen by a hash of the id.
-HOLDOUT = 20_000
 
 # Candidates of every rule, mild to strict; a document is beyond one when its feature is greater.
 GRID = {
@@ -131,37 +131,53 @@ def base_failed(at=F.col) -> Column:
         at("n_repeat_words") * 100 > at("n_words") * MAX_REPEATED_PERCENT)
 
 
-def binomial_tail(k: Column, n: Column, rate: float) -> Column:
-    """P(Bin(n, rate) <= k), summed in logarithms from 0 to k."""
-    step = F.lit(rate / (1 - rate))
-    first = n * F.log(F.lit(1 - rate))
-
-    def add(state: Column, j: Column) -> Column:
-        term = state["term"] + F.log((n - j + 1) / j * step)
-        high, low = F.greatest(term, state["sum"]), F.least(term, state["sum"])
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("sum"))
+def log_factorial(x: Column) -> Column:
+    """ln(x!) by Stirling's series after a shift of 16, to about 1e-13 of its size."""
+    product = F.lit(1.0)
+    for i in range(1, 17):
+        product = product * (x + F.lit(float(i)))
+    y = x + F.lit(17.0)  # ln(x!) = lnGamma(y) - ln((x + 1) ... (x + 16))
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
 
-    terms = F.when(k < 1, F.array().cast("array<bigint>")).otherwise(
-        F.sequence(F.lit(1).cast("bigint"), k))
-    start = F.struct(first.alias("term"), first.alias("sum"))
-    return F.exp(F.aggregate(terms, start, add, lambda s: s["sum"]))
 
+def binomial_tail(k: Column, n: Column, rate: float) -> Column:
+    """P(Bin(n, rate) <= k), summed from the term of k down until terms are below 1e-17 of it.
 
-def fit_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA,
-                holdout: int = HOLDOUT) -> DataFrame:
+    So many terms count as nine deviations hold, beyond the mode if k is above it; a k that is
+    nine deviations above the mean has a tail of 1.
+    """
+    mean, deviation = n * F.lit(rate), F.sqrt(n * F.lit(rate * (1 - rate)))
+    term = (log_factorial(n.cast("double")) - log_factorial(k.cast("double"))
+            - log_factorial((n - k).cast("double")) + k * F.lit(math.log(rate))
+            + (n - k) * F.lit(math.log1p(-rate)))
+    terms = F.least(k, F.ceil(9 * deviation + 60 + F.greatest(k - mean, F.lit(0.0))))
+    back = F.lit((1 - rate) / rate)
+
+    def add(state: Column, step: Column) -> Column:
+        j = k - step + 1
+        value = state["term"] * j / (n - j + 1) * back
+        return F.struct(value.alias("term"), (state["sum"] + value).alias("sum"))
+
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    steps = F.when(terms < 1, F.array().cast("array<bigint>")).otherwise(
+        F.sequence(F.lit(1).cast("bigint"), terms.cast("bigint")))
+    total = F.exp(term) * F.aggregate(steps, one, add, lambda s: s["sum"])
+    return F.when(k > mean + 9 * deviation + 60, F.lit(1.0)).otherwise(
+        F.least(total, F.lit(1.0)))
+
+
+def fit_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK,
+                delta: float = DELTA) -> DataFrame:
     """One row per stratum: _stratum and one cutoff column per rule (null: the rule is off).
 
-    ``counted`` has doc_id, lang and the counts; ``labels`` doc_id and quality (1 is good).
-    Contradicting labels of a document count as bad.
+    ``counted`` has doc_id, lang and the counts; ``labels`` doc_id and quality (1 is good). All
+    labelled documents count. Contradicting labels of a document count as bad.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
-    usable = counted.where(~base_failed()).join(good, "doc_id", "left_semi")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("_have")).select(
-        F.col("lang").alias("_stratum"), "_have")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(1 << 30)) / float(1 << 30)
-    held = (usable.join(sizes, usable["lang"].eqNullSafe(sizes["_stratum"]))
-            .where(draw * F.col("_have") < holdout))
+    held = counted.where(~base_failed()).join(good, "doc_id", "left_semi").withColumnRenamed(
+        "lang", "_stratum")
     beyond = [F.sum((value > candidate).cast("long")).alias(f"{rule}_{i}")
               for rule, value in features().items()
               for i, candidate in enumerate(GRID[rule])]

@@ -1,7 +1,7 @@
 """Token counts: batched encoding inside Arrow functions that return lengths only.
 
 A piece model of this kind never joins a space to the character before it, so a text may be
-cut before any space that follows another character, and each part encoded alone. Parts are
+cut before any space that follows a character other than a space (or its mark, U+2581), and each part encoded alone. Parts are
 words here: a word seen before costs one look-up, unseen words of a batch are encoded in one
 call. Batches hold a bounded number of bytes; a longer text is worked off in parts.
 """
@@ -22,7 +22,9 @@ BATCH_BYTES = 4 << 20
 REMEMBERED = 1 << 20
 LIMIT = 4096
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-UNITS = re.compile("(?<=[^ ]) ")
+# A literal U+2581 is the model's own mark of a space and may join one that follows it.
+UNITS = re.compile("(?<=[^ \u2581]) ")
+UNEVEN = "^ |  |\u2581 | $"
 
 
 class PieceCounter:
@@ -60,7 +62,7 @@ class PieceCounter:
 
     def _long(self, text: str) -> int:
         total = 0
-        for part in cut_at_gaps(text, BATCH_BYTES):
+        for part in cut_at_gaps(text, BATCH_BYTES, before=" \u2581"):
             total += self._spaced(part) if part else self.lone_space
         return total
 
@@ -79,7 +81,7 @@ class PieceCounter:
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         sums = np.concatenate([[0], np.cumsum(per_word[codes])])
         counts = sums[offsets[1:]] - sums[offsets[:-1]]
-        odd = pc.match_substring_regex(texts, "^ |  | $").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
         for row in np.flatnonzero(odd):
             counts[row] = self._spaced(texts[row].as_py())
         return counts
@@ -98,7 +100,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows and null ids are counted
-    like any other; an empty table gives no rows; other columns are ignored.
+    like any other; an empty table gives no rows; other columns are ignored. A text above 4 MB
+    is a batch of its own and is worked off in parts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "text", BATCH_BYTES):

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from corpus import EXTRA, SCHEMA, awkward
+from corpus import EXTRA, SCHEMA, awkward, rows, sentence
 
 from chronoview.llm import langid
 
@@ -122,3 +122,14 @@ def test_texts_in_one_batch_do_not_touch():
     together = models.cross_entropies(texts)
     apart = np.vstack([models.cross_entropies([t]) for t in texts])
     np.testing.assert_allclose(together, apart, rtol=1e-6)
+
+
+def test_numbers_are_no_letters(spark):
+    """Fractions, superscripts and numerals of other kinds alone give und."""
+    data = rows([sentence(random.Random(i), 30) for i in range(40)], langs=("en",))
+    odd = ["\u00bd\u00b2", "\u2167", "\u2460 \u2461", "12 ½", "\u0663", "_", "e", "\u00e9", "\u4e2d"]
+    data += [(100 + i, t, *data[0][2:]) for i, t in enumerate(odd)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(data, SCHEMA)).collect()}
+    for i, text in enumerate(odd):
+        assert (got[100 + i].lang_pred == "und") == (not any(map(str.isalpha, text))), text
+        assert got[100 + i].lang_pred != "und" or got[100 + i].score == 0

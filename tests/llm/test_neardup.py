@@ -143,3 +143,17 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert neardup.near_duplicates(empty).collect() == []
     assert neardup.drop_near_duplicates(empty).collect() == []
+
+
+def test_an_id_on_several_texts_loses_no_group(spark):
+    """Rows leave by id and text together; one row of each group stays."""
+    rng = random.Random(8)
+    a, b = sentence(rng, 80), sentence(rng, 80)
+    texts = [(1, a), (5, edited(rng, a, 1)), (5, b), (9, edited(rng, b, 1))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, *EXTRA) for i, t in texts], SCHEMA)
+    got = sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(frame).collect())
+    assert got == [(1, a), (5, b)]
+    again = texts + [(1, edited(rng, a, 1)), (1, a), (1, a.upper())]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, *EXTRA) for i, t in again], SCHEMA)
+    got = [r.doc_id for r in neardup.drop_near_duplicates(frame).collect()]
+    assert sorted(got) == [1, 5]

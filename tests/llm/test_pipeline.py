@@ -38,7 +38,7 @@ def test_stages_are_registered():
         "quality_rules", "exact_dedup", "near_dedup", "mix_sources", "pack_sequences"]
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 

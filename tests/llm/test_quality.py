@@ -48,7 +48,8 @@ def test_counts_equal_brute_force(spark):
 
 
 def test_binomial_tail_is_exact(spark):
-    cases = [(0, 10, .1), (3, 10, .2), (12, 400, .05), (400, 20000, .02), (5, 5, .3)]
+    cases = [(0, 10, .1), (3, 10, .2), (12, 400, .05), (400, 20000, .02), (5, 5, .3),
+             (0, 5, .004), (3900, 1_000_000, .004), (4000, 1_000_000, .004)]
     for k, n, rate in cases:
         got = spark.range(1).select(quality.binomial_tail(
             F.lit(k).cast("long"), F.lit(n).cast("long"), rate)).first()[0]
@@ -126,3 +127,18 @@ def test_very_long_texts(spark):
     got = quality.quality_report(spark.createDataFrame([(1, text, "en", "s", 0, *EXTRA)], SCHEMA),
                                  labels_of(spark, [])).first()
     assert (got.n_words, got.n_repeat_words) == (90000, 30000)
+
+
+def test_every_label_counts(spark):
+    """Beyond any former bound of labelled rows: a late bad one still turns a cutoff down."""
+    n = 30_000
+    counted = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(100).alias("n_words"),
+        F.lit(500).alias("word_chars"), F.when(F.col("id") % 200 == 0, 60).otherwise(0).alias(
+            "n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"),
+        F.lit(0).alias("n_capitals"), F.lit(10).alias("n_lines"))
+    labels = counted.select("doc_id", F.lit(1).alias("quality"))
+    few = labels.where("doc_id % 200 <> 0 OR doc_id < 400")
+    row = quality.fit_cutoffs(counted, labels).first()
+    assert row["_symbols"] == 0.75  # 150 of 30,000 good ones beyond 0.5 are too many
+    assert quality.fit_cutoffs(counted, few).first()["_symbols"] == 0.05

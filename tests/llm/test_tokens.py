@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 import public_tokenizers
 import pytest
@@ -46,3 +48,20 @@ def test_memory_is_bounded(monkeypatch):
 
 def test_empty_table(spark):
     assert tokens.token_counts(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_random_strings_with_the_space_mark(monkeypatch):
+    """Literal U+2581 beside spaces, in batches and in long texts cut into parts."""
+    rng = random.Random(5)
+    model = SentencePieceProcessor(model_file=PATH)
+    letters = [" ", "\u2581", "a", "5", "the", "\n", ".", "<unk>", "\u00e9", "\u4e2d", "  "]
+    counter = tokens.PieceCounter(PATH)
+    for _ in range(400):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12)))
+                 for _ in range(3)]
+        want = [len(model.encode(t)) for t in texts]
+        assert counter.count(pa.array(texts)).tolist() == want, texts
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 20)
+    for _ in range(400):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(30, 60)))
+        assert counter.count(pa.array([text])).tolist() == [len(model.encode(text))], [text]
