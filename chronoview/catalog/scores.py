@@ -72,6 +72,48 @@ def _(t: Tables):
                        .alias("total"))
 
 
+def _limbs_sql() -> str:
+    """The recorded sums of an export, from the long logits."""
+    scaled = "z * 1048576"
+    middle = f"(({scaled}) - floor({scaled})) * 4294967296"
+    low = f"(({middle}) - floor({middle})) * 4294967296"
+    parts = " || ':' || ".join(f"CAST(floor({p}) AS BIGINT)" for p in (scaled, middle, low))
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substr(digest, {8 * k + 1}, 8) AS BIGINT)) AS BIGINT) "
+                     f"AS limb{k}" for k in range(4))
+    return f"""SELECT view, seed, month, count(*) AS n, {sums} FROM (
+  SELECT view, seed, month, md5(sha || '|' || label || '|' ||
+    string_agg({parts}, ',' ORDER BY c)) AS digest FROM logits
+  GROUP BY view, seed, month, sha, label) GROUP BY view, seed, month"""
+
+
+@query("a14_export_checksums", sql(Q.PREDICTIONS, _limbs_sql()))
+def _(t: Tables):
+    path = scratch_path(t.spark, "predictions")
+    W.write_predictions(_export(t), path, CLASSES)
+    return t.spark.read.parquet(f"{path}_checksums")
+
+
+@query("a9_verified_predictions", sql(Q.PREDICTIONS, """
+SELECT DISTINCT view, seed, month, rule FROM logits, (VALUES ('checksum')) AS r(rule)
+WHERE view = 'sbsmi' AND month = '2020-02'
+UNION ALL SELECT DISTINCT view, seed, month, rule FROM logits,
+  (VALUES ('checksum'), ('row_count')) AS r(rule) WHERE view = 'raw_byte' AND month = '2020-03'"""))
+def _(t: Tables):
+    """A stored export, of which one model's smallest logit bits and another's rows were changed."""
+    path = scratch_path(t.spark, "predictions")
+    W.write_predictions(_export(t), path, CLASSES)
+    rows = T.scan_predictions(t.spark, path, CLASSES)
+    first = rows.groupBy(*KEYS).agg(F.min("sha").alias("_first"))
+    one = F.col("sha") == F.col("_first")
+    nudged = F.transform("logits", lambda z, i: F.when(i == 0, z + z * F.lit(2.0 ** -50)).otherwise(z))
+    changed = rows.join(first, KEYS).withColumn("logits", F.when(
+        one & (F.col("view") == "sbsmi") & (F.col("month") == "2020-02"), nudged).otherwise(
+        F.col("logits"))).where(~(one & (F.col("view") == "raw_byte") & (
+            F.col("month") == "2020-03")))
+    recorded = t.spark.read.parquet(f"{path}_checksums")
+    return K.check_export(changed, recorded, CLASSES)
+
+
 def _export(t: Tables):
     return t.predictions.withColumn("embedding", F.transform(
         "logits", lambda x: x.cast("float")))

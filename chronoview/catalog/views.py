@@ -12,13 +12,19 @@ from chronoview.functions import arrow as A
 from chronoview.operators import blocks as B
 from chronoview.operators import byteviews as N
 from chronoview.operators import dataset as G
+from chronoview.operators import journal as J
 from chronoview.operators import models as K
-from chronoview.operators import selection as L
 from chronoview.operators import validate as V
+from chronoview.operators.provenance import claim_output
+from chronoview.plans import dataset as P
 from chronoview.session import scratch_path, staged
 from chronoview.sources import sinks as W
 from chronoview.sources import tables as T
-from chronoview.streaming.incremental import incremental_views
+from chronoview.streaming.incremental import (
+    LOG_SCHEMA,
+    incremental_views,
+    views_as_both_arrive,
+)
 
 
 SHARE = "least((r + 1) * height, (src + 1) * 64) - greatest(r * height, src * 64)"
@@ -222,17 +228,39 @@ def _generated(t: Tables, modalities=G.MODALITIES):
     return G.generate_views(t.blob_manifest, t.blobs, "config-1", modalities)
 
 
-@query("i9_generate_views", sql(Q.BLOBS, """
+def _own(ctes: str, start: str, name: str) -> str:
+    """The resizing steps of a view from ``start`` on, under names of their own."""
+    steps = ctes[ctes.index(start):]
+    return steps.replace("view_cells", f"{name}_view").replace("spread", f"{name}_spread").replace(
+        "cells", f"{name}_cells")
+
+
+ALL_VIEWS = (Q.BLOCK_MEANS + Q.TRANSITIONS.removeprefix(Q.BYTES) + ", "
+             + _own(_raw_cells_sql(True, single=True), "cells AS", "raw") + ", "
+             + _own(_entropy_cells_sql(True, single=True), "cells AS", "entropy") + """, totals AS (
+  SELECT sha, 'sbsmi' AS modality, round(CAST(sum(pixel) AS DOUBLE), 3) AS total FROM pixels GROUP BY sha
+  UNION ALL SELECT sha, 'raw_byte', round(sum(value), 3) FROM raw_view GROUP BY sha
+  UNION ALL SELECT sha, 'entropy', round(sum(value), 3) FROM entropy_view GROUP BY sha)""")
+
+
+def _pixel_total(digits: int = 3):
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, p: a + p.cast("double"))
+    return F.round(total, digits).alias("pixel_total")
+
+
+@query("i9_generate_views", sql(ALL_VIEWS, """
 SELECT sha, family, CAST(regexp_extract(family, '([0-9]+)', 1) AS INTEGER) AS class_id, split, month,
   timestamp, modality, CASE WHEN size > 0 THEN 'PASS' ELSE 'ERROR' END AS status,
   content_sha256, CAST(size AS BIGINT) AS content_size, member AS source_member,
-  CASE WHEN modality = 'sbsmi' THEN 'uint8' ELSE 'float32' END AS dtype, 4096 AS cells
-FROM blobs, (VALUES ('raw_byte'), ('entropy'), ('sbsmi')) AS m(modality)"""))
+  CASE WHEN modality = 'sbsmi' THEN 'uint8' ELSE 'float32' END AS dtype, 4096 AS cells,
+  coalesce(total, 0) AS pixel_total
+FROM blobs CROSS JOIN (VALUES ('raw_byte'), ('entropy'), ('sbsmi')) AS m(modality)
+LEFT JOIN totals USING (sha, modality)"""))
 def _(t: Tables):
     return _generated(t).select(
         "sha", "family", "class_id", "split", "month", "timestamp", "modality", "status",
         "content_sha256", "content_size", "source_member", "dtype",
-        F.size("pixels").alias("cells"))
+        F.size("pixels").alias("cells"), _pixel_total())
 
 
 @query("a8_scan_view_images", sql(Q.TRANSITIONS + VIEW_TOTALS, """
@@ -376,12 +404,12 @@ def _(t: Tables):
 SELECT sha, 'sbsmi' AS modality, 'missing_report' AS rule FROM blobs WHERE split = 'test'
 UNION ALL SELECT sha, 'sbsmi', 'output_digest' FROM blobs WHERE split = 'validation'"""))
 def _(t: Tables):
-    from chronoview.operators import joins as J
+    from chronoview.operators.joins import report_against_output
     views = staged(_generated(t, ("sbsmi",)), "views")
     reports = views.where(F.col("split") != "test").drop("pixels").withColumn(
         "output_sha256", F.when(F.col("split") == "validation", F.lit("0" * 64))
         .otherwise(F.col("output_sha256")))
-    return J.report_against_output(views, reports, [*G.IDENTITY, "config_id"])
+    return report_against_output(views, reports, [*G.IDENTITY, "config_id"])
 
 
 @query("v11_audit_dataset", sql(Q.BLOBS, """
@@ -460,6 +488,33 @@ def _(t: Tables):
         "modality", "status").agg(F.count("*").alias("n"))
 
 
+@query("l1_late_manifest", sql(Q.BLOBS, """
+SELECT sha, modality, CASE WHEN size > 0 THEN 'CREATED' ELSE 'ERROR' END AS status,
+  split = 'test' AS came_late
+FROM blobs, (VALUES ('raw_byte'), ('sbsmi')) AS m(modality)"""))
+def _(t: Tables):
+    """Blobs of the test split come before their manifest rows and are viewed when these come."""
+    path, root = f"{t.folder}/documents.parquet", scratch_path(t.spark, "late")
+    samples = t.blob_manifest.select("sha", *G.IDENTITY)
+
+    def run():
+        docs = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(
+            f"{t.folder}/documents.[p]arquet")
+        rows = t.spark.readStream.schema(samples.schema).parquet(f"{root}/rows")
+        views_as_both_arrive(
+            t.as_blobs(docs).select("sha", "member"), rows,
+            lambda ready: t.blobs.select("sha", "member", "content").join(
+                ready.select("sha", "member"), ["sha", "member"], "left_semi"),
+            "config-1", f"{root}/views", f"{root}/log", f"{root}/checkpoint",
+            ("raw_byte", "sbsmi"))
+    samples.where("split <> 'test'").write.parquet(f"{root}/rows")
+    run()
+    samples.where("split = 'test'").write.mode("append").parquet(f"{root}/rows")
+    run()
+    log = t.spark.read.option("recursiveFileLookup", True).schema(LOG_SCHEMA).parquet(f"{root}/log")
+    return log.select("sha", "modality", "status", (F.col("batch_id") > 0).alias("came_late"))
+
+
 @query("l2_register_functions", sql(Q.STATES + """, counts AS (
   SELECT sha, v, count(*) AS k FROM bytes GROUP BY ALL)""", """
 SELECT s.sha, round(h, 6) AS entropy_bits, n_states FROM (
@@ -474,12 +529,43 @@ def _(t: Tables):
           size(lbit_states(content)) AS n_states FROM chronoview_blobs""")
 
 
+def _interrupted(t: Tables):
+    """A dataset whose run died while it wrote: claimed, a part of the views there, no commit.
+
+    Of validation samples the pixels were damaged as well.
+    """
+    settings, kinds = {"name": "resumed"}, ("raw_byte", "sbsmi")
+    selected = t.blob_manifest.where("split <> 'test'")
+    root = scratch_path(t.spark, "dataset")
+    config_id, identity = P.dataset_identity(selected, settings, kinds)
+    claim_output(t.spark, root, identity)
+    place = J.folder(t.spark, root)
+    J.claim(place, J.items(selected, kinds, config_id), 1)
+    made = G.generate_views(selected, t.blobs, config_id, kinds)
+    halved = F.transform("pixels", lambda p: p / F.lit(2).cast("float"))
+    damaged = (F.col("split") == "validation") & (F.col("modality") == "raw_byte")
+    part = made.where("split = 'validation' OR modality = 'sbsmi'").withColumn(
+        "pixels", F.when(damaged, halved).otherwise(F.col("pixels")))
+    W.write_views(G.as_stored(part), f"{place.views}/attempt=1")
+    return selected, settings, root, kinds
+
+
 @query("c9_resume_generation", sql(Q.BLOBS, """
-SELECT sha, modality FROM blobs, (VALUES ('raw_byte'), ('entropy'), ('sbsmi')) AS m(modality)
-WHERE split = 'test' OR modality <> 'sbsmi'"""))
-def _(t: Tables):
-    todo = t.blob_manifest.select("sha", F.explode(F.array(
-        *(F.lit(m) for m in G.MODALITIES))).alias("modality"))
-    done = t.blob_manifest.where(F.col("split") != "test").select(
-        "sha", F.lit("sbsmi").alias("modality"), F.lit("VERIFIED").alias("status"))
-    return L.skip_completed(todo, done)
+SELECT split, modality, CASE WHEN modality = 'sbsmi' THEN 'VERIFIED' ELSE 'CREATED' END AS status,
+  count(*) AS n FROM blobs, (VALUES ('raw_byte'), ('sbsmi')) AS m(modality)
+WHERE split <> 'test' GROUP BY ALL"""))
+def _(t: Tables):
+    selected, settings, root, kinds = _interrupted(t)
+    log = P.generate_dataset(t.spark, selected, t.blobs, settings, root, modalities=kinds)
+    return log.groupBy("split", "modality", "status").agg(F.count("*").alias("n"))
+
+
+@query("a16_resumed_dataset", sql(ALL_VIEWS, """
+SELECT sha, split, month, modality, total AS pixel_total FROM totals JOIN blobs USING (sha)
+WHERE split <> 'test' AND modality <> 'entropy'"""))
+def _(t: Tables):
+    """What the continued run of an interrupted dataset leaves."""
+    selected, settings, root, kinds = _interrupted(t)
+    P.generate_dataset(t.spark, selected, t.blobs, settings, root, modalities=kinds)
+    return J.current_views(t.spark, root).select("sha", "split", "month", "modality",
+                                                 _pixel_total())

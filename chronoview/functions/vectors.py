@@ -71,3 +71,17 @@ def log_add(left: Column, right: Column) -> Column:
 
 def add_scalar(arr: Column, value: Column) -> Column:
     return F.transform(arr, lambda x: x + value)
+
+
+def exact_text(values: Column) -> Column:
+    """An array of doubles as text that has all their bits: whole numbers of 2^-20, 2^-52, 2^-84.
+
+    Scaling by powers of two and taking floors is exact, so any engine writes the same text;
+    for numbers below 2^42 in size.
+    """
+    def digits(x: Column) -> Column:
+        high = x * float(1 << 20)
+        middle = (high - F.floor(high)) * float(1 << 32)
+        low = (middle - F.floor(middle)) * float(1 << 32)
+        return F.concat_ws(":", *(F.floor(part).cast("string") for part in (high, middle, low)))
+    return F.concat_ws(",", F.transform(values, digits))

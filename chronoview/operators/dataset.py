@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoview.errors import ContractViolation
 from chronoview.functions import arrow as A
 from chronoview.functions import scalars as S
 from chronoview.operators import cohort as C
@@ -21,6 +22,12 @@ from chronoview.session import staged
 
 MODALITIES = ("raw_byte", "entropy", "sbsmi")
 IDENTITY = ("family", "class_id", "split", "month", "timestamp")
+#: Columns of ``generate_views`` in the files of a dataset.
+VIEW_SCHEMA = ("sha string, family string, class_id int, split string, month string, "
+               "timestamp string, source_member string, content_size bigint, "
+               "content_crc32 string, content_sha256 string, modality string, "
+               "pixels array<float>, error string, output_sha256 string, config_id string, "
+               "dtype string, status string")
 
 
 @F.arrow_udf(T.StringType())
@@ -81,6 +88,44 @@ def generate_views(manifest: DataFrame, blobs: DataFrame, config_id: str,
             .withColumn("status", F.when(F.col("error").isNull(), "PASS").otherwise("ERROR")))
 
 
+def as_stored(views: DataFrame) -> DataFrame:
+    """Views with the columns and types of a dataset's files."""
+    fields = (c.split(" ", 1) for c in VIEW_SCHEMA.split(", "))
+    return views.select(*(F.col(name).cast(kind).alias(name) for name, kind in fields))
+
+
+def _digest_sum(digest: Column) -> Column:
+    """Order-free sum of the first 60 bits of hex digests."""
+    return F.coalesce(F.sum(F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")),
+                      F.lit(0)).cast("string")
+
+
+def view_figures() -> list[Column]:
+    """Figures of views that are taken in the very job that writes them.
+
+    Rows, rows that failed, rows that break a rule of stored views, and the sum of digests.
+    """
+    broken = K.view_image_rules()
+    wrong = F.lit(False)
+    for rule in broken.values():
+        wrong = wrong | F.coalesce(rule, F.lit(True))
+    return [F.count(F.lit(1)).alias("views"),
+            F.count_if(F.col("status") != "PASS").alias("failed"),
+            F.count_if((F.col("status") == "PASS") & wrong).alias("broken"),
+            _digest_sum(F.col("output_sha256")).alias("digests")]
+
+
+def require_figures(figures: dict, stored: DataFrame, what: str) -> None:
+    """Refuse a write whose figures are bad or not those of what is stored; no pixels are read."""
+    found = stored.agg(F.count("*").alias("views"),
+                       _digest_sum(F.col("output_sha256")).alias("digests")).first().asDict()
+    problems = [f"{name}={figures[name]}" for name in ("failed", "broken") if figures[name]]
+    problems += [f"{name}: wrote {figures[name]}, stored {found[name]}" for name in found
+                 if figures[name] != found[name]]
+    if problems:
+        raise ContractViolation(f"{what}: " + "; ".join(problems))
+
+
 def generation_log(views: DataFrame) -> DataFrame:
     return views.select("sha", "split", "month", "modality",
                         F.when(F.col("status") == "PASS", "CREATED").otherwise("ERROR")

@@ -51,24 +51,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def claim_output(spark: SparkSession, path: str, identity: dict) -> bool:
     """Record an identity beside an output folder, before anything is written there.
 
-    Returns False when the same run already finished its record; raises when the folder
-    belongs to other inputs or settings, or holds files but no record.
+    Returns False when the same run has finished (``finish_output``), True when there is work
+    left, be it a new folder or one that an earlier run claimed and never finished; raises when
+    the folder belongs to other inputs or settings, or holds files but no record.
     """
-    record = f"{path.rstrip('/')}/_identity"
+    root = path.rstrip("/")
+    record = f"{root}/_identity"
     current = identity_rows(spark, identity)
-    if _exists(spark, record):
+    # A record is whole only with its marker: a run may have died while it wrote it.
+    if _exists(spark, f"{record}/_SUCCESS"):
         previous = spark.read.schema(RECORD_SCHEMA).json(record)
         conflicts = identity_conflicts(previous, current).limit(5).collect()
         if conflicts:
             names = ", ".join(r["name"] for r in conflicts)
             raise ContractViolation(f"{path} was made from other inputs or settings: {names}")
-        return False
-    if _exists(spark, path):
+        return not _exists(spark, f"{root}/_finished/_SUCCESS")
+    if _exists(spark, path) and not _exists(spark, record):
         raise ContractViolation(f"{path} exists without an identity record")
-    current.coalesce(1).write.mode("errorifexists").json(record)
+    current.coalesce(1).write.mode("overwrite").json(record)
     return True
 
 
+def finish_output(spark: SparkSession, path: str, identity: dict) -> None:
+    """The second phase of a claim: the output is whole."""
+    spark.createDataFrame([(identity["run_id"],)], "run_id string").coalesce(1).write.mode(
+        "overwrite").json(f"{path.rstrip('/')}/_finished")
+
+
 def completed_runs(todo: DataFrame, summaries: DataFrame) -> DataFrame:
     """Runs still to do: those without a completed summary of the same identity."""
     done = summaries.where("completed").select("name", "run_id")

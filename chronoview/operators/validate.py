@@ -123,31 +123,82 @@ def check_paths(df: DataFrame, root: str, files: DataFrame | None = None,
     return found
 
 
-def check_view_images(views: DataFrame) -> DataFrame:
+def view_image_rules() -> dict:
     """4096 cells; integers 0..255 for transition views, finite [0, 1] for the others."""
     pixels = F.col("pixels")
     byte = F.forall(pixels, lambda p: p.isNotNull() & (p >= 0) & (p <= 255) & (F.floor(p) == p))
     unit = F.forall(pixels, lambda p: p.isNotNull() & ~F.isnan(p) & (p >= 0) & (p <= 1))
-    return broken_rules(views, ["sha", "modality"], {
+    return {
         "modality": ~F.col("modality").isin("raw_byte", "entropy", "sbsmi"),
         "shape": pixels.isNull() | (F.size(pixels) != 4096),
         "range": F.when(F.col("modality") == "sbsmi", ~byte).otherwise(~unit),
-    })
+    }
 
 
-def check_predictions(predictions: DataFrame, classes: int) -> DataFrame:
-    """Row rules of a prediction export plus repeated ids per (view, seed, month)."""
-    rows = broken_rules(predictions, ["view", "seed", "month", "sha"], {
+def check_view_images(views: DataFrame) -> DataFrame:
+    return broken_rules(views, ["sha", "modality"], view_image_rules())
+
+
+EXPORT_KEYS = ("view", "seed", "month")
+LIMBS = tuple(f"limb{k}" for k in range(4))
+
+
+def prediction_rules(classes: int) -> dict:
+    return {
         "sha_format": ~S.is_sha256(F.col("sha")) | (S.normalize_id(F.col("sha")) != F.col("sha")),
         "label_range": F.col("label").isNull() | (F.col("label") < 0)
         | (F.col("label") >= classes),
         "logits_width": F.col("logits").isNull() | (F.size("logits") != classes),
         "logits_finite": ~V.all_finite(F.col("logits")),
-    })
-    repeated = (predictions.groupBy("view", "seed", "month", "sha").agg(F.count("*").alias("n"))
-                .where("n > 1").select("view", "seed", "month", "sha",
-                                       F.lit("sample_repeated").alias("rule")))
-    return rows.unionByName(repeated)
+    }
+
+
+def repeated_samples(predictions: DataFrame) -> DataFrame:
+    return (predictions.groupBy(*EXPORT_KEYS, "sha").agg(F.count("*").alias("n"))
+            .where("n > 1").select(*EXPORT_KEYS, "sha", F.lit("sample_repeated").alias("rule")))
+
+
+def check_predictions(predictions: DataFrame, classes: int) -> DataFrame:
+    """Row rules of a prediction export plus repeated ids per (view, seed, month)."""
+    rows = broken_rules(predictions, [*EXPORT_KEYS, "sha"], prediction_rules(classes))
+    return rows.unionByName(repeated_samples(predictions))
+
+
+def export_checksums(predictions: DataFrame, classes: int | None = None) -> DataFrame:
+    """Per (view, seed, month): rows, four sums that stand for all of them, broken row rules.
+
+    Every row (sha, label, logits bit by bit) is hashed to 128 bits, whose four 32-bit limbs are
+    summed: the order and the partitioning of rows do not matter, and sums of parts add up. With
+    ``classes`` the same pass counts the rows that break a rule of exports.
+    """
+    text = F.concat_ws("|", F.coalesce("sha", F.lit("-")), F.coalesce(
+        F.col("label").cast("string"), F.lit("-")), F.coalesce(
+        V.exact_text(F.col("logits")), F.lit("-")))
+    digest = F.md5(text)
+    rules = {} if classes is None else prediction_rules(classes)
+    broken = F.lit(False)
+    for rule in rules.values():
+        broken = broken | F.coalesce(rule, F.lit(True))
+    return predictions.groupBy(*EXPORT_KEYS).agg(
+        F.count("*").alias("n"),
+        *(F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint")).alias(name)
+          for k, name in enumerate(LIMBS)),
+        F.count_if(broken).alias("broken"))
+
+
+def check_export(predictions: DataFrame, recorded: DataFrame, classes: int) -> DataFrame:
+    """Violations of an export against its recorded checksums, with the row rules in one pass."""
+    values = ["n", *LIMBS]
+    actual = export_checksums(predictions, classes)
+    both = actual.join(recorded.select(*EXPORT_KEYS, *(F.col(c).alias(f"_{c}") for c in values)),
+                       list(EXPORT_KEYS), "full_outer")
+    same = F.lit(True)
+    for c in LIMBS:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return broken_rules(both, EXPORT_KEYS, {
+        "not_recorded": F.col("_n").isNull(), "export_missing": F.col("n").isNull(),
+        "row_count": F.col("n") != F.col("_n"), "checksum": F.col("n").isNotNull()
+        & F.col("_n").isNotNull() & ~same, "broken_rows": F.col("broken") > 0})
 
 
 def check_class_counts(predictions: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chronoview.errors import ContractViolation, require_clean
 from chronoview.operators import dataset as G
 from chronoview.operators import joins as J
+from chronoview.operators import journal
 from chronoview.operators import validate as K
-from chronoview.operators.provenance import claim_output, record_hash, run_identity
+from chronoview.operators.provenance import (
+    claim_output,
+    finish_output,
+    record_hash,
+    run_identity,
+)
 from chronoview.operators.selection import guard_future
 from chronoview.operators.validate import broken_rules
 from chronoview.session import staged
@@ -46,45 +53,94 @@ def declared_problems(views: DataFrame, declared: DataFrame) -> DataFrame:
         "cached_sha256", F.lit(None).cast("string")))
 
 
+def source_index(blobs: DataFrame) -> DataFrame:
+    """sha, member, size: a declared size is taken, so that contents need not be read for it."""
+    size = F.col("size") if "size" in blobs.columns else F.octet_length("content")
+    return blobs.select("sha", "member", size.cast("bigint").alias("size"))
+
+
+def dataset_identity(selected: DataFrame, settings: dict,
+                     modalities: Sequence[str] = G.MODALITIES) -> tuple[str, dict]:
+    """(config_id, identity) of a generation run."""
+    settings = {**settings, "modalities": list(modalities)}
+    return record_hash(settings), run_identity(settings, {"selected": selected})
+
+
+def changed_sources(blobs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Sources whose bytes are no longer those that the stored views were made from."""
+    now = blobs.select("sha", F.sha2("content", 256).alias("_now"))
+    made = whole.select("sha", "content_sha256").distinct()
+    return broken_rules(now.join(made, "sha"), ["sha"], {
+        "source_changed": F.col("_now") != F.col("content_sha256")})
+
+
 def generate_dataset(spark: SparkSession, selected: DataFrame, blobs: DataFrame, settings: dict,
                      path: str, frozen_id: str | None = None,
-                     modalities: Sequence[str] = G.MODALITIES) -> DataFrame:
-    """Select, guard, match, view, check, write and log; returns the log.
-
-    ``blobs`` has sha, member, content. Mixed or unfrozen future rows, missing, ambiguous or
-    empty sources and an output of another run are refused before the first write; bytes
-    against the declared size or CRC, and views that could not be made, before publication.
+                     modalities: Sequence[str] = G.MODALITIES,
+                     verify_sources: bool = False) -> DataFrame:
+    """Select, guard, match, view, check, commit and log; returns the log of this run.
+
+    ``blobs`` has sha, member, content and, if known, size. Mixed or unfrozen future rows,
+    missing, ambiguous or empty sources and an output of another run are refused before the
+    first write. Every run reads what is stored again: items whose pixels still have their
+    digest are VERIFIED (with ``verify_sources`` also by their source's bytes), all others are
+    made, CREATED. A run that died at any point is so continued, and a damaged file mended.
+    Views are written once, checked from figures taken while they are written, and count from
+    the commit on; views that could not be made, or whose bytes are not those declared, are set
+    aside and refused.
     """
-    settings = {**settings, "modalities": list(modalities)}
-    config_id = record_hash(settings)
-    identity = run_identity(settings, {"selected": selected})
+    config_id, identity = dataset_identity(selected, settings, modalities)
     require_clean(guard_future(selected, frozen_id, config_id), path)
-    index = blobs.select("sha", "member", F.octet_length("content").cast("bigint").alias("size"))
-    require_clean(source_problems(selected, index), path)
-    if not claim_output(spark, path, identity):
-        return verified_log(spark, path, config_id)
-    views = staged(G.generate_views(selected, blobs, config_id, modalities), "generated-views")
-    require_clean(broken_rules(views, ["sha", "modality"],
-                               {"view_failed": F.col("status") != "PASS"}), path)
-    if {"file_size", "zip_crc32"} <= set(selected.columns):
-        require_clean(declared_problems(views, selected), path)
-    sinks.write_views(views, f"{path.rstrip('/')}/views")
-    G.generation_log(views).withColumn("config_id", F.lit(config_id)).write.parquet(
-        f"{path.rstrip('/')}/log")
-    return spark.read.parquet(f"{path.rstrip('/')}/log")
-
-
-def verified_log(spark: SparkSession, path: str, config_id: str) -> DataFrame:
-    """The log of a finished run, items VERIFIED: digests of the stored pixels are recomputed."""
-    root = path.rstrip("/")
-    views = spark.read.parquet(f"{root}/views")
-    digest = G.pixels_sha256(F.col("pixels"))
-    require_clean(broken_rules(views.withColumn("_digest", digest), ["sha", "modality"], {
-        "output_digest": ~F.col("output_sha256").eqNullSafe(F.col("_digest")),
-        "other_config": ~F.col("config_id").eqNullSafe(F.lit(config_id))}), path)
-    log = spark.read.parquet(f"{root}/log")
-    return log.withColumn("status", F.when(F.col("status") == "CREATED", "VERIFIED").otherwise(
-        F.col("status")))
+    require_clean(source_problems(selected, source_index(blobs)), path)
+    claim_output(spark, path, identity)
+    place = journal.folder(spark, path)
+    whole = journal.recover(place, selected, modalities, config_id)
+    if verify_sources:
+        require_clean(changed_sources(blobs, whole), path)
+    wanted = journal.items(selected, modalities, config_id)
+    todo = staged(wanted.join(whole, list(journal.ITEM), "left_anti"), "journal-todo")
+    attempt = place.next_attempt()
+    made = spark.createDataFrame([], journal.COMMITS)
+    if not todo.isEmpty():
+        journal.claim(place, todo, attempt)
+        made = make_views(place, selected, blobs, todo, attempt, config_id, modalities)
+    settled = journal.committed(place).select(*journal.ITEM, "file")
+    adopted = whole.join(settled, [*journal.ITEM, "file"], "left_anti")
+    fresh = staged(adopted.unionByName(made), "journal-fresh")
+    if not fresh.isEmpty():
+        journal.commit(place, fresh, attempt)
+    log = selected.select("sha", "split", "month").join(wanted, "sha").join(
+        todo.select(*journal.ITEM, F.lit(True).alias("_made")), list(journal.ITEM), "left").select(
+        "sha", "split", "month", "modality",
+        F.when(F.col("_made"), "CREATED").otherwise("VERIFIED").alias("status"),
+        F.lit(None).cast("string").alias("error"), "config_id")
+    run = f"{place.root}/log/run={uuid.uuid4().hex}"
+    log.write.parquet(run)
+    finish_output(spark, path, identity)
+    return spark.read.parquet(run)
+
+
+def make_views(place: journal.Folder, selected: DataFrame, blobs: DataFrame, todo: DataFrame,
+               attempt: int, config_id: str, modalities: Sequence[str]) -> DataFrame:
+    """Write the views of the claimed items and return their commit rows, or refuse them all."""
+    samples = selected.join(todo.select("sha").distinct(), "sha", "left_semi")
+    views = G.as_stored(G.generate_views(samples, blobs, config_id, modalities).join(
+        todo, list(journal.ITEM), "left_semi"))
+    watch = Observation()
+    name = f"attempt={attempt}"
+    sinks.write_views(views.observe(watch, *G.view_figures()), f"{place.views}/{name}")
+    made = staged(journal.written(place, attempt), "journal-made")
+    try:
+        require_clean(broken_rules(made.join(todo, list(journal.ITEM), "right"), list(
+            journal.ITEM), {"view_missing": F.col("output_sha256").isNull()}), place.root)
+        G.require_figures(watch.get, made, place.root)
+        if {"file_size", "zip_crc32"} <= set(selected.columns):
+            require_clean(declared_problems(made.withColumn("status", F.lit("PASS")), selected),
+                          place.root)
+    except ContractViolation:
+        place.set_aside(name)
+        raise
+    return made
 
 
 def merge_dataset(selected: DataFrame, workers: dict[str, DataFrame],

@@ -56,7 +56,7 @@ def write_json_record(df: DataFrame, path: str) -> None:
 
 def write_predictions(predictions: DataFrame, path: str, classes: int,
                       mode: str = "errorifexists") -> None:
-    """view/seed/month folders after the export checks, plus recorded class counts.
+    """view/seed/month folders after the export checks, plus class counts and checksums.
 
     The rows may be the end of an inference run, so they are computed once: stored in the
     shared folder, checked and counted there, then published.
@@ -68,6 +68,8 @@ def write_predictions(predictions: DataFrame, path: str, classes: int,
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("view", "seed", "month").parquet(path)
     class_counts(predictions).write.mode(mode).parquet(f"{path.rstrip('/')}_class_counts")
+    K.export_checksums(predictions).drop("broken").write.mode(mode).parquet(
+        f"{path.rstrip('/')}_checksums")
 
 
 def class_counts(predictions: DataFrame) -> DataFrame:

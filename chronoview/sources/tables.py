@@ -143,13 +143,21 @@ PREDICTION_SCHEMA = T.StructType([
 def scan_predictions(spark: SparkSession, path: str, classes: int,
                      views: Sequence[str] | None = None, seeds: Sequence[int] | None = None,
                      months: Sequence[str] | None = None, check: bool = True) -> DataFrame:
-    """Stored predictions without their embeddings, which the column pruning leaves unread."""
+    """Stored predictions without their embeddings, which the column pruning leaves unread.
+
+    The checksums that were recorded at writing are compared with those of the rows, in the
+    pass that checks the rows themselves.
+    """
     rows = spark.read.schema(PREDICTION_SCHEMA).parquet(path).drop("embedding")
+    chosen = F.lit(True)
     for name, wanted in (("view", views), ("seed", seeds), ("month", months)):
         if wanted:
-            rows = rows.where(F.col(name).isin(*wanted))
+            chosen = chosen & F.col(name).isin(*wanted)
+    rows = rows.where(chosen)
     if check:
-        require_clean(K.check_predictions(rows, classes), f"predictions {path}")
+        recorded = spark.read.parquet(f"{path.rstrip('/')}_checksums").where(chosen)
+        require_clean(K.check_export(rows, recorded, classes), f"predictions {path}")
+        require_clean(K.repeated_samples(rows), f"predictions {path}")
     return rows
 
 

@@ -1,5 +1,7 @@
 """Workers to merged, audited datasets; streaming; the driver contract."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from chronoview.errors import ContractViolation
 from chronoview.functions import scalars as S
 from chronoview.operators import dataset as G
+from chronoview.operators import journal
 from chronoview.operators import models as K
 from chronoview.plans import dataset as P
 from chronoview.sources import sinks as W
@@ -232,3 +235,135 @@ def test_contract(spark):
     assert entry(spark).count() == 12
     assert set(oracle_sql()) <= set(queries())
     assert S.SPLIT_ORDER == ("train", "validation", "test")
+
+
+@pytest.fixture
+def undisturbed(spark, manifest, blobs, tmp_path):
+    """Digests of all items of a run that nothing disturbed."""
+    path = str(tmp_path / "undisturbed")
+    P.generate_dataset(spark, dataset_rows(manifest), blobs, {"name": "v2"}, path)
+    return digests(spark, path)
+
+
+def digests(spark, path):
+    views = journal.current_views(spark, path).withColumn("now", G.pixels_sha256("pixels"))
+    rows = views.select("sha", "modality", "output_sha256", "now").collect()
+    assert all(r.output_sha256 == r.now for r in rows)
+    return sorted((r.sha, r.modality, r.now) for r in rows)
+
+
+def statuses(log):
+    return sorted((r.sha[0], r.modality, r.status) for r in log.collect())
+
+
+class Killed(Exception):
+    pass
+
+
+def dies_at(monkeypatch, module, name, first=None):
+    """The run ends where ``name`` is called (after ``first`` did a part of its work)."""
+    real = getattr(module, name)
+
+    def end(*args, **more):
+        if first:
+            first(real, *args, **more)
+        raise Killed(name)
+    monkeypatch.setattr(module, name, end)
+
+
+def half(real, views, path, **more):
+    """Write all files, then lose some, cut one short and lose the job's marker."""
+    real(views, path, **more)
+    parts = sorted(Path(path).rglob("*.parquet"))
+    for part in parts[::3]:
+        part.unlink()
+    parts[1].write_bytes(parts[1].read_bytes()[:200])
+    (Path(path) / "_SUCCESS").unlink()
+
+
+@pytest.mark.parametrize("module, name, first", [
+    (P, "make_views", None), (P.journal, "claim", None), (P.sinks, "write_views", None),
+    (P.sinks, "write_views", half), (P.journal, "written", None), (P.journal, "commit", None),
+    (P.journal, "commit", lambda real, *a: real(*a)), (P, "finish_output", None)])
+def test_a_run_that_dies_is_continued(spark, manifest, blobs, tmp_path, monkeypatch, undisturbed,
+                                      module, name, first):
+    path, selected = str(tmp_path / "out"), dataset_rows(manifest)
+    with monkeypatch.context() as patch:
+        dies_at(patch, module, name, first)
+        with pytest.raises(Killed):
+            P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    log = P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    assert log.count() == 9 and digests(spark, path) == undisturbed
+    again = P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    assert {r.status for r in again.collect()} == {"VERIFIED"}
+    assert digests(spark, path) == undisturbed
+
+
+def test_whole_views_of_a_dead_run_are_adopted(spark, manifest, blobs, tmp_path, monkeypatch):
+    path, selected = str(tmp_path / "out"), dataset_rows(manifest)
+    with monkeypatch.context() as patch:
+        dies_at(patch, P.journal, "written")
+        with pytest.raises(Killed):
+            P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    log = P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    assert {r.status for r in log.collect()} == {"VERIFIED"}
+    assert not (tmp_path / "out" / "views" / "attempt=2").exists()
+
+
+def test_damaged_views_are_made_again(spark, manifest, blobs, tmp_path, undisturbed):
+    path, selected = str(tmp_path / "out"), dataset_rows(manifest)
+    P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    first = next((tmp_path / "out" / "views").rglob("split=validation/**/modality=sbsmi/*.parquet"))
+    first.write_bytes(b"corruption")
+    log = P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    assert [s for s in statuses(log) if s[2] == "CREATED"] == [("b", "sbsmi", "CREATED")]
+    assert digests(spark, path) == undisturbed
+    # A readable file with other pixels is found by its digest.
+    victim = next((tmp_path / "out" / "views").rglob("split=validation/**/modality=entropy/*.parquet"))
+    changed = spark.read.parquet(str(victim)).withColumn("pixels", F.transform(
+        "pixels", lambda p: p / F.lit(2).cast("float")))
+    changed.coalesce(1).write.parquet(str(tmp_path / "changed"))
+    victim.write_bytes(next((tmp_path / "changed").glob("*.parquet")).read_bytes())
+    Path(f"{victim.parent}/.{victim.name}.crc").unlink()
+    log = P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    assert [s for s in statuses(log) if s[2] == "CREATED"] == [("b", "entropy", "CREATED")]
+    assert digests(spark, path) == undisturbed
+    assert list((tmp_path / "out" / "_set_aside").rglob("*.parquet"))
+
+
+def test_sources_are_verified_on_demand(spark, manifest, blobs, tmp_path):
+    path, selected = str(tmp_path / "out"), dataset_rows(manifest)
+    P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    other = blobs.withColumn("content", F.when(
+        F.col("sha") == SHA[1], F.reverse("content")).otherwise(F.col("content")))
+    with pytest.raises(ContractViolation, match="source_changed"):
+        P.generate_dataset(spark, selected, other, {"name": "v2"}, path, verify_sources=True)
+    log = P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path, verify_sources=True)
+    assert {r.status for r in log.collect()} == {"VERIFIED"}
+
+
+def test_failed_views_are_set_aside(spark, manifest, blobs, tmp_path, monkeypatch):
+    """What the write job counted keeps broken views out of every reader's sight."""
+    path, selected = str(tmp_path / "out"), dataset_rows(manifest)
+    real = G.generate_views
+
+    def broken(*args):
+        views = real(*args)
+        return views.withColumn("pixels", F.when(
+            F.col("modality") == "entropy", F.slice("pixels", 1, 9)).otherwise(F.col("pixels")))
+    monkeypatch.setattr(G, "generate_views", broken)
+    with pytest.raises(ContractViolation, match="broken=3"):
+        P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    monkeypatch.undo()
+    assert not (tmp_path / "out" / "views" / "attempt=1").exists()
+    log = P.generate_dataset(spark, selected, blobs, {"name": "v2"}, path)
+    assert {r.status for r in log.collect()} == {"CREATED"} and log.count() == 9
+
+
+def test_declared_sizes_spare_reading_contents(spark, manifest, blobs, tmp_path):
+    sized = blobs.withColumn("size", F.octet_length("content").cast("bigint"))
+    sized.write.parquet(str(tmp_path / "blobs"))
+    stored = spark.read.parquet(str(tmp_path / "blobs"))
+    plan = P.source_index(stored)._jdf.queryExecution().optimizedPlan().toString()
+    scanned = plan[plan.index("+- Relation"):] if "+- Relation" in plan else plan
+    assert "Project [sha" in plan and "octet_length" not in plan, scanned

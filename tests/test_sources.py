@@ -192,6 +192,8 @@ def test_outputs_are_claimed_by_one_identity(spark, rows, tmp_path):
     identity = P.run_identity({"k": 10}, {"table": table})
     path = str(tmp_path / "run")
     assert P.claim_output(spark, path, identity)
+    assert P.claim_output(spark, path, identity)  # claimed, but not finished
+    P.finish_output(spark, path, identity)
     assert not P.claim_output(spark, path, identity)
     other = P.run_identity({"k": 5}, {"table": table})
     with pytest.raises(ContractViolation):
