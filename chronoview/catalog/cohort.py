@@ -773,11 +773,51 @@ def _(t: Tables):
     return C.cross_split_duplicates(_contents(t), BLOB_ORDER)
 
 
-@query("e25_dataset_hash")
+RECORDS = Q.SAMPLES + """, records AS (
+  SELECT sha, sha256('{"family":"' || family || '","month":"' || month || '","sha":"' || sha
+    || '","split":"' || split || '"}') AS h FROM samples)"""
+
+
+def _word_sums(kind: str = "HUGEINT") -> str:
+    return ", ".join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS {kind})) AS w{i}"
+                     for i in range(8))
+
+
+def _word_texts() -> str:
+    return ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS HUGEINT)) AS VARCHAR) AS w{i}"
+                     for i in range(8))
+
+
+@query("e25_dataset_hash", sql(RECORDS + f""", folded AS (
+  SELECT substr(sha256(h), 1, 3) AS bucket, count(*) AS n, {_word_sums()} FROM records GROUP BY 1)""", """
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(line, chr(10) ORDER BY line)) AS dataset_hash
+FROM (SELECT n, concat_ws(',', bucket, n, w0, w1, w2, w3, w4, w5, w6, w7) AS line FROM folded)"""))
 def _(t: Tables):
     return C.dataset_hash(t.samples, ["sha", "family", "month", "split"])
 
 
+@query("e25_prefix_tree", sql(RECORDS, " UNION ALL ".join(f"""
+SELECT {k} AS level, substr(sha, 1, {k}) AS prefix, count(*) AS n, {_word_texts()}
+FROM records GROUP BY substr(sha, 1, {k})""" for k in range(4))))
+def _(t: Tables):
+    tree = C.prefix_tree(t.samples, ["sha", "family", "month", "split"])
+    return tree.select("level", "prefix", "n", *(F.col(f"w{i}").cast("string").alias(f"w{i}")
+                                                 for i in range(8)))
+
+
+@query("e25_changed_rows", sql(Q.SAMPLES, """
+SELECT sha, CASE WHEN o_orderkey % 1999 = 0 THEN 'removed' WHEN o_orderkey % 1999 = 1 THEN 'changed'
+  END AS change FROM samples WHERE o_orderkey % 1999 < 2"""))
+def _(t: Tables):
+    """Two manifests that differ in few rows, compared from their trees."""
+    columns = ["sha", "family", "month", "split"]
+    key = F.col("o_orderkey") % 1999
+    other = t.samples.where(key != 0).withColumn("month", F.when(
+        key == 1, F.lit("1990-01")).otherwise(F.col("month")))
+    trees = [staged(C.prefix_tree(x, columns), "tree") for x in (t.samples, other)]
+    return C.changed_rows(t.samples, other, C.differing_prefixes(*trees), columns)
+
+
 @query("e25_fold_sizes", sql(FOLDS, """
 SELECT test_fold, count(*) AS n FROM folds WHERE seed = 42 GROUP BY test_fold"""))
 def _(t: Tables):
@@ -868,7 +908,7 @@ def _(t: Tables):
     return V.check_ids(ids)
 
 
-@query("v2_check_label_map", sql(Q.SAMPLES, """
+@query("v2_check_bijection", sql(Q.SAMPLES, """
 SELECT family AS subject, 'family_has_several_class_id' AS rule FROM samples
 GROUP BY family HAVING count(DISTINCT year(ts)) > 1
 UNION ALL SELECT CAST(year(ts) AS VARCHAR), 'class_id_has_several_family' FROM samples
@@ -877,6 +917,26 @@ def _(t: Tables):
     return V.check_bijection(t.samples.select("family", F.year("ts").alias("class_id")))
 
 
+@query("v2_check_label_map", """
+WITH shown AS (SELECT CASE WHEN n_nationkey % 7 = 0 THEN 'Same' ELSE n_name END AS family,
+  CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey // 2 END AS class_id FROM nation)
+SELECT lower(family) AS subject, 'family_repeated' AS rule FROM shown GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT CAST(class_id AS VARCHAR), 'class_id_repeated' FROM shown
+WHERE class_id IS NOT NULL GROUP BY class_id HAVING count(*) > 1
+UNION ALL SELECT lower(family), 'class_id_not_integer' FROM shown WHERE class_id IS NULL
+UNION ALL SELECT 'map', 'class_ids_not_contiguous' FROM shown
+HAVING min(class_id) <> 0 OR max(class_id) + 1 <> count(DISTINCT class_id)
+UNION ALL SELECT 'map', 'wrong_number_of_classes' FROM shown HAVING count(*) <> 24""")
+def _(t: Tables):
+    """A map with repeated families and ids, ids that are no numbers, gaps, and a row too many."""
+    key = F.col("n_nationkey")
+    shown = t.read("nation").select(
+        F.when(key % 7 == 0, F.lit("Same")).otherwise(F.col("n_name")).alias("family"),
+        F.when(key % 5 == 0, F.lit("x")).otherwise(F.floor(key / 2).cast("string"))
+        .alias("class_id"))
+    return V.check_label_map(shown, 24)
+
+
 @query("v3_check_manifest", sql(Q.MANIFEST, """
 SELECT sha AS subject, unnest(list_filter([
   CASE WHEN o_totalprice > 490000 THEN 'class_map' END,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoview.functions import scalars as S
 from chronoview.operators.ranking import ranked, skew_join
+from chronoview.session import staged
 
 MIN_FILES = 50
 MIN_MONTHS = 3
@@ -284,6 +285,63 @@ def dataset_hash(df: DataFrame, columns: Sequence[str], id_column: str = "sha")
         F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256).alias("dataset_hash"))
 
 
+def prefix_tree(df: DataFrame, columns: Sequence[str], id_column: str = "sha",
+                depth: int = 3) -> DataFrame:
+    """(level, prefix, n, w0..w7): sums of row digests per hex prefix of the id, levels 0 to depth.
+
+    Level 0 stands for the whole table. Rows are summed once, into the deepest prefixes; every
+    level above adds up the one below, so trees of parts can be merged by summing. Ids should be
+    spread over prefixes as hashes are; an id that is no hex number falls into its own prefix.
+    """
+    words = [f"w{i}" for i in range(8)]
+    digest = S.canonical_hash(*columns)
+    level = (df.select(F.substring(F.coalesce(F.lower(id_column), F.lit("")), 1, depth)
+                       .alias("prefix"), digest.alias("_h"))
+             .groupBy("prefix").agg(F.count("*").alias("n"), *(
+                 s.alias(w) for s, w in zip(_digest_sums("_h"), words))))
+    level = staged(level, "prefix-tree")
+    tree = level.select(F.lit(depth).alias("level"), "prefix", "n", *words)
+    for length in range(depth - 1, -1, -1):
+        level = level.groupBy(F.substring("prefix", 1, length).alias("prefix")).agg(
+            F.sum("n").alias("n"), *(F.sum(w).alias(w) for w in words))
+        tree = tree.unionByName(level.select(F.lit(length).alias("level"), "prefix", "n", *words))
+    return tree
+
+
+def differing_prefixes(left: DataFrame, right: DataFrame, depth: int = 3) -> list[str]:
+    """Deepest prefixes whose rows differ between two stored trees, found from the top down.
+
+    A level reads only the children of what differed above; the list has at most 16^depth
+    prefixes (for hex ids), and is empty, after one comparison, for equal tables.
+    """
+    words = ["n", *(f"w{i}" for i in range(8))]
+    found = [""]
+    for length in range(depth + 1):
+        wanted = (F.col("level") == length) & F.substring("prefix", 1, max(0, length - 1)).isin(found)
+        both = left.where(wanted).select("prefix", *words).join(
+            right.where(wanted).select("prefix", *(F.col(w).alias(f"_{w}") for w in words)),
+            "prefix", "full_outer")
+        same = F.lit(True)
+        for w in words:
+            same = same & F.col(w).eqNullSafe(F.col(f"_{w}"))
+        found = sorted(r["prefix"] for r in both.where(~same).select("prefix").collect())
+        if not found:
+            return []
+    return found
+
+
+def changed_rows(left: DataFrame, right: DataFrame, prefixes: Sequence[str],
+                 columns: Sequence[str], id_column: str = "sha", depth: int = 3) -> DataFrame:
+    """(id, change) of rows added, removed or changed, from rows of the differing prefixes only."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        within = F.substring(F.lower(id_column), 1, depth).isin(list(prefixes))
+        return df.where(within).select(F.col(id_column), S.canonical_hash(*columns).alias(name))
+    both = side(left, "_left").join(side(right, "_right"), id_column, "full_outer")
+    change = (F.when(F.col("_left").isNull(), "added").when(F.col("_right").isNull(), "removed")
+              .when(F.col("_left") != F.col("_right"), "changed"))
+    return both.select(id_column, change.alias("change")).where("change IS NOT NULL")
+
+
 def _digest_sums(name: str) -> list[Column]:
     """Sums of the eight 32-bit words of a digest: commutative, so no rows are gathered."""
     return [F.sum(F.conv(F.substring(name, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)"))

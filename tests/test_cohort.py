@@ -212,3 +212,19 @@ def test_dataset_hash_is_order_free(samples):
     two = C.dataset_hash(samples.orderBy(F.desc("sha")).repartition(5), columns).first()
     three = C.dataset_hash(samples.withColumn("class_id", F.col("class_id") + 1), columns).first()
     assert one == two and one.dataset_hash != three.dataset_hash
+
+
+def test_prefix_trees_find_changes_from_the_top(spark, rows):
+    """Equal tables end at the root; else only rows of differing prefixes are compared."""
+    from hashlib import sha256
+    data = [(sha256(str(i).encode()).hexdigest(), f"f{i % 3}") for i in range(500)]
+    schema, columns = "sha string, family string", ["sha", "family"]
+    left = rows(data, schema)
+    tree = C.prefix_tree(left, columns)
+    assert tree.where("level = 0").first().n == 500
+    assert C.differing_prefixes(tree, C.prefix_tree(left.repartition(5), columns)) == []
+    other = rows([*data[:7], (data[7][0], "new"), *data[9:], ("0" * 64, "f0")], schema)
+    found = C.differing_prefixes(tree, C.prefix_tree(other, columns))
+    assert found == sorted({data[7][0][:3], data[8][0][:3], "000"})
+    got = {tuple(r) for r in C.changed_rows(left, other, found, columns).collect()}
+    assert got == {(data[7][0], "changed"), (data[8][0], "removed"), ("0" * 64, "added")}

@@ -15,7 +15,12 @@ from chronoview.operators import models as K
 from chronoview.plans import dataset as P
 from chronoview.sources import sinks as W
 from chronoview.sources import tables as T
-from chronoview.streaming.incremental import incremental_views, stored_files
+from chronoview.streaming.incremental import (
+    incremental_views,
+    named_files,
+    stored_files,
+    views_as_both_arrive,
+)
 
 SHA = ["a" * 64, "b" * 64, "d" * 64]
 LENGTHS = [1025, 12800, 257]
@@ -367,3 +372,30 @@ def test_declared_sizes_spare_reading_contents(spark, manifest, blobs, tmp_path)
     plan = P.source_index(stored)._jdf.queryExecution().optimizedPlan().toString()
     scanned = plan[plan.index("+- Relation"):] if "+- Relation" in plan else plan
     assert "Project [sha" in plan and "octet_length" not in plan, scanned
+
+
+def test_late_manifest_rows_release_waiting_blobs(spark, manifest, tmp_path):
+    """Either side may come first; nothing waits for good, nothing is viewed twice."""
+    source, rows_at = tmp_path / "in", str(tmp_path / "rows")
+    source.mkdir()
+    paths = [str(tmp_path / n) for n in ("views", "log", "checkpoint")]
+
+    def run():
+        names = stored_files(spark, str(source)).select("sha", "member")
+        rows = spark.readStream.schema(manifest.schema).parquet(rows_at)
+        views_as_both_arrive(names, rows, named_files, "cfg", *paths, ("sbsmi",))
+        if not (tmp_path / "log").exists():
+            return []
+        log = spark.read.option("recursiveFileLookup", True).parquet(paths[1])
+        return sorted((r.sha[0], r.status) for r in log.collect())
+    (source / f"{SHA[0]}.exe").write_bytes(b"abc" * 200)
+    manifest.where(f"sha = '{SHA[1]}'").write.parquet(rows_at)
+    assert run() == []
+    manifest.where(f"sha = '{SHA[0]}'").write.mode("append").parquet(rows_at)
+    assert run() == [("a", "CREATED")]
+    (source / f"{SHA[1]}.exe").write_bytes(b"xyz" * 90)
+    (source / "copy").mkdir()
+    (source / "copy" / f"{SHA[0]}.exe").write_bytes(b"abc" * 200)
+    assert run() == [("a", "CREATED"), ("b", "CREATED")]
+    views = spark.read.option("recursiveFileLookup", True).parquet(paths[0])
+    assert {r.sha for r in views.select("sha").collect()} == set(SHA[:2]) and views.count() == 2

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoview.errors import ContractViolation
 from chronoview.functions import scalars as S
 from chronoview.operators import provenance as P
+from chronoview.operators import validate as K
 from chronoview.sources import binaries as B
 from chronoview.sources import sinks as W
 from chronoview.sources import tables as T
@@ -174,6 +175,42 @@ def test_predictions_round_trip(spark, rows, tmp_path):
         W.write_predictions(predictions(rows), path, 2)
 
 
+def test_one_altered_logit_is_found(spark, rows, tmp_path):
+    """The recorded sums tell one changed bit, a swapped label, a lost and a foreign row."""
+    path = str(tmp_path / "export")
+    W.write_predictions(predictions(rows), path, 2)
+    recorded = spark.read.parquet(f"{path}_checksums")
+    stored = T.scan_predictions(spark, path, 2)
+    first = F.col("sha") == SHA[0]
+
+    def rules(changed):
+        return sorted(r.rule for r in K.check_export(changed, recorded, 2).collect())
+    assert rules(stored.repartition(3)) == []
+    nudged = F.transform("logits", lambda z: z + F.lit(2.0 ** -53))
+    assert rules(stored.withColumn("logits", F.when(first, nudged).otherwise(F.col("logits")))) \
+        == ["checksum"]
+    assert rules(stored.withColumn("label", F.when(first, 1 - F.col("label")).otherwise(
+        F.col("label")))) == ["checksum"]
+    assert rules(stored.where(~first)) == ["checksum", "row_count"]
+    assert rules(stored.withColumn("month", F.lit("2020-04"))) == ["export_missing", "not_recorded"]
+    broken = stored.withColumn("logits", F.when(first, F.array(F.lit(0.5))).otherwise(
+        F.col("logits")))
+    assert rules(broken) == ["broken_rows", "checksum"]
+    swapped = spark.createDataFrame(
+        [("entropy", 11, "2020-02", s, i % 2, [0.5, float(i) + (i == 1)], [1.0])
+         for i, s in enumerate(SHA)], T.PREDICTION_SCHEMA)
+    swapped.write.mode("overwrite").partitionBy("view", "seed", "month").parquet(path)
+    with pytest.raises(ContractViolation, match="checksum"):
+        T.scan_predictions(spark, path, 2)
+
+
+def test_checksums_of_parts_add_up(rows):
+    whole = predictions(rows)
+    parts = [K.export_checksums(whole.where(c)).first() for c in ("label = 0", "label = 1")]
+    both = K.export_checksums(whole).first()
+    assert [both[c] for c in K.LIMBS] == [sum(p[c] for p in parts) for c in K.LIMBS]
+
+
 def test_bad_predictions_are_not_written(rows, tmp_path):
     bad = predictions(rows).withColumn("logits", F.array(F.lit(float("nan")), F.lit(0.0)))
     with pytest.raises(ContractViolation):
