@@ -14,6 +14,7 @@ from chronoview.operators import fusion as X
 from chronoview.operators import metrics as M
 from chronoview.operators import validate as K
 from chronoview.plans import experiment as E
+from chronoview.plans import pilot as L
 from chronoview.session import freeze, scratch_path
 from chronoview.sources import sinks as W
 from chronoview.sources import tables as T
@@ -505,3 +506,50 @@ def _(t: Tables):
 SELECT DISTINCT month, sha, 'labels_differ' AS rule FROM logits WHERE label = 9"""))
 def _(t: Tables):
     return K.check_alignment(_dirty(t), len(Q.VIEW_OFFSETS))
+
+
+PILOT_BATCH = "CAST('0x' || substr(sha256(seed || ':0:' || sha), 1, 8) AS BIGINT) % 2"
+PILOT = f"""rows_ AS (
+  SELECT sha256(CAST(vec_id AS VARCHAR)) AS sha, vec_id, label, embedding,
+    CASE WHEN vec_id % 4 < 2 THEN '2019-10' WHEN vec_id % 4 = 2 THEN '2019-12' ELSE '2020-01' END AS month
+  FROM embeddings),
+points AS (
+  SELECT sha, label, month, i, CAST(embedding[i] AS DOUBLE) AS x FROM rows_, (SELECT unnest(range(1, 65)) AS i)
+  UNION ALL SELECT sha, label, month, 65, 1 FROM rows_),
+classes AS (SELECT unnest(range(10)) AS c),
+seeded AS (SELECT *, {PILOT_BATCH} AS batch FROM points, (VALUES (11), (22)) AS s(seed)),
+g0 AS (SELECT seed, c, i, avg((0.1 - CASE WHEN label = c THEN 1.0 ELSE 0.0 END) * x) AS g
+  FROM seeded, classes WHERE month = '2019-10' AND batch = 0 GROUP BY ALL),
+z1 AS (SELECT seed, sha, c, sum(-8 * g * x) AS z FROM seeded JOIN g0 USING (seed, i)
+  WHERE month = '2019-10' AND batch = 1 GROUP BY ALL),
+p1 AS (SELECT seed, sha, c, exp(z) / sum(exp(z)) OVER (PARTITION BY seed, sha) AS p FROM z1),
+g1 AS (SELECT seed, c, i, avg((p - CASE WHEN label = c THEN 1.0 ELSE 0.0 END) * x) AS g
+  FROM seeded JOIN p1 USING (seed, sha) GROUP BY ALL),
+z2 AS (SELECT seed, sha, label, month, c, sum(-8 * (g0.g + g1.g) * x) AS z
+  FROM seeded JOIN g0 USING (seed, i) JOIN g1 USING (seed, c, i)
+  WHERE month <> '2019-10' GROUP BY ALL),
+told AS (SELECT seed, month, sha, label, min(c) AS predicted FROM (
+    SELECT *, max(z) OVER (PARTITION BY seed, sha) AS top FROM z2) WHERE z = top GROUP BY ALL),
+f1 AS (SELECT seed, month, c, count(*) FILTER (label = c AND predicted = c) AS tp,
+    count(*) FILTER (label = c) + count(*) FILTER (predicted = c) AS both_sides
+  FROM told, classes GROUP BY ALL),
+months AS (SELECT seed, month, avg(CASE WHEN both_sides > 0 THEN 2 * tp / both_sides ELSE 0 END) AS f
+  FROM f1 GROUP BY ALL)"""
+
+
+@query("j7_pilot_history", sql(PILOT, """
+SELECT 'embedding' AS view, seed, 1 AS epoch, round(avg(f), 8) AS metric,
+  round(min(f), 8) AS worst_month_macro_f1 FROM months GROUP BY seed"""))
+def _(t: Tables):
+    """Two seeds, one epoch of two mini-batches each, evaluated on two hold-out months."""
+    key = F.col("vec_id") % 4
+    train = t.read("embeddings").select(
+        F.lit("embedding").alias("view"), F.sha2(F.col("vec_id").cast("string"), 256).alias("sha"),
+        F.when(key < 2, "2019-10").when(key == 2, "2019-12").otherwise("2020-01").alias("month"),
+        F.col("label").cast("int").alias("label"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    history = L.pilot_histories(t.spark, train, [11, 22], CLASSES, 1, "2019-11",
+                                ["2019-12", "2020-01"], scratch_path(t.spark, "pilot"),
+                                batches=2, rate=8.0)
+    return history.select("view", "seed", "epoch", F.round("metric", 8).alias("metric"),
+                          F.round("worst_month_macro_f1", 8).alias("worst_month_macro_f1"))
