@@ -19,6 +19,7 @@ from chronoview.operators import validate as V
 from chronoview.operators.provenance import claim_output
 from chronoview.plans import dataset as P
 from chronoview.session import scratch_path, staged
+from chronoview.sources import manifests as H
 from chronoview.sources import sinks as W
 from chronoview.sources import tables as T
 from chronoview.streaming.incremental import (
@@ -408,6 +409,22 @@ def _(t: Tables):
                          F.col("sbsmi_path").isNotNull().alias("has_sbsmi"), "content_sha256")
 
 
+@query("h4_bucketed_upsert", sql(Q.BLOBS, """
+SELECT sha, split, month, split <> 'test' AS has_raw, split <> 'train' AS has_sbsmi, content_sha256
+FROM blobs"""))
+def _(t: Tables):
+    """Two merges into a manifest in buckets: raw bytes of one part, transitions of another."""
+    root = scratch_path(t.spark, "manifest")
+    reports = staged(_generated(t, ("raw_byte", "sbsmi")).drop("pixels"), "reports")
+    for name, split in (("raw_byte", "test"), ("sbsmi", "train")):
+        part = t.blob_manifest.where(F.col("split") != split)
+        merged = G.merge_views(part, reports.where(F.col("modality") == name), (name,))
+        H.merge_into(t.spark, root, merged.drop("merge_status"), 16)
+    rows = H.read_manifest(t.spark, root)
+    return rows.select("sha", "split", "month", F.col("raw_byte_path").isNotNull().alias("has_raw"),
+                       F.col("sbsmi_path").isNotNull().alias("has_sbsmi"), "content_sha256")
+
+
 @query("h4_upsert_conflicts", sql(Q.BLOBS, """
 SELECT sha, 'content_sha256_conflict' AS rule FROM blobs WHERE split = 'validation'"""))
 def _(t: Tables):

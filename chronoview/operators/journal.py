@@ -51,14 +51,17 @@ class Folder:
     def exists(self, *parts: str) -> bool:
         return self._files().exists(self._path(*parts))
 
-    def attempts(self, *parts: str, finished: bool = False) -> list[int]:
-        """Numbers of the attempt folders there; finished ones have their job's marker."""
+    def numbered(self, *parts: str, prefix: str, finished: bool = False) -> list[int]:
+        """Numbers of the folders there; finished ones have their job's marker."""
         if not self.exists(*parts):
             return []
         names = [s.getPath().getName() for s in self._files().listStatus(self._path(*parts))]
-        found = [int(n.removeprefix("attempt=")) for n in names if n.startswith("attempt=")]
+        found = [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)]
         return sorted(n for n in found if not finished or self.exists(
-            *parts, f"attempt={n}", "_SUCCESS"))
+            *parts, f"{prefix}{n}", "_SUCCESS"))
+
+    def attempts(self, *parts: str, finished: bool = False) -> list[int]:
+        return self.numbered(*parts, prefix="attempt=", finished=finished)
 
     def set_aside(self, name: str) -> None:
         """Move a file or folder of views out of every reader's sight, keeping it."""
