@@ -19,6 +19,7 @@ from chronoview.operators import validate as V
 from chronoview.operators.provenance import claim_output
 from chronoview.plans import dataset as P
 from chronoview.session import scratch_path, staged
+from chronoview.sources import aligned as D
 from chronoview.sources import manifests as H
 from chronoview.sources import sinks as W
 from chronoview.sources import tables as T
@@ -380,6 +381,23 @@ def _(t: Tables):
                          "merge_status")
 
 
+@query("d6_copartitioned_views", sql(ALL_VIEWS, """
+SELECT sha, CAST(sum(total) FILTER (modality = 'raw_byte') AS DOUBLE) AS raw_total,
+  CAST(sum(total) FILTER (modality = 'sbsmi') AS DOUBLE) AS sbsmi_total
+FROM totals WHERE modality <> 'entropy' GROUP BY sha HAVING count(*) = 2"""))
+def _(t: Tables):
+    """Two modalities stored by sample and aligned by a join without a shuffle."""
+    root = scratch_path(t.spark, "aligned")
+    made = _generated(t, ("raw_byte", "sbsmi"))
+    for name in ("raw_byte", "sbsmi"):
+        D.write_aligned(made.where(F.col("modality") == name).select("sha", "pixels"),
+                        f"{root}/{name}", 8)
+    raw, sbsmi = (D.scan_aligned(t.spark, f"{root}/{name}").select(
+        "sha", _pixel_total().alias(f"{short}_total"))
+        for name, short in (("raw_byte", "raw"), ("sbsmi", "sbsmi")))
+    return raw.join(sbsmi.hint("merge"), "sha").where("raw_total > 0 AND sbsmi_total IS NOT NULL")
+
+
 @query("i10_merge_views", sql(Q.BLOBS, """
 SELECT split, CASE split WHEN 'test' THEN 'incomplete_views'
   WHEN 'validation' THEN 'different_bytes_or_config' ELSE 'merged' END AS merge_status,
