@@ -11,12 +11,14 @@ import os
 import sys
 import time
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoview.catalog import QUERIES
 from chronoview.catalog.tables import Tables
 from chronoview.functions import arrow as A
-from chronoview.session import build_session, staged
+from chronoview.operators import dataset as G
+from chronoview.session import build_session, configure, staged
 
 HEADLINE = (
     "e1_metadata_audit",
@@ -39,9 +41,26 @@ VIEWS = {"raw_byte_view": A.raw_byte_view, "entropy_view": A.entropy_view,
          "sbsmi_view": A.sbsmi_view}
 
 
+_reports: dict[str, DataFrame] = {}
+
+
+def align_views(t: Tables):
+    """The alignment alone: the reports it reads are made once, before the timed run."""
+    if t.folder not in _reports:
+        _reports[t.folder] = staged(G.generate_views(
+            t.blob_manifest, t.blobs, "config-1").drop("pixels"), "bench-reports")
+    return G.merge_views(t.blob_manifest, _reports[t.folder])
+
+
+PLANS = {"i9_generate_views": lambda t: G.generate_views(t.blob_manifest, t.blobs, "config-1"),
+         "d6_align_views": align_views}
+
+
 def plan(spark, name: str, folder: str):
     if name in VIEWS:
         return Tables(spark, folder).blobs.select("sha", VIEWS[name]("content").alias("pixels"))
+    if name in PLANS:  # the operator, without what its registered query adds for the SQL check
+        return PLANS[name](Tables(configure(spark), folder))
     return QUERIES[name](spark, folder)
 
 
