@@ -129,14 +129,21 @@ wanted AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)
            FROM targets),
 placed AS (SELECT k.*, w.source_size, w.target, w.epochs,
                   w.target - w.epochs * w.source_size AS rest,
-                  sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.size) AS filled
-           FROM keyed k JOIN wanted w ON k.source IS NOT DISTINCT FROM w.source),
-gaps AS (SELECT *, filled <= rest AS inside, rest - coalesce(max(CASE WHEN filled <= rest
-                   THEN filled END) OVER (PARTITION BY source), 0) AS gap FROM placed),
+                  sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.size, k.doc_id) AS filled,
+                   sum(k.size) OVER same AS block,
+                   row_number() OVER (PARTITION BY k.source, k.key, k.size, k.doc_id) AS nth
+            FROM keyed k JOIN wanted w ON k.source IS NOT DISTINCT FROM w.source
+            WINDOW same AS (PARTITION BY k.source, k.key, k.size, k.doc_id)),
+marked AS (SELECT *, filled <= rest OR (filled - block <= rest
+                     AND nth <= floor((rest - filled + block) / size)) AS inside FROM placed),
+gaps AS (SELECT *, rest - coalesce(sum(CASE WHEN inside THEN size END)
+                                   OVER (PARTITION BY source), 0) AS gap,
+                row_number() OVER (PARTITION BY source, size, doc_id, inside) AS spare FROM marked),
 picks AS (SELECT source, max((size, doc_id)) AS pick FROM gaps
           WHERE NOT inside AND size > 0 AND size <= gap GROUP BY source)
 SELECT g.doc_id, g.size::BIGINT AS size, g.source_size, g.target,
-       ((g.epochs + CASE WHEN g.inside OR coalesce((g.size, g.doc_id) = p.pick, false)
+       ((g.epochs + CASE WHEN g.inside OR coalesce((g.size, g.doc_id) = p.pick
+                              AND g.spare <= floor(g.gap / g.size), false)
                          THEN 1 ELSE 0 END) * g.size)::BIGINT AS taken, g.source
 FROM gaps g LEFT JOIN picks p ON g.source IS NOT DISTINCT FROM p.source""", "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

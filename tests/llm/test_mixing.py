@@ -2,10 +2,12 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
-from corpus import SCHEMA, awkward, rows, sentence
+from corpus import EXTRA, SCHEMA, awkward, rows, sentence
 
 from chronoview.llm import mixing
+from chronoview.llm.catalog import ORACLES
 
 
 def brute_targets(sizes, share=1.5, cap=2.0, pattern=(3, 1, 2)):
@@ -67,6 +69,30 @@ def test_hot_source_comes_near_its_target(spark):
     assert all(abs(taken - target) <= 3 for taken, target in by_source.values())
 
 
+def test_budget_ends_among_equal_rows(spark):
+    """A block of equal rows is no unit: the mix comes within one document of its target."""
+    rng = random.Random(7)
+    small = rows([sentence(rng, rng.randint(1, 3)) for _ in range(20)], sources=("s",))
+    for repeats, size in ((12, 7), (400, 5)):
+        data = small + [(99, "w " * size, "en", "s", None, *EXTRA)] * repeats
+        for share in (0.3, 1.7):
+            got = mixing.mix_report(spark.createDataFrame(data, SCHEMA), share=share).collect()
+            assert sum(r.taken for r in got) == pytest.approx(got[0].target, abs=size)
+
+
+def test_equal_rows_in_sql(spark):
+    rng = random.Random(8)
+    data = rows([sentence(rng, rng.randint(1, 30)) for _ in range(60)], sources=("a", "b"))
+    data += [data[5]] * 40 + [data[6]] * 300
+    documents = spark.createDataFrame(data, SCHEMA).toPandas()
+    with duckdb.connect() as base:
+        base.register("documents", documents)
+        want = base.sql(ORACLES["op1_mix_sources"]).fetchall()
+    got = [tuple(r) for r in mixing.mix_report(spark.createDataFrame(data, SCHEMA)).collect()]
+    plain = [sorted((r[0], r[1], r[2], round(r[3], 6), r[4], r[5]) for r in x) for x in (got, want)]
+    assert plain[0] == plain[1]
+
+
 def test_complete_epochs_come_first(spark):
     _, got = check(spark, rows(["a b c"] * 12, sources=("a", "b")))
     least = defaultdict(lambda: 9)
