@@ -1,7 +1,8 @@
 """The byte views as plans: states, transitions, local entropy, area resize.
 
-Bytes are counted inside tasks (bytes, windows, transitions of a blob); what is grouped, resized
-and joined afterwards are those counts. The Arrow functions compute whole views faster.
+Bytes are counted inside tasks (bytes, windows, transitions, layout rows of a blob); what is
+grouped, resized and joined afterwards are those counts. The Arrow functions compute whole views
+faster.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window as W
 
 from chronoview.functions import kernels
 from chronoview.functions.vectors import let
+from chronoview.operators.blocks import cells_view
 
 SIDE = 64
 STATES_AT_ONCE = 1 << 20
@@ -136,76 +138,12 @@ def window_entropies(blobs: DataFrame, key: str = "sha") -> DataFrame:
     return counted(blobs, kernel, [("w", T.IntegerType()), ("h", T.DoubleType())], key)
 
 
-def block_means(windows: DataFrame, blobs: DataFrame, key: str = "sha") -> DataFrame:
-    """(key, block, e): mean entropy of the windows covering each 128-byte block."""
-    blocks = blobs.select(key, F.ceil(F.octet_length("content") / 128).cast("int").alias("blocks"))
-    return (windows.join(blocks, key)
-            .select(key, "blocks", "h", F.explode(F.array(F.col("w"), F.col("w") + 1))
-                    .alias("block"))
-            .where(F.col("block") < F.col("blocks"))
-            .groupBy(key, "block").agg(F.avg("h").alias("e")))
-
-
-def raw_cells(blobs: DataFrame, key: str = "sha") -> DataFrame:
-    """(key, height, src, c, v, w): byte sums and counts of 4-byte cells, 256 bytes a row."""
-    height = F.ceil(F.octet_length("content") / 256).cast("bigint")
-
-    def cells(values: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / 4).cast("int"))
-        return F.transform(starts, lambda i: let(
-            F.slice(values, i * 4 + 1, F.lit(4)),
-            lambda g: F.struct(i.alias("i"), F.aggregate(g, F.lit(0), lambda a, x: a + x)
-                               .alias("v"), F.size(g).alias("w"))))
-    grouped = blobs.select(key, height.alias("height"), F.explode(let(
-        byte_array(F.col("content")), lambda v: F.when(v.isNotNull(), cells(v)))).alias("g"))
-    return grouped.select(key, "height", F.floor(F.col("g.i") / SIDE).alias("src"),
-                          F.pmod(F.col("g.i"), F.lit(SIDE)).alias("c"),
-                          F.col("g.v").cast("bigint").alias("v"),
-                          F.col("g.w").cast("bigint").alias("w"))
-
-
-def entropy_cells(block_entropy: DataFrame, blobs: DataFrame, key: str = "sha") -> DataFrame:
-    """The same cells for per-byte entropies, constant inside a block of 128 bytes."""
-    size = blobs.select(key, F.octet_length("content").cast("bigint").alias("size"))
-    cells = block_entropy.join(size, key).select(
-        key, "size", "block", "e", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("j"))
-    start = F.col("block") * 128 + F.col("j") * 4
-    w = F.least(F.lit(4).cast("bigint"), F.col("size") - start)
-    return cells.where(start < F.col("size")).select(
-        key, F.ceil(F.col("size") / 256).cast("bigint").alias("height"),
-        F.floor(F.col("block") / 2).cast("bigint").alias("src"),
-        (F.pmod(F.col("block"), F.lit(2)) * 32 + F.col("j")).cast("int").alias("c"),
-        (F.col("e") * w).alias("v"), w.alias("w"))
-
-
-def area_resize(cells: DataFrame, key: str = "sha", fractional: bool = True) -> DataFrame:
-    """(key, r, c, value): cells averaged into 64 output rows.
-
-    A source row touches a run of consecutive output rows, so the interval join is an
-    explode of that run. ``fractional`` weighs by overlap; otherwise every touching row
-    counts fully. Cells without valid bytes do not appear (they are 0 in the dense view).
-    """
-    height, src = F.col("height"), F.col("src")
-    first = F.floor(src * SIDE / height).cast("bigint")
-    last = F.ceil((src + 1) * SIDE / height).cast("bigint") - 1
-    spread = cells.select(key, "height", "src", "c", "v", "w",
-                          F.explode(F.sequence(first, last)).alias("r"))
-    share = (F.least((F.col("r") + 1) * height, (src + 1) * SIDE)
-             - F.greatest(F.col("r") * height, src * SIDE)) if fractional else F.lit(1)
-    return (spread.withColumn("_s", share)
-            .groupBy(key, "r", "c")
-            .agg((F.sum(F.col("v") * F.col("_s")) / F.sum(F.col("w") * F.col("_s")))
-                 .alias("value")))
-
-
 def raw_byte_cells_view(blobs: DataFrame, key: str = "sha", fractional: bool = True) -> DataFrame:
-    return area_resize(raw_cells(blobs, key), key, fractional) \
-        .withColumn("value", F.col("value") / 255)
+    return cells_view(blobs, "raw_byte", key, fractional)
 
 
 def entropy_cells_view(blobs: DataFrame, key: str = "sha", fractional: bool = True) -> DataFrame:
-    blocks = block_means(window_entropies(blobs, key), blobs, key)
-    return area_resize(entropy_cells(blocks, blobs, key), key, fractional)
+    return cells_view(blobs, "entropy", key, fractional)
 
 
 def sbsmi_cells_view(blobs: DataFrame, bits: int = 6, key: str = "sha") -> DataFrame:

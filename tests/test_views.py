@@ -132,3 +132,41 @@ def test_pixel_digest_sees_every_pixel(spark):
     from hashlib import sha256
     assert digests["a"] == sha256(np.zeros(4096, "<f4").tobytes()).hexdigest()
     assert digests["b"] != digests["a"] and digests["c"] is None
+
+
+def test_block_parts_are_no_larger_than_their_blocks(blobs):
+    """One row per block and view; a short block does not send sums of all 4,096 cells."""
+    parts = B.block_parts(B.split_blocks(blobs, 1536), 1536).collect()
+    blocks = sum(-(-n // 1536) for n in SIZES)
+    assert len(parts) == 3 * blocks
+    for name in ("raw_byte", "entropy"):
+        packed = sum(len(p.sums) for p in parts if p.modality == name)
+        assert packed <= sum(SIZES) + 128 * blocks
+
+
+@pytest.mark.parametrize("fractional", [True, False])
+def test_long_blocks_send_cells(spark, fractional):
+    """Beyond ``OWN_ROWS`` rows sums of output cells are sent; both forms add up."""
+    rng = np.random.default_rng(6)
+    size = 3 * 768 * 100 + 700
+    frame = spark.createDataFrame(
+        [("s", rng.integers(0, 256, size, dtype=np.uint8).tobytes())], "sha string, content binary")
+    for name, whole in (("raw_byte", K.raw_byte_view if fractional else K.raw_byte_view_binned),
+                        ("entropy", K.entropy_view if fractional else K.entropy_view_binned)):
+        parts = B.block_parts(B.split_blocks(frame, 768 * 100), 768 * 100, ("sha",), (name,),
+                              fractional)
+        cells = B.merge_parts(parts, fractional=fractional).collect()
+        got = np.zeros(4096)
+        for r in cells:
+            got[r.cell] = r.value
+        want = expected(frame, whole)["s"]
+        assert parts.count() == 4 and np.abs(got - want).max() < 1e-6
+
+
+def test_equal_contents_of_one_key_give_one_view(spark):
+    frame = spark.createDataFrame([("s", bytes(range(256)) * 5)] * 3, "sha string, content binary")
+    for native, kernel in ((N.raw_byte_cells_view, K.raw_byte_view),
+                           (N.entropy_cells_view, K.entropy_view)):
+        rows = native(frame)
+        assert rows.count() == 4096
+        assert np.abs(dense(rows)["s"] - kernel(K.as_bytes(bytes(range(256)) * 5))).max() < 1e-9
