@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoview.functions import kernels
+from chronoview.functions.arrow import VIEWS_AT_ONCE
 
 BLOCK_UNIT = 768
 BLOCK_BYTES = BLOCK_UNIT * 16384
@@ -24,8 +25,6 @@ MODALITIES = ("raw_byte", "entropy", "sbsmi")
 PART_SCHEMA = ("modality string, n_bytes bigint, first int, rows int, cells binary, sums binary")
 #: Up to so many layout rows a block sends their sums, beyond it those of the 4,096 output cells.
 OWN_ROWS = 256
-#: Views of 4,096 cells that leave Python together.
-VIEWS_AT_ONCE = 64
 
 
 def split_blocks(blobs: DataFrame, block_bytes: int = BLOCK_BYTES,

@@ -1,6 +1,7 @@
 """Spark view plans agree with the kernels, whole or in blocks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from chronoview.functions import kernels as K
 from chronoview.operators import blocks as B
 from chronoview.operators import byteviews as N
 from chronoview.operators import dataset as G
+from chronoview.operators import models as M
 from chronoview.operators import validate as V
 
 SIZES = [1, 2, 3, 64, 127, 128, 129, 255, 257, 767, 768, 769, 1536, 1537, 1700, 5000]
@@ -170,3 +172,36 @@ def test_equal_contents_of_one_key_give_one_view(spark):
         rows = native(frame)
         assert rows.count() == 4096
         assert np.abs(dense(rows)["s"] - kernel(K.as_bytes(bytes(range(256)) * 5))).max() < 1e-9
+
+
+@pytest.mark.parametrize("modalities", [("sbsmi",), G.MODALITIES])
+def test_few_views_wait_in_python(modalities):
+    """However many blobs a batch has, at most ``VIEWS_AT_ONCE`` views leave together."""
+    contents = [None, b"", *(bytes([n % 256]) * 300 for n in range(500))]
+    batch = pa.RecordBatch.from_arrays([pa.array(contents, pa.binary())], names=["content"])
+    made = list(A.view_rows(modalities, ())(iter([batch])))
+    assert max(b.num_rows for b in made) <= A.VIEWS_AT_ONCE
+    assert sum(b.num_rows for b in made) == 502 * len(modalities)
+    nulls = [p for b in made for p, m in zip(b.column("pixels").to_pylist(),
+                                             b.column("modality").to_pylist())
+             if m == "sbsmi"]
+    assert nulls[:2] == [None, None] and all(len(p) == 4096 for p in nulls[2:])
+
+
+def test_lists_of_many_rows():
+    rows = [None if n % 7 == 0 else np.arange(n % 5, dtype=np.float64) for n in range(300)]
+    got = A._lists(iter(rows), pa.float32()).to_pylist()
+    assert got == [None if r is None else r.tolist() for r in rows]
+    assert A._lists([], pa.int16()).to_pylist() == []
+
+
+def test_scores_are_taken_in_slices(spark):
+    seen = spark.createDataFrame(
+        [("2020-02", f"s{n:03d}", 1, [float(n)] * 4) for n in range(600)],
+        "month string, sha string, class_id int, pixels array<float>").coalesce(1)
+
+    def size_and_first(pixels):
+        return np.stack([np.full(len(pixels), len(pixels)), pixels[:, 0]], axis=1), pixels[:, :1]
+    rows = M.score_with(seen, size_and_first, "raw_byte", 11).collect()
+    assert sorted(r.logits[1] for r in rows) == list(range(600))
+    assert max(r.logits[0] for r in rows) <= M.SCORED_AT_ONCE
