@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import sha256
 from itertools import islice
 
 import numpy as np
@@ -123,10 +124,21 @@ VIEW_KERNELS = {
 VIEW_DTYPES = {"raw_byte": "float32", "entropy": "float32", "sbsmi": "uint8"}
 
 
+def float32_digests(pixels: pa.Array) -> pa.Array:
+    """SHA-256 of each array's little-endian float32 bytes, taken from the Arrow buffer."""
+    raw = pixels.cast(pa.list_(pa.float32()))
+    data = memoryview(raw.values.buffers()[1]) if len(raw.values) else memoryview(b"")
+    skip, offsets, width = raw.values.offset, raw.offsets.to_pylist(), 4
+    return pa.array([sha256(data[(skip + lo) * width:(skip + hi) * width]).hexdigest()
+                     if ok else None
+                     for lo, hi, ok in zip(offsets, offsets[1:], raw.is_valid().to_pylist())],
+                    type=pa.string())
+
+
 def view_rows(modalities: tuple[str, ...], carry: tuple[str, ...],
-              content: str = "content") -> Callable[[Iterator[pa.RecordBatch]],
+              content: str = "content", digests: bool = False) -> Callable[[Iterator[pa.RecordBatch]],
                                                     Iterator[pa.RecordBatch]]:
-    """mapInArrow body: (carry.., content) -> (carry.., modality, pixels, error).
+    """mapInArrow body: (carry.., content) -> (carry.., modality, pixels, error[, output_sha256]).
 
     A blob crosses into Python once whatever the number of modalities, and one that
     cannot be viewed gives an error row instead of ending the task. ``VIEWS_AT_ONCE`` views
@@ -149,8 +161,10 @@ def view_rows(modalities: tuple[str, ...], carry: tuple[str, ...],
                     for name in modalities]
             rows = pa.array(np.arange(batch.num_rows).repeat(len(modalities)), pa.int64())
             names, pixels, errors = zip(*made) if made else ((), (), ())
+            views = _lists(pixels, pa.float32())
+            digest = {"output_sha256": float32_digests(views)} if digests else {}
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(rows) for c in carry), pa.array(names, pa.string()),
-                 _lists(list(pixels), pa.float32()), pa.array(errors, pa.string())],
-                names=[*carry, "modality", "pixels", "error"])
+                 views, pa.array(errors, pa.string()), *digest.values()],
+                names=[*carry, "modality", "pixels", "error", *digest])
     return run

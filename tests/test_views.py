@@ -205,3 +205,16 @@ def test_scores_are_taken_in_slices(spark):
     rows = M.score_with(seen, size_and_first, "raw_byte", 11).collect()
     assert sorted(r.logits[1] for r in rows) == list(range(600))
     assert max(r.logits[0] for r in rows) <= M.SCORED_AT_ONCE
+
+
+def test_digests_come_with_the_views(spark, blobs):
+    """A view's digest is taken in the pass that makes it and is that of its pixels."""
+    made = G.view_rows(blobs.union(spark.createDataFrame([("n", None)], blobs.schema)),
+                       digests=True)
+    rows = made.withColumn("again", G.pixels_sha256("pixels")).collect()
+    assert all(r.output_sha256 == r.again for r in rows)
+    assert [r.output_sha256 for r in rows if r.sha == "n"] == [None] * 3
+    manifest = blobs.select("sha", *(F.lit(None).cast(k).alias(c) for c, k in zip(
+        G.IDENTITY, ("string", "int", "string", "string", "string"))))
+    plan = G.generate_views(manifest, blobs.withColumn("member", F.col("sha")), "c")
+    assert "ArrowEvalPython" not in plan._jdf.queryExecution().executedPlan().toString()
