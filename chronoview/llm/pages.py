@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoview.llm.common import byte_slices
+from chronoview.session import shuffles_dropped, staged
 
 BATCH_BYTES = 4 << 20
 # A page that shares more than this part of its characters with a neighbour may be its copy.
@@ -82,6 +83,7 @@ class Page:
     host: str
     path: str
     own: bool = True
+    unsure: bool = False
     lines: list[str] = field(default_factory=list)
     framed: list[bool] = field(default_factory=list)
     inside: list[bool] = field(default_factory=list)
@@ -113,7 +115,7 @@ def attribute_kind(tag: str, rest: str) -> tuple[bool, bool]:
 def read_page(page_id: int | None, url: str | None, host: str, path: str, source: str,
               own: bool = True) -> Page:
     """Lines are the blocks of a page; unclosed elements end with the one around them."""
-    page = Page(page_id, url, host, path, own)
+    page = Page(page_id, url, host, path, own=own)
     parts: list[str] = []
     open_tags: list[tuple[str, bool, bool]] = []  # tag, frame, article
     frames = articles = headings = 0
@@ -323,15 +325,22 @@ def main_text(page: Page, before: Neighbour | None, after: Neighbour | None) ->
 
 
 class Host:
-    """Pages of one host in order, each given out once its neighbours are known."""
+    """Pages of one host in order, each given out once its neighbours are known.
 
-    def __init__(self) -> None:
+    Where a bound, or an end of the part that may lie within the host, ends a search, the page
+    is ``unsure``; ``searched`` looks for its neighbours in other parts.
+    """
+
+    def __init__(self, cut: bool = False) -> None:
         self.name: str | None = None
+        self.cut, self.hosts = cut, 0
         self.behind: list[Page] = []
         self.waiting: list[tuple[Page, Neighbour | None]] = []
         self.held = 0
 
-    def end(self) -> list[tuple[Page, str]]:
+    def end(self, cut: bool = False) -> list[tuple[Page, str]]:
+        for page, _ in self.waiting:
+            page.unsure = page.unsure or cut
         done = [(page, main_text(page, before, None)) for page, before in self.waiting]
         self.waiting, self.held = [], 0
         return done
@@ -340,6 +349,7 @@ class Host:
         done = []
         if page.host != self.name:
             done = self.end()
+            self.cut, self.hosts = self.cut and not self.hosts, self.hosts + 1
             self.name, self.behind = page.host, []
         before, last = None, True
         for other in reversed(self.behind):
@@ -352,11 +362,13 @@ class Host:
             if found is not None:
                 before = other, found[0]
                 break
+        page.unsure = before is None and self.cut
+        self.cut = self.cut or len(self.behind) >= REACH
         self.behind = [*self.behind, page][-REACH:]
         self.waiting.append((page, before))
         self.held += sum(map(len, page.lines))
         if self.held > WAITING_CHARS:
-            done += self.end()
+            done += self.end(cut=True)
         return done
 
     def meet(self, page: Page, last: Page, lasts_shared: set[int]) -> list[tuple[Page, str]]:
@@ -426,6 +438,89 @@ def part_cuts(keys: DataFrame) -> Cuts:
     return Cuts(ends)
 
 
+def searched(placed: DataFrame, parts: int) -> DataFrame:
+    """``RESULT`` of the rows that are ``unsure``, each against all pages of its host if need be.
+
+    ``placed``: pages with their part of the sorted order. Pages of the own part and those beside
+    it come first, then twice as far each round; a row is done once it has a page that is no
+    copy on either side, or its host has no further part there. Pairs are dealt by row and part.
+    """
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, Page] | None = None
+        for part in byte_slices(batches, "other_html", BATCH_BYTES):
+            kept = []
+            for i, row in enumerate(part.to_pylist()):
+                if last is None or last[0] != row["row"]:
+                    last = row["row"], read_page(None, None, "", "", row["html"] or "")
+                kept.append(compared(last[1], read_page(
+                    None, None, "", "", row["other_html"] or "")) is not None)
+            yield part.drop_columns(["html"]).filter(pa.array(kept, pa.bool_()))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, "html", BATCH_BYTES):
+            done = []
+            for row in part.to_pylist():
+                page = read_page(row["page_id"], row["url"], row["host"], row["path"], row["html"] or "")
+                near: list[Neighbour | None] = []
+                for x in (row["before"], row["after"]):
+                    other = x and read_page(x["page_id"], None, row["host"], x["path"], x["html"] or "")
+                    near.append(other and (other, compared(page, other)[0]))
+                done.append((page, main_text(page, *near)))
+            yield result(done)
+
+    asked = staged(placed.where("unsure").withColumn("row", F.monotonically_increasing_id()),
+                   "unsure-pages")
+    ends = placed.groupBy("host").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+    others = placed.join(asked.select("host").distinct(), "host", "left_semi").select(
+        "host", F.col("part").alias("other_part"), F.col("path").alias("other_path"),
+        F.col("page_id").alias("other_id"), F.col("html").alias("other_html"))
+    kind = placed.select(F.struct("path", "page_id", "html").alias("x")).schema["x"].dataType
+    left = asked.join(ends, "host").withColumns(
+        {x: F.lit(None).cast(kind) for x in ("before", "after")})
+    found, seen, reach = None, -1, 1
+    columns = left.columns
+    while True:
+        # Parts from seen + 1 to reach away on the sides where nothing has been found.
+        away = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("away")
+        asks = left.select("row", "host", "path", "page_id", "html", "part", "before", "after", away) \
+            .where(f"abs(away) > {seen} AND (before IS NULL AND away <= 0 OR after IS NULL AND away >= 0)") \
+            .withColumn("other_part", F.col("part") + F.col("away"))
+        earlier = F.struct("other_path", "other_id") <= F.struct("path", "page_id")
+        pairs = asks.join(others, ["host", "other_part"]).select(
+            "row", "html", "other_path", "other_id", "other_html", earlier.alias("earlier"))
+        other = F.struct(F.col("other_path").alias("path"), F.col("other_id").alias("page_id"),
+                         F.col("other_html").alias("html"))
+        differing = pairs.mapInArrow(differ, "row long, other_path string, other_id long, "
+                                             "other_html string, earlier boolean")
+        nearest = differing.groupBy("row").agg(
+            F.max(F.when(F.col("earlier"), other)).alias("_before"),
+            F.min(F.when(~F.col("earlier"), other)).alias("_after"))
+        left = staged(left.join(nearest, "row", "left").withColumns(
+            {x: F.coalesce(x, f"_{x}") for x in ("before", "after")}).select(*columns), "unsure-pages")
+        open_ends = (f"before IS NULL AND first < part - {reach} "
+                     f"OR after IS NULL AND last > part + {reach}")
+        done = left.where(f"NOT ({open_ends})")
+        found = done if found is None else found.unionByName(done)
+        left, seen, reach = left.where(open_ends), reach, 2 * reach
+        if seen >= parts or left.isEmpty():
+            break
+    return found.select("page_id", "url", "host", "path", "html", "before", "after").mapInArrow(
+        write, RESULT)
+
+
+def result(done: list[tuple[Page, str]], unsure: bool = False) -> pa.RecordBatch:
+    done = [(p, t) for p, t in done if p.own]
+    columns = {"page_id": pa.array([p.page_id for p, _ in done], pa.int64()),
+               "url": pa.array([p.url for p, _ in done], pa.string()),
+               "text": pa.array([t for _, t in done], pa.string()),
+               "n_chars": pa.array([len(t) for _, t in done], pa.int64())}
+    if unsure:
+        columns |= {"host": pa.array([p.host for p, _ in done], pa.string()),
+                    "path": pa.array([p.path for p, _ in done], pa.string()),
+                    "unsure": pa.array([p.unsure for p, _ in done], pa.bool_())}
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
@@ -433,26 +528,17 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows are extracted alike; an empty table gives no rows; other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, part_id = Host(), None
+        host, part_id = Host(), 0
         for part in byte_slices(batches, "html", BATCH_BYTES):
             done = []
             for row in part.to_pylist():
-                if row["part"] != part_id:
-                    done += host.end()
-                    host, part_id = Host(), row["part"]
+                if row["part"] != part_id or host.name is None:
+                    done += host.end(cut=part_id + 1 < n)
+                    host, part_id = Host(cut=row["part"] > 0), row["part"]
                 done += host.add(read_page(row["page_id"], row["url"], row["host"], row["path"],
                                            row["html"] or "", row["own"]))
-            yield result(done)
-        yield result(host.end())
-
-    def result(done: list[tuple[Page, str]]) -> pa.RecordBatch:
-        done = [(p, t) for p, t in done if p.own]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p.page_id for p, _ in done], pa.int64()),
-             pa.array([p.url for p, _ in done], pa.string()),
-             pa.array([t for _, t in done], pa.string()),
-             pa.array([len(t) for _, t in done], pa.int64())],
-            names=["page_id", "url", "text", "n_chars"])
+            yield result(done, unsure=True)
+        yield result(host.end(cut=part_id + 1 < n), unsure=True)
 
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
@@ -463,5 +549,19 @@ def extract(pages: DataFrame) -> DataFrame:
     places = F.udf(lambda *key: cuts.places(sort_key(*key)), PLACES, useArrow=True)
     dealt = placed.select("*", F.inline(places(*KEY)))
     n = max(1, len(cuts.starts))
-    return dealt.repartitionByRange(n, "part").sortWithinPartitions("part", *KEY).mapInArrow(
-        run, RESULT)
+    found = dealt.repartitionByRange(n, "part").sortWithinPartitions("part", *KEY).mapInArrow(
+        run, f"{RESULT}, host string, path string, unsure boolean")
+    columns = ["page_id", "url", "text", "n_chars"]
+    # Texts would take as much disk as the pages, so they are not stored but made again.
+    with shuffles_dropped(pages.sparkSession):
+        unsure = staged(found.where("unsure").select(*KEY).distinct(), "unsure-keys")
+    if unsure.isEmpty():
+        return found.select(*columns)
+    same = [F.col(f"p.{x}").eqNullSafe(F.col(f"u.{x}")) for x in KEY]
+    marked = dealt.where("own").alias("p").join(
+        unsure.withColumn("unsure", F.lit(True)).alias("u"), same, "left").select(
+        "p.*", F.coalesce("u.unsure", F.lit(False)).alias("unsure"))
+    # A row with the key of one that is unsure is looked at again too.
+    sure = found.alias("f").join(
+        unsure.alias("u"), [F.col(f"f.{x}").eqNullSafe(F.col(f"u.{x}")) for x in KEY], "left_anti")
+    return sure.select(*columns).unionByName(searched(marked, n))

@@ -157,3 +157,45 @@ def test_repeated_rows_and_empty_table(spark):
     frame = spark.createDataFrame([(1, "http://h/a", "<p>x</p>", "h", "p", "t")] * 3, SCHEMA)
     assert pages.extract(frame).count() == 3
     assert pages.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_copies_over_several_parts_find_the_pages_beyond(spark, parts):
+    """More copies in a row than a part sees beyond its ends still lose their frame."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    rng = random.Random(8)
+    body, first, last, lone = prose(rng), prose(rng), prose(rng), prose(rng)
+    data = [(i, f"http://h/b/{i:03}", plain(f"<p>{body}</p>")) for i in range(120)]
+    data += [(500, "http://h/a", plain(f"<p>{first}</p>")), (501, "http://h/c", plain(f"<p>{last}</p>"))]
+    data += [(600 + i, f"http://z/{i:03}", plain(f"<p>{lone}</p>")) for i in range(60)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = extract(spark, data)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert len(got) == len(data)
+    assert {got[i, f"http://h/b/{i:03}"][0] for i in range(120)} == {body}
+    assert got[500, "http://h/a"][0] == first and got[501, "http://h/c"][0] == last
+    whole = f"Site name\n\nHome\n\n{lone}\n\nAll rights\n\nContact"  # a host of copies only
+    assert {got[600 + i, f"http://z/{i:03}"][0] for i in range(60)} == {whole}
+
+
+def test_searches_that_a_bound_ends_are_unsure(monkeypatch):
+    rng = random.Random(9)
+    text = prose(rng)
+
+    def page(i, body, host="h"):
+        return pages.read_page(i, None, host, f"/{i}", plain(f"<p>{body}</p>"))
+
+    def unsure(host, rows, cut=False):
+        done = [x for row in rows for x in host.add(row)] + host.end(cut)
+        return {p.page_id for p, _ in done if p.unsure}
+    copies = [page(i, text) for i in range(4)]
+    assert unsure(pages.Host(), copies) == set()
+    assert unsure(pages.Host(), copies, cut=True) == {0, 1, 2, 3}
+    assert unsure(pages.Host(cut=True), [page(9, prose(rng), "g"), *copies]) == {9}
+    monkeypatch.setattr(pages, "WAITING_CHARS", 1)
+    assert unsure(pages.Host(), copies) == {0, 1, 2, 3}
