@@ -71,9 +71,9 @@ def unfinished(items: DataFrame, log: str, batch_id: int) -> DataFrame:
 def viewed(manifest: DataFrame, blobs: DataFrame, items: DataFrame, config_id: str,
            modalities: Sequence[str], folder: str) -> DataFrame:
     """Write the views of the items to their own folder; returns their log rows."""
-    todo = manifest.join(items.select("sha").distinct(), "sha", "left_semi")
-    views = G.generate_views(todo, blobs, config_id, modalities).join(
-        items, list(KEY), "left_semi")
+    # What is wanted of a sample comes with its manifest row: views are not joined once more.
+    wanted = items.groupBy("sha").agg(F.collect_set("modality").alias("wanted"))
+    views = G.generate_views(manifest.join(wanted, "sha"), blobs, config_id, modalities)
     views.write.mode("overwrite").partitionBy("split", "month", "modality").parquet(folder)
     written = items.sparkSession.read.option("basePath", folder).schema(views.schema).parquet(
         folder)
@@ -100,14 +100,16 @@ def named_files(rows: DataFrame) -> DataFrame:
 def views_as_both_arrive(names: DataFrame, rows: DataFrame,
                          fetch: Callable[[DataFrame], DataFrame], config_id: str, output: str,
                          log: str, checkpoint: str, modalities: Sequence[str] = G.MODALITIES,
-                         files_per_read: int = 100_000) -> None:
+                         files_per_read: int | None = 100_000) -> None:
     """View every blob once both it and its manifest row are there, in whichever order; and stop.
 
     ``names`` streams (member, sha), ``rows`` streams manifest rows. Both wait in the state of
     their join, keyed by sha, for the other side, across batches and runs, so nothing is left
     WAITING once its row has come. The state has names and rows only: contents are opened by
     ``fetch(rows with member and sha)`` when they are released, at most about
-    ``files_per_read`` names at a time. A row or blob that comes again is viewed once.
+    ``files_per_read`` names at a time; None is for a ``fetch`` that scans a table and takes no
+    name to the driver: it reads all that a batch released in one scan. What ``fetch`` gives of
+    other samples is dropped. A row or blob that comes again is viewed once.
     """
     identity = rows.select("sha", *G.IDENTITY)
     both = names.select("sha", "member").join(identity, "sha")
@@ -119,7 +121,8 @@ def views_as_both_arrive(names: DataFrame, rows: DataFrame,
         items = ready.withColumn("config_id", F.lit(config_id)).withColumn(
             "modality", F.explode(kinds))
         items = staged(unfinished(items, log, batch_id), "stream-ready")
-        parts = max(1, -(-items.count() // (files_per_read * len(modalities))))
+        parts = 1 if files_per_read is None else max(
+            1, -(-items.count() // (files_per_read * len(modalities))))
         for k in range(parts):
             part = items.where(F.pmod(F.xxhash64("member"), F.lit(parts)) == k)
             samples = part.select("sha", "member", *G.IDENTITY).distinct()

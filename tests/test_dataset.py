@@ -374,6 +374,35 @@ def test_declared_sizes_spare_reading_contents(spark, manifest, blobs, tmp_path)
     assert "Project [sha" in plan and "octet_length" not in plan, scanned
 
 
+def test_released_blobs_of_a_table_take_one_scan(spark, manifest, blobs, tmp_path):
+    """A batch reads a table once, however many blobs it releases, and drops other samples."""
+    blobs.select("sha", "member").write.parquet(str(tmp_path / "names"))
+    manifest.where(f"sha <> '{SHA[0]}'").write.parquet(str(tmp_path / "rows"))
+    names = spark.readStream.schema("sha string, member string").parquet(str(tmp_path / "names"))
+    rows = spark.readStream.schema(manifest.schema).parquet(str(tmp_path / "rows"))
+    paths, asked = [str(tmp_path / n) for n in ("views", "log", "checkpoint")], []
+
+    def fetch(ready):
+        asked.append(ready.count())
+        return blobs.select("sha", "member", "content")
+    views_as_both_arrive(names, rows, fetch, "cfg", *paths, ("sbsmi", "raw_byte"), None)
+    log = spark.read.option("recursiveFileLookup", True).parquet(paths[1])
+    known = {r.sha for r in manifest.select("sha").collect()} - {SHA[0]}
+    assert len(asked) == 1 and asked[0] == len(known)
+    assert sorted((r.sha, r.modality) for r in log.collect()) == sorted(
+        (s, m) for s in known for m in ("sbsmi", "raw_byte"))
+
+
+def test_only_wanted_views_are_generated(spark, manifest, blobs):
+    wanted = F.when(F.col("sha") == SHA[0], F.array(F.lit("sbsmi"))).otherwise(
+        F.array(F.lit("sbsmi"), F.lit("entropy")))
+    made = G.generate_views(manifest.withColumn("wanted", wanted), blobs, "cfg")
+    assert "wanted" not in made.columns
+    found = {(r.sha, r.modality) for r in made.collect()}
+    assert found == {(r.sha, m) for r in manifest.collect() for m in (
+        ("sbsmi",) if r.sha == SHA[0] else ("sbsmi", "entropy"))}
+
+
 def test_late_manifest_rows_release_waiting_blobs(spark, manifest, tmp_path):
     """Either side may come first; nothing waits for good, nothing is viewed twice."""
     source, rows_at = tmp_path / "in", str(tmp_path / "rows")
