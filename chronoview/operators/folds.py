@@ -30,12 +30,13 @@ def repeated_folds(samples: DataFrame, k: int = 10, seeds: Sequence[int] = DEFAU
     before = W.orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(label, F.coalesce(F.sum("_size").over(before), F.lit(0))
                            .alias("start"))
-    seeded = (samples.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
-              .withColumn("_order", seeded_order(F.col("sha"), F.col("seed"))))
-    numbered = ranked(seeded, ["seed", label], [F.col("_order"), F.col("sha")],
-                      sha_bucket(F.col("_order")), "_rank", offsets, [label])
+    seeded = samples.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
+    # An expression, not a column: the hash is taken again where rows are sorted, not shuffled.
+    order = seeded_order(F.col("sha"), F.col("seed"))
+    numbered = ranked(seeded, ["seed", label], [order, F.col("sha")], sha_bucket(order), "_rank",
+                      offsets, [label])
     return (numbered.withColumn("test_fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int"))
-            .drop("_order", "_rank"))
+            .drop("_rank"))
 
 
 def stratified_folds(samples: DataFrame, k: int = 10, seed: int = 42,

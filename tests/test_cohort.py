@@ -87,6 +87,19 @@ def test_skew_join_equals_join(spark, samples, how):
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, skewed.collect()), key=str)
 
 
+def test_fold_hashes_are_not_shuffled(samples):
+    """Rows meet their bucket's first number without the 64 characters they are sorted by."""
+    def joins(node):
+        if node.nodeName() == "Join":
+            yield node.output()
+        for i in range(node.children().size()):
+            yield from joins(node.children().apply(i))
+    plan = D.repeated_folds(samples, 10, [42, 43])._jdf.queryExecution().optimizedPlan()
+    names = [[out.apply(i).name() for i in range(out.size())] for out in joins(plan)]
+    assert names and all(set(n) <= {*samples.columns, "seed", "_bucket", "_before", "_rows", "start",
+                                    "class_id"} for n in names)
+
+
 def test_folds(spark, samples):
     folds = D.stratified_folds(samples, 10, 42).cache()
     require_clean(D.check_folds(folds, 10), "folds")
