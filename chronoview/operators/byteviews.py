@@ -153,7 +153,12 @@ def sbsmi_cells_view(blobs: DataFrame, bits: int = 6, key: str = "sha") -> DataF
 
 def explode_pixels(views: DataFrame, keys: tuple[str, ...] = ("sha",),
                    pixels: str = "pixels") -> DataFrame:
-    """(keys, r, c, value) of dense 64x64 arrays."""
-    cells = views.select(*keys, F.posexplode(pixels).alias("i", "value"))
+    """(keys, r, c, value) of dense 64x64 arrays; a missing view gives no cells.
+
+    Of a plain explode Spark infers a filter on the array, and a view that a Python function
+    makes would be made once more for it.
+    """
+    cells = views.select(*keys, F.posexplode_outer(pixels).alias("i", "value")).where(
+        "i IS NOT NULL")
     return cells.select(*keys, F.floor(F.col("i") / SIDE).cast("int").alias("r"),
                         F.pmod(F.col("i"), F.lit(SIDE)).cast("int").alias("c"), "value")

@@ -188,6 +188,17 @@ def test_few_views_wait_in_python(modalities):
     assert nulls[:2] == [None, None] and all(len(p) == 4096 for p in nulls[2:])
 
 
+def test_exploded_views_are_made_once(spark):
+    """No filter inferred from the explode makes a view a second time; missing ones give no cells."""
+    frame = spark.createDataFrame([("a", b"some bytes" * 40), ("n", None)],
+                                  "sha string, content binary")
+    cells = N.explode_pixels(frame.select("sha", A.sbsmi_view("content").alias("pixels")))
+    assert cells._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = cells.orderBy("r", "c").collect()
+    assert {r.sha for r in rows} == {"a"}
+    assert [r.value for r in rows] == K.sbsmi_view(K.as_bytes(b"some bytes" * 40)).tolist()
+
+
 def test_lists_of_many_rows():
     rows = [None if n % 7 == 0 else np.arange(n % 5, dtype=np.float64) for n in range(300)]
     got = A._lists(iter(rows), pa.float32()).to_pylist()
