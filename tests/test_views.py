@@ -1,5 +1,7 @@
 """Spark view plans agree with the kernels, whole or in blocks."""
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -12,6 +14,7 @@ from chronoview.operators import byteviews as N
 from chronoview.operators import dataset as G
 from chronoview.operators import models as M
 from chronoview.operators import validate as V
+from chronoview.session import configure
 
 SIZES = [1, 2, 3, 64, 127, 128, 129, 255, 257, 767, 768, 769, 1536, 1537, 1700, 5000]
 
@@ -188,6 +191,30 @@ def test_few_views_wait_in_python(modalities):
     assert nulls[:2] == [None, None] and all(len(p) == 4096 for p in nulls[2:])
 
 
+def test_batches_to_python_stay_small(spark):
+    """Neither contents nor views come by more than 8 MB and a row; each comes once."""
+    configure(spark)
+    bound = 9 << 20
+    frame = spark.range(0, 1200, 1, 1)
+    views = frame.select("id", F.array_repeat(F.col("id").cast("float"), 4096).alias("pixels"))
+    contents = frame.where("id < 24").select(
+        "id", F.encode(F.repeat(F.lit("x"), 1 << 20), "UTF-8").alias("content"))
+
+    @F.arrow_udf("long")
+    def batch_bytes(column: pa.Array) -> pa.Array:
+        return pa.array([column.nbytes] * len(column), pa.int64())
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+    assert max(r[0] for r in contents.mapInArrow(sizes, "n long").collect()) <= bound
+    rows = views.select("id", batch_bytes("pixels").alias("n"),
+                        G.pixels_sha256("pixels").alias("digest")).collect()
+    assert max(r.n for r in rows) <= bound
+    assert {r.id: r.digest for r in rows} == {
+        n: sha256(np.full(4096, n, np.float32).tobytes()).hexdigest() for n in range(1200)}
+
+
 def test_exploded_views_are_made_once(spark):
     """No filter inferred from the explode makes a view a second time; missing ones give no cells."""
     frame = spark.createDataFrame([("a", b"some bytes" * 40), ("n", None)],
