@@ -41,9 +41,12 @@ def _lists(rows: Iterable[np.ndarray | None], value_type: pa.DataType) -> pa.Arr
 
 
 def _per_blob(batch: pa.Array, kernel: Callable[[np.ndarray], object]) -> Iterator:
-    """Apply a kernel to each value without copying the bytes; NULL stays NULL."""
-    return (kernel(kernels.as_bytes(item.as_buffer())) if item.is_valid else None
-            for item in batch)
+    """Apply a kernel to each value without copying the bytes; NULL stays NULL.
+
+    An empty content has no bytes to view, states or entropy: NULL too, beside the others.
+    """
+    return (kernel(kernels.as_bytes(item.as_buffer()))
+            if item.is_valid and len(item.as_buffer()) else None for item in batch)
 
 
 @F.arrow_udf(FLOATS)
