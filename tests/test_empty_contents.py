@@ -40,6 +40,7 @@ def against_sql(spark, folder, name):
 @pytest.mark.parametrize("name", [
     "b18_lbit_states",
     "f6_window_overlap_mean",
+    "i1_raw_byte_view",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
