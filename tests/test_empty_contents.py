@@ -41,6 +41,7 @@ def against_sql(spark, folder, name):
     "b18_lbit_states",
     "f6_window_overlap_mean",
     "i1_raw_byte_view",
+    "i2_raw_byte_view_binned",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
