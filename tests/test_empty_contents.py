@@ -42,6 +42,7 @@ def against_sql(spark, folder, name):
     "f6_window_overlap_mean",
     "i1_raw_byte_view",
     "i2_raw_byte_view_binned",
+    "i4_entropy_view",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
