@@ -43,6 +43,7 @@ def against_sql(spark, folder, name):
     "i1_raw_byte_view",
     "i2_raw_byte_view_binned",
     "i4_entropy_view",
+    "i5_entropy_view_binned",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
