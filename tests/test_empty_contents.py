@@ -44,6 +44,7 @@ def against_sql(spark, folder, name):
     "i2_raw_byte_view_binned",
     "i4_entropy_view",
     "i5_entropy_view_binned",
+    "i7_sbsmi_view",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
