@@ -46,6 +46,7 @@ def against_sql(spark, folder, name):
     "i5_entropy_view_binned",
     "i7_sbsmi_view",
     "l2_register_functions",
+    "h2_union_workers",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
