@@ -48,6 +48,7 @@ def against_sql(spark, folder, name):
     "l2_register_functions",
     "h2_union_workers",
     "v11_audit_dataset",
+    "v11_audit_errors",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
