@@ -28,17 +28,21 @@ OWN_ROWS = 256
 
 
 def split_blocks(blobs: DataFrame, block_bytes: int = BLOCK_BYTES,
-                 keys: Sequence[str] = ("sha",)) -> DataFrame:
+                 keys: Sequence[str] = ("sha",), blank: bool = False) -> DataFrame:
     """(keys.., block_no, bytes, n_bytes, before, after) of whole blobs.
 
     A block brings the 128 bytes on either side along, cut where the whole blob is at hand:
     no block is joined to another. ``keys`` name a blob: with several members of one sha,
-    give the member too.
+    give the member too. An empty or missing content has no block, with ``blank`` one without
+    bytes.
     """
     if block_bytes < BLOCK_UNIT or block_bytes % BLOCK_UNIT:
         raise ValueError(f"block size must be a multiple of {BLOCK_UNIT}")
     size, content = F.octet_length("content"), F.col("content")
     starts = F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / block_bytes).cast("int")))
+    if blank:
+        content, size = F.coalesce(content, F.lit(b"")), F.coalesce(size, F.lit(0))
+        starts = F.coalesce(starts, F.array(F.lit(0)))
     numbered = blobs.select(*keys, "content", size.cast("bigint").alias("n_bytes"),
                             F.explode(starts).alias("block_no"))
     first = F.col("block_no") * block_bytes
@@ -83,6 +87,10 @@ def _block_parts(block_bytes: int, keys: Sequence[str], modalities: Sequence[str
         for batch in batches:
             made = []
             for row in batch.to_pylist():
+                if not row["n_bytes"]:
+                    made += [(*(row[k] for k in keys), name, 0, 0, 0, None, b"")
+                             for name in modalities]
+                    continue
                 values = kernels.as_bytes(row["bytes"])
                 first = row["block_no"] * block_bytes // kernels.ROW_BYTES
                 for name in modalities:
@@ -110,6 +118,8 @@ def block_parts(blocks: DataFrame, block_bytes: int = BLOCK_BYTES,
 def _cell_sums(part: dict, fractional: bool) -> tuple[np.ndarray, np.ndarray]:
     """Sums and areas that a part adds to the 64 x 64 cells of its view."""
     n, first, rows, small = part["n_bytes"], part["first"], part["rows"], part["rows"] <= OWN_ROWS
+    if not n:
+        return np.zeros((2, kernels.SIDE, kernels.SIDE), dtype=np.int64)
     if part["modality"] == "sbsmi":
         total = np.zeros(kernels.CELLS, dtype=np.int64)
         total[np.frombuffer(part["cells"], "<u2")] = np.frombuffer(part["sums"], "<u4")
@@ -189,9 +199,13 @@ def merge_parts(parts: DataFrame, keys: Sequence[str] = ("sha",),
 
 def block_views(blobs: DataFrame, block_bytes: int = BLOCK_BYTES,
                 keys: Sequence[str] = ("sha",),
-                modalities: Sequence[str] = MODALITIES) -> DataFrame:
-    """Views of blobs too large for one task: one scan, and only partial sums are shuffled."""
-    parts = block_parts(split_blocks(blobs, block_bytes, keys), block_bytes, keys, modalities)
+                modalities: Sequence[str] = MODALITIES, blank: bool = False) -> DataFrame:
+    """Views of blobs too large for one task: one scan, and only partial sums are shuffled.
+
+    A content without bytes has none, with ``blank`` one of zeros.
+    """
+    parts = block_parts(split_blocks(blobs, block_bytes, keys, blank), block_bytes, keys,
+                        modalities)
     return _merged(parts, keys, "float", True, lambda values, areas: pa.array(
         np.where(areas > 0, values, 0).astype(np.float32)))
 

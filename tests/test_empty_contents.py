@@ -49,6 +49,7 @@ def against_sql(spark, folder, name):
     "h2_union_workers",
     "v11_audit_dataset",
     "v11_audit_errors",
+    "v12_compare_implementations",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
