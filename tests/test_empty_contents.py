@@ -50,6 +50,7 @@ def against_sql(spark, folder, name):
     "v11_audit_dataset",
     "v11_audit_errors",
     "v12_compare_implementations",
+    "v6_check_view_image",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
