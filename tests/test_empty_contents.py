@@ -51,6 +51,7 @@ def against_sql(spark, folder, name):
     "v11_audit_errors",
     "v12_compare_implementations",
     "v6_check_view_image",
+    "h4_bucketed_upsert",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
