@@ -52,6 +52,7 @@ def against_sql(spark, folder, name):
     "v12_compare_implementations",
     "v6_check_view_image",
     "h4_bucketed_upsert",
+    "h4_upsert_manifest",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
