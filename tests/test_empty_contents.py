@@ -53,6 +53,7 @@ def against_sql(spark, folder, name):
     "v6_check_view_image",
     "h4_bucketed_upsert",
     "h4_upsert_manifest",
+    "k1_fit_view_classifier",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
