@@ -25,15 +25,16 @@ from chronoview.session import staged
 from chronoview.sources import sinks
 
 
-def source_problems(selected: DataFrame, index: DataFrame) -> DataFrame:
+def source_problems(selected: DataFrame, index: DataFrame, blank: bool = False) -> DataFrame:
     """Samples without a member, with several, with an empty one or not of the declared size.
 
-    ``index`` has sha, member, size; a manifest may declare ``file_size`` per sample.
+    ``index`` has sha, member, size; a manifest may declare ``file_size`` per sample. With
+    ``blank`` an empty member is no problem.
     """
     matched = J.match_sources(selected, index)
     rules = {"source_missing": F.col("status") == "missing",
              "source_ambiguous": F.col("status") == "ambiguous",
-             "source_empty": F.col("size") == 0}
+             "source_empty": F.lit(not blank) & (F.col("size") == 0)}
     if "file_size" in selected.columns:
         rules["source_size"] = F.col("file_size").isNotNull() & (
             F.col("size") != F.col("file_size"))
@@ -60,9 +61,10 @@ def source_index(blobs: DataFrame) -> DataFrame:
 
 
 def dataset_identity(selected: DataFrame, settings: dict,
-                     modalities: Sequence[str] = G.MODALITIES) -> tuple[str, dict]:
+                     modalities: Sequence[str] = G.MODALITIES,
+                     blank: bool = False) -> tuple[str, dict]:
     """(config_id, identity) of a generation run."""
-    settings = {**settings, "modalities": list(modalities)}
+    settings = {**settings, "modalities": list(modalities), **({"blank": True} if blank else {})}
     return record_hash(settings), run_identity(settings, {"selected": selected})
 
 
@@ -77,7 +79,7 @@ def changed_sources(blobs: DataFrame, whole: DataFrame) -> DataFrame:
 def generate_dataset(spark: SparkSession, selected: DataFrame, blobs: DataFrame, settings: dict,
                      path: str, frozen_id: str | None = None,
                      modalities: Sequence[str] = G.MODALITIES,
-                     verify_sources: bool = False) -> DataFrame:
+                     verify_sources: bool = False, blank: bool = False) -> DataFrame:
     """Select, guard, match, view, check, commit and log; returns the log of this run.
 
     ``blobs`` has sha, member, content and, if known, size. Mixed or unfrozen future rows,
@@ -87,11 +89,12 @@ def generate_dataset(spark: SparkSession, selected: DataFrame, blobs: DataFrame,
     made, CREATED. A run that died at any point is so continued, and a damaged file mended.
     Views are written once, checked from figures taken while they are written, and count from
     the commit on; views that could not be made, or whose bytes are not those declared, are set
-    aside and refused.
+    aside and refused. With ``blank`` sources without bytes are not refused: their views are
+    all zero.
     """
-    config_id, identity = dataset_identity(selected, settings, modalities)
+    config_id, identity = dataset_identity(selected, settings, modalities, blank)
     require_clean(guard_future(selected, frozen_id, config_id), path)
-    require_clean(source_problems(selected, source_index(blobs)), path)
+    require_clean(source_problems(selected, source_index(blobs), blank), path)
     claim_output(spark, path, identity)
     place = journal.folder(spark, path)
     whole = journal.recover(place, selected, modalities, config_id)
@@ -103,7 +106,7 @@ def generate_dataset(spark: SparkSession, selected: DataFrame, blobs: DataFrame,
     made = spark.createDataFrame([], journal.COMMITS)
     if not todo.isEmpty():
         journal.claim(place, todo, attempt)
-        made = make_views(place, selected, blobs, todo, attempt, config_id, modalities)
+        made = make_views(place, selected, blobs, todo, attempt, config_id, modalities, blank)
     settled = journal.committed(place).select(*journal.ITEM, "file")
     adopted = whole.join(settled, [*journal.ITEM, "file"], "left_anti")
     fresh = staged(adopted.unionByName(made), "journal-fresh")
@@ -121,10 +124,11 @@ def generate_dataset(spark: SparkSession, selected: DataFrame, blobs: DataFrame,
 
 
 def make_views(place: journal.Folder, selected: DataFrame, blobs: DataFrame, todo: DataFrame,
-               attempt: int, config_id: str, modalities: Sequence[str]) -> DataFrame:
+               attempt: int, config_id: str, modalities: Sequence[str],
+               blank: bool = False) -> DataFrame:
     """Write the views of the claimed items and return their commit rows, or refuse them all."""
     samples = selected.join(todo.select("sha").distinct(), "sha", "left_semi")
-    views = G.as_stored(G.generate_views(samples, blobs, config_id, modalities).join(
+    views = G.as_stored(G.generate_views(samples, blobs, config_id, modalities, blank).join(
         todo, list(journal.ITEM), "left_semi"))
     watch = Observation()
     name = f"attempt={attempt}"

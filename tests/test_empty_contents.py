@@ -54,6 +54,7 @@ def against_sql(spark, folder, name):
     "h4_bucketed_upsert",
     "h4_upsert_manifest",
     "k1_fit_view_classifier",
+    "a16_resumed_dataset",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
