@@ -55,6 +55,7 @@ def against_sql(spark, folder, name):
     "h4_upsert_manifest",
     "k1_fit_view_classifier",
     "a16_resumed_dataset",
+    "c9_resume_generation",
 ])
 def test_empty_contents_as_in_sql(spark, folder, name):
     assert against_sql(spark, folder, name) == "ok"
